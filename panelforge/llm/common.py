@@ -8,11 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words: space and U+0009 to U+000D.
-BLANKS = " \t\n\x0b\x0c\r"
-#: The same as a Java character class.
-BLANK_CLASS = r"[\x20\x09-\x0D]"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
