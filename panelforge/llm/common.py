@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,3 +48,31 @@ def remainder(doc_id: str, mod: int):
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_values(df: DataFrame, keep: Sequence[str], value: str, columns: str, fn: Callable[[list], list[list]]) -> DataFrame:
+    """The columns keep, as they are, and the columns that fn makes from lists of values.
+
+    fn runs on Arrow batches; keep's values never become Python objects.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    small_batches(df.sparkSession)
+    made = T.StructType.fromDDL(columns)
+    schema = T.StructType([df.schema[k] for k in keep] + made.fields)
+    types, n = to_arrow_schema(made).types, len(keep)
+    names = [f"c{i}" for i in range(n)]
+    inner = df.select(*[F.col(quoted(k)).alias(c) for k, c in zip(keep, names, strict=True)], F.col(quoted(value)).alias("v"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = fn(b.column(n).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names=schema.names)
+
+    return inner.mapInArrow(run, schema)

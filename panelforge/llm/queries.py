@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.llm.bpe import op3_bpe
 from panelforge.llm.pii import op1_pii
 from panelforge.llm.quality import op9_quality
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op9_quality": op9_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_bpe": op3_bpe, "op9_quality": op9_quality}
 SQL: dict[str, str] = {}
