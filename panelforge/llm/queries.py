@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.bpe import op3_bpe
+from panelforge.llm.media import op7_media
+from panelforge.llm.packing import op6_packing
 from panelforge.llm.pii import op1_pii
 from panelforge.llm.quality import op9_quality
+from panelforge.llm.token_files import op5_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_bpe": op3_bpe, "op9_quality": op9_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op3_bpe": op3_bpe,
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
+    "op7_media": op7_media,
+    "op9_quality": op9_quality,
+}
 SQL: dict[str, str] = {}
