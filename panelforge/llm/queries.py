@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.bpe import op3_bpe
+from panelforge.llm.langid import op2_langid
 from panelforge.llm.media import op7_media
 from panelforge.llm.packing import op6_packing
 from panelforge.llm.pii import op1_pii
@@ -15,6 +16,7 @@ from panelforge.llm.token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_langid": op2_langid,
     "op3_bpe": op3_bpe,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
