@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.bpe import op3_bpe
+from panelforge.llm.jaccard import op10_jaccard
 from panelforge.llm.langid import op2_langid
 from panelforge.llm.media import op7_media
 from panelforge.llm.packing import op6_packing
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_media": op7_media,
     "op9_quality": op9_quality,
+    "op10_jaccard": op10_jaccard,
 }
 SQL: dict[str, str] = {}
