@@ -13,6 +13,7 @@ from panelforge.llm.media import op7_media
 from panelforge.llm.packing import op6_packing
 from panelforge.llm.pii import op1_pii
 from panelforge.llm.quality import op9_quality
+from panelforge.llm.suffix_dedup import op8_suffix_dedup
 from panelforge.llm.token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_jaccard": op10_jaccard,
 }
