@@ -61,6 +61,13 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Stretches of equal, ascending buckets."""
+    edges = np.flatnonzero(np.diff(buckets, prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(buckets)], strict=True):
+        yield int(buckets[a]), slice(a, b)
+
+
 class Block:
     """One block's documents: ids, bodies end to end, and where each ends."""
 
@@ -73,8 +80,9 @@ class Block:
         self.data = zstandard.decompress(body)
 
 
-def blocks(df: DataFrame, key: str = "doc_id", text: str = "text", prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
+def blocks(df: DataFrame, key: str = "doc_id", text: str = "text", prepare: Callable[[bytes], bytes] | None = None, size_limit: int = 0) -> DataFrame:
     """A written table of blocks: block, ids, sizes, body. Null texts are empty."""
+    limit = size_limit or BLOCK_BYTES
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -92,7 +100,7 @@ def blocks(df: DataFrame, key: str = "doc_id", text: str = "text", prepare: Call
                 ids.append(i)
                 parts.append(prepare(data) if prepare else data)
                 size += len(parts[-1])
-                if size >= BLOCK_BYTES:
+                if size >= limit:
                     yield row()
                     number, ids, parts, size = number + 1, [], [], 0
         if ids:
@@ -127,11 +135,12 @@ def _messages(pa, block: int, rows) -> object:
 
 
 def answer(messages: DataFrame, fn: Callable[[list[bytes]], list[bytes]], kind: int) -> DataFrame:
-    """For each bucket, fn turns the messages' bodies into as many answers, written as kind."""
+    """For each bucket, fn turns the messages' bodies, in order of blocks, into as many answers, written as kind."""
 
     def run(table):
         import pyarrow as pa
 
+        table = table.sort_by("block")
         answers = fn(table.column("body").to_pylist())
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "kind": pa.array([kind] * len(answers), pa.int32()), "body": pa.array(answers, pa.binary())})
 

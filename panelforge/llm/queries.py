@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.bpe import op3_bpe
 from panelforge.llm.jaccard import op10_jaccard
+from panelforge.llm.katz import op4_katz
 from panelforge.llm.langid import op2_langid
 from panelforge.llm.media import op7_media
 from panelforge.llm.packing import op6_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
     "op3_bpe": op3_bpe,
+    "op4_katz": op4_katz,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_media": op7_media,

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.blocks import LAST, Block, answer, ask, blocks, bucket_of, dump, dump_sorted, load, load_sorted, with_answers
+from panelforge.llm.blocks import LAST, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
 from panelforge.llm.common import documents
 
 LENGTH, TRIGGER, PHRASE, HOT = 50, 16, 64, 50_000
@@ -88,12 +88,6 @@ class Phrases:
         return values, np.bincount(pairs >> 32, minlength=len(values)), back
 
 
-def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
-    edges = np.flatnonzero(np.diff(buckets, prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(buckets)], strict=True):
-        yield int(buckets[a]), slice(a, b)
-
-
 def _classify(bodies: list[bytes]) -> list[bytes]:
     """For every block's triggers: in ONE document, REPEATED, or CROWDED."""
     parts = [load(b) for b in bodies]
@@ -111,7 +105,7 @@ class Dictionary:
         p = Phrases(block, length)
         values, _, back = p.distinct()
         kind = np.zeros(len(values), np.uint8)
-        for bucket, part in _by_bucket(bucket_of(values, trigger_buckets)):
+        for bucket, part in by_bucket(bucket_of(values, trigger_buckets)):
             kind[part] = load(kinds[bucket])[0]
         kind = kind[back]
         common = np.flatnonzero(kind == REPEATED)
@@ -129,7 +123,7 @@ class Dictionary:
         self.number = np.zeros(len(self.at), np.int64)
         self.parts: list[tuple[int, slice, list[bytes], np.ndarray]] = []
         ids = block.order[self.doc]
-        for bucket, part in _by_bucket(self.bucket):
+        for bucket, part in by_bucket(self.bucket):
             seen: dict[bytes, int] = {}
             spans = zip(self.at[part].tolist(), (self.at[part] + self.n[part] + length - 1).tolist(), strict=True)
             number = np.array([seen.setdefault(block.data[a:b], len(seen)) for a, b in spans], np.int64)
@@ -213,24 +207,25 @@ def _kept(block: Block, dictionary: Dictionary, answers: dict[tuple[int, int], b
         cover -= np.bincount(at + length, minlength=len(cover))
     gone = np.cumsum(cover)[:-1] > 0
     data = np.frombuffer(block.data, np.uint8)
-    out: list[list] = [block.ids, block.sizes.tolist(), [], [], []]
+    out: list[list] = [block.ids, block.sizes.tolist(), [], [], [], []]
     for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
         g = gone[a:b]
         out[2].append(int(g.sum()))
         out[3].append(int((g[1:] & ~g[:-1]).sum()) + int(len(g) > 0 and g[0]))
         out[4].append(data[a:b][~g].tobytes())
+        out[5].append(int.from_bytes(xxhash.xxh64(block.data[a:b], 42).digest(), "big", signed=True))
     return out
 
 
 def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept, the bytes that stay, of every row."""
+    """key, n_bytes, n_removed, n_spans, kept (the bytes that stay) and text_hash (Spark's xxhash64 of the text) of every row."""
     table = blocks(df, key, text)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     tb, pb = max(1, total // TRIGGER_BUCKET_BYTES), max(1, total // PHRASE_BUCKET_BYTES)
 
     def ask_triggers(block: Block) -> Iterator[tuple[int, int, bytes]]:
         values, docs, _ = Phrases(block, length).distinct()
-        for bucket, part in _by_bucket(bucket_of(values, tb)):
+        for bucket, part in by_bucket(bucket_of(values, tb)):
             yield bucket, 1, dump(np.frombuffer(dump_sorted(values[part]), np.uint8), docs[part].astype(np.uint32))
 
     kinds = answer(ask(table, ask_triggers, "triggers"), _classify, 1)
@@ -245,7 +240,7 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
     asked = with_answers(table, kinds, ask_phrases, "block bigint, bucket bigint, kind int, body binary")
     least = answer(asked, lambda bodies: _least(bodies, length), 2)
     both = kinds.unionByName(least)
-    kept = with_answers(table, both, lambda block, answers: _kept(block, opened(block, answers), answers, length), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    kept = with_answers(table, both, lambda block, answers: _kept(block, opened(block, answers), answers, length), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
     return kept.withColumn("k", F.col("k").cast(df.schema[key].dataType)).withColumnRenamed("k", key)
 
 
