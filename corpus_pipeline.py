@@ -1,12 +1,93 @@
-"""A document pipeline: five stages, each of them one operator over all rows its predecessor kept."""
+"""A document pipeline: five stages, each one operator over all rows that its predecessor kept.
+
+Every stage but the last returns the columns of its input, whatever further columns that has.
+Null texts count as empty in all stages. Stages are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import jaccard, langid, packing, pii, suffix_dedup
+from panelforge.llm.common import documents, map_values, quoted, written
+
+#: Texts whose best language has less than this share of the evidence are rejected.
+MIN_LANGUAGE_SCORE = 0.5
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
+    """docs with another text, and n_chars, where there is one, counted again."""
+    out = docs.withColumn("text", text)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*map(quoted, columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and texts of no clear language; learns from every row with a language."""
+    model = langid.fitted(docs)
+    judged = langid.predicted(docs, model, docs.columns)
+    # predicted() appends its two columns, so they are told apart by place from any of that name
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = judged.toDF(*names, "found", "share").where((F.col("found") != langid.UNKNOWN) & (F.col("share") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*names).toDF(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each class of near duplicates; rows that repeat an id are one document.
+
+    Rows with a null id are in no class and stay.
+    """
+    ids = written(jaccard.classes(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "component_id"), "near")
+    stay = ids.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi")
+    if ids.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that stand in documents of smaller ids; characters cut in two go as well. Null ids stay whole."""
+    cleaned = suffix_dedup.deduplicated(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
+    cleaned = cleaned.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept").dropDuplicates(["_id", "_hash"])
+
+    def decode(parts: list) -> list[list]:
+        return [[p.decode("utf-8", "ignore") for p in parts]]
+
+    texts = map_values(cleaned, ["_id", "_hash"], "kept", "_text string", decode)
+    joined = docs.join(texts, (docs["doc_id"] == texts["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == texts["_hash"]), "left")
+    return _with_text(joined, F.coalesce("_text", docs["text"]), docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each span of personal data by its kind."""
+    found = pii.detect(docs, "text", "_pii_spans")
+    return _with_text(found, pii.redacted("text", "_pii_spans"), docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all texts; pieces with their ids, sequence and place."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    parts = written(packing.pieces(docs, path, packing.END, packing.CAPACITY), "pieces")
+    return packing.packed(parts, packing.CAPACITY)
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("sequences", sequences),
+]
+#: Language models, rolling hashes and tokenizers are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
