@@ -2,7 +2,7 @@
 
 A text is cut where a blank is followed by a character that is not white space. No token of
 the tokenizers used here crosses such a cut, so a chunk's ids don't depend on its neighbours,
-and chunks come again and again. The memory of chunks is emptied when it is full.
+and chunks come again and again. The memory of chunks has a limit; over it, the older half goes.
 """
 
 from __future__ import annotations
@@ -15,23 +15,37 @@ import numpy as np
 
 #: A blank after which no chunk starts.
 _LOOSE = re.compile(r" (?=\s|\Z)")
-#: Letters that keep their meaning beside any punctuation, and a mark that ends a chunk alone.
-_WORD_AND_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
+#: Letters that keep their meaning beside any punctuation, marks, and the same on a next line.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"([{_L}]+)([.,!?]*)(?:\n([{_L}]+)([.,!?]*))?").fullmatch
+
+
+def make_room(known: dict, n: int, limit: int) -> None:
+    """Drops the half that was learned first if n more would go over the limit."""
+    if len(known) + n > limit:
+        late = list(known.items())[-(limit // 2) :]
+        known.clear()
+        known.update(late if n <= limit // 2 else ())
 
 
 class ChunkEncoder:
     """Ids of texts by encode(chunks) -> little-endian unsigned 32-bit ids of each chunk.
 
-    glued: chunks after a text's first keep their blank (byte-level vocabularies). loose: cuts
-    a text where plain splitting is wrong; its pieces join to the text. special: strings whose
-    presence makes a text loose.
+    glued: chunks after a text's first keep their blank (byte-level vocabularies), and lines
+    have ids of their own. fold: makes words alike that the vocabulary doesn't tell apart.
+    loose: cuts a text where plain splitting is wrong; its pieces join to the text. special:
+    strings whose presence makes a text loose. words(words, blank): as encode, for words of
+    letters, each after a blank if blank is set.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], glued: bool, loose: Callable[[str], list[str]], special: tuple[str, ...], limit: int = 600_000):
-        self.encode, self.glued, self.loose, self.special, self.limit = encode, glued, loose, special, limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], glued: bool, loose: Callable[[str], list[str]], special: tuple[str, ...], limit: int = 1_200_000, words: Callable | None = None, fold: Callable[[str], str] = str):
+        self.encode, self.glued, self.loose, self.special, self.fold = encode, glued, loose, special, fold
+        self.words = words or (lambda found, blank: encode([blank + w for w in found]))
+        self.limit = limit
         self.inner: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {} if glued else self.inner
-        self.marks = dict(zip(",.", encode([",", "."]), strict=True))
+        self.marks: dict[str, bytes] = {}
+        self.line = encode(["\n"])[0] if glued else b""
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -45,32 +59,71 @@ class ChunkEncoder:
         first = self._many(parts[:1], self.inner, "") if parts[0] else b""
         return first + self._many(parts[1:], self.spaced, " ")
 
-    def _many(self, parts: list[str], known: dict[str, bytes], lead: str) -> bytes:
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self._learn({p for p in parts if p not in known}, parts, known, lead)
-        return b"".join([known[p] for p in parts])
-
-    def _learn(self, missing: set[str], parts: list[str], known: dict[str, bytes], lead: str) -> None:
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = set(parts)
-        marked = [p for p in missing if _WORD_AND_MARK(p)]
-        missing.difference_update(marked)
-        missing.update(stem for p in marked if (stem := p[:-1]) not in known)
-        new = list(missing)
-        known.update(zip(new, self.encode([lead + p for p in new]), strict=True))
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+    def _many(self, parts: list[str], known: dict[str, bytes], blank: str) -> bytes:
+        found = list(map(known.get, parts))
+        if None in found:
+            make_room(known, 3 * len(parts), self.limit)
+            once = self._learn({p for p in parts if p not in known}, known, blank)
+            found = [known.get(p) or once[p] for p in parts]
+        return b"".join(found)
+
+    def _learn(self, missing: set[str], known: dict[str, bytes], blank: str) -> dict[str, bytes]:
+        """Learns what is missing; the ids of chunks that are not kept, as their word is new too."""
+        plain, other, stems, below, marks = [], [], set(), set(), set()
+        for p in missing:
+            if m := _PLAIN(p):
+                one, mark, two, mark2 = m.groups("")
+                one, two = self.fold(one), self.fold(two)
+                plain.append((p, one, mark, two, mark2))
+                if one not in known:
+                    stems.add(one)
+                if two and two not in self.inner:
+                    below.add(two)
+                marks.update((mark, mark2))
+            else:
+                other.append(p)
+        marks.discard("")
+        if not self.glued:
+            stems, below = stems | below, set()
+        if len(below) + len(self.inner) > self.limit:
+            make_room(self.inner, self.limit, self.limit)
+            below = {two for _, _, _, two, _ in plain if two}
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        new_marks = [m for m in marks if m not in self.marks]
+        self._add(list(stems), known, lambda new: self.words(new, blank))
+        self._add(list(below), self.inner, lambda new: self.words(new, ""))
+        self._add(new_marks, self.marks, self.encode)
+        self._add(other, known, lambda new: self.encode([blank + p for p in new]))
+        once = {"": b""}
+        for p, one, mark, two, mark2 in plain:
+            ids = known[one] + (self.marks[mark] if mark else b"")
+            if two:
+                ids += self.line + self.inner[two] + (self.marks[mark2] if mark2 else b"")
+            (once if two or (mark and one in stems) else known)[p] = ids
+        return once
+
+    @staticmethod
+    def _add(new: list[str], known: dict[str, bytes], make: Callable[[list[str]], list[bytes]]) -> None:
+        if new:
+            known.update(zip(new, make(new), strict=True))
+
+
+def _cut(ids: np.ndarray, starts: np.ndarray, n: int) -> list[bytes] | None:
+    """The ids between starts, if there are n."""
+    if len(starts) != n:
+        return None
+    whole, edges = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+    return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 @lru_cache(4)
 def library_encoder(path: str, glued: bool) -> ChunkEncoder:
     """Chunks encoded by the tokenizers library from the file at path.
 
-    Chunks go to the library in one text with a special token between them, which the library
-    cuts out before anything else; its id then parts the ids.
+    Many chunks go to the library as one text. Words are told apart again by the tokens that
+    begin with a blank or end a word; other chunks by a special token set between them, which
+    the library cuts out before anything else.
     """
     from tokenizers import Tokenizer
 
@@ -79,18 +132,30 @@ def library_encoder(path: str, glued: bool) -> ChunkEncoder:
     tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     comma, mark = next(iter(special.items()))
+    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    edge = np.array([n.startswith("\u0120") if glued else n.endswith("</w>") for n in names])
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(chunks: list[str]) -> list[bytes]:
         if not chunks:
             return []
         if any(s in c for c in chunks if "<" in c for s in special):
-            return [np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
-        ids = np.array(tokenizer.encode(comma.join(chunks), add_special_tokens=False).ids, "<u4")
+            return [whole(c).tobytes() for c in chunks]
+        ids = whole(comma.join(chunks))
         ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
-        whole, starts = ids.tobytes(), [0, *(e + 1 for e in ends[:-1])]
-        return [whole[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+        data, starts = ids.tobytes(), [0, *(e + 1 for e in ends[:-1])]
+        return [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+
+    def words(found: list[str], blank: str) -> list[bytes]:
+        if glued and not blank:
+            return encode(found)
+        ids = whole(blank + " ".join(found))
+        starts = np.flatnonzero(edge[ids]) if glued else np.append(0, np.flatnonzero(edge[ids])[:-1] + 1)
+        return _cut(ids, starts, len(found)) or encode([blank + w for w in found])
 
-    return ChunkEncoder(encode, glued, lambda text: [text], tuple(special))
+    return ChunkEncoder(encode, glued, lambda text: [text], tuple(special), words=words, fold=str if glued else str.lower)
 
 
 def as_array(ids: bytes) -> np.ndarray:
