@@ -63,8 +63,8 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Stretches of equal, ascending buckets."""
-    edges = np.flatnonzero(np.diff(buckets, prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(buckets)], strict=True):
+    edges = np.flatnonzero(np.diff(buckets, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
         yield int(buckets[a]), slice(a, b)
 
 
