@@ -89,3 +89,18 @@ def reduced(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     """df with its first k principal components."""
     stages = [*prepared(names), PCA(k=k, inputCol="features", outputCol="components")]
     return Pipeline(stages=stages).fit(df).transform(df).select(*df.columns, "components")
+
+
+def quantile_line(df: DataFrame, x: str, y: str, key: str, q: float, bins: int = 20) -> DataFrame:
+    """The q-quantile of y as a line in x, for every group: a line through the quantiles of equal bins of x.
+
+    Bins bound what a line is fitted to, whatever the group's size; each bin weighs as its rows.
+    """
+    ends = df.groupBy(key).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    place = F.least(F.floor(F.try_divide(F.col(x) - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    b = df.join(ends, key).withColumn("bin", F.coalesce(place, F.lit(0))).groupBy(key, "bin").agg(F.avg(x).alias("u"), F.percentile(y, q).alias("v"), F.count(F.lit(1)).alias("n"))
+    mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    u, v = F.col("u"), F.col("v")
+    m = b.groupBy(key).agg(mean(u).alias("mu"), mean(v).alias("mv"), mean(u * v).alias("uv"), mean(u * u).alias("uu"))
+    slope = F.coalesce(F.try_divide(F.col("uv") - F.col("mu") * F.col("mv"), F.col("uu") - F.col("mu") * F.col("mu")), F.lit(0.0))
+    return m.select(key, (F.col("mv") - slope * F.col("mu")).alias("intercept"), slope.alias("slope"))

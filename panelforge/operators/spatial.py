@@ -76,3 +76,30 @@ def kernel_scores(panel: DataFrame, edges: DataFrame, months: int, tau: float, d
     faded = panel.where("y > 0").select(F.col("geo").alias("dst"), "p", "y", ages).select("dst", (F.col("p") + F.col("age")).alias("p"), (F.col("y") * F.exp(-(F.col("age") - 1) / tau)).alias("s"))
     faded = faded.groupBy("dst", "p").agg(F.sum("s").alias("s"))
     return faded.join(edges, "dst").groupBy(F.col("src").alias("geo"), "p").agg(F.sum(F.col("s") * F.exp(-F.col("km") / distance)).alias("score"))
+
+
+def centroid(ring: Column) -> dict[str, Column]:
+    """Centre of mass of a closed ring."""
+    a, b = F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1)
+    total = lambda f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, v: s + v)
+    cross = lambda p, q: p.x * q.y - q.x * p.y
+    area = total(cross) / 2
+    return {"cx": F.try_divide(total(lambda p, q: (p.x + q.x) * cross(p, q)), 6 * area), "cy": F.try_divide(total(lambda p, q: (p.y + q.y) * cross(p, q)), 6 * area)}
+
+
+def overlay(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """poly, cell and the share of the box (x0, x1, y0, y1) that lies in the cell, by whole degrees."""
+    degrees = lambda df: df.withColumn("dx", F.explode(F.sequence(F.floor("x0"), F.floor("x1")))).withColumn("dy", F.explode(F.sequence(F.floor("y0"), F.floor("y1"))))
+    left = degrees(boxes.select("poly", "x0", "x1", "y0", "y1"))
+    right = degrees(cells.select("cell", "x0", "x1", "y0", "y1")).select("cell", "dx", "dy", *[F.col(c).alias(f"c{c}") for c in ("x0", "x1", "y0", "y1")])
+    met = left.join(right, ["dx", "dy"]).drop("dx", "dy").distinct()
+    wide, high = F.least("x1", "cx1") - F.greatest("x0", "cx0"), F.least("y1", "cy1") - F.greatest("y0", "cy0")
+    out = met.where((wide > 0) & (high > 0)).withColumn("weight", wide * high / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))))
+    return out.select("poly", "cell", "weight")
+
+
+def box_distance(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Distance of two boxes (x0, x1, y0, y1); 0 where they touch."""
+    dx = F.greatest(a[0] - b[1], b[0] - a[1], F.lit(0.0))
+    dy = F.greatest(a[2] - b[3], b[2] - a[3], F.lit(0.0))
+    return F.sqrt(dx * dx + dy * dy)

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import clip, share
-from panelforge.operators import features, learners, metrics, models, serving
+from panelforge.operators import features, learners, metrics, models, serving, spatial
 from panelforge.plans.common_sql import CHAMPION, CLIMATE, ENTITIES, EVENTS, GAPPED, OBSERVED, PANEL
 from panelforge.plans.evaluation_queries import _REGIME, LONG, predictions
 from panelforge.plans.panel_queries import dense, forecasts, gapped, observed
 from panelforge.plans.registry import query, tidy
-from panelforge.plans.spatial_queries import EDGES, edges
+from panelforge.plans.spatial_queries import EDGES, edges, squares
 from panelforge.sources.tables import entities, point_events, table
 
 
@@ -255,3 +255,58 @@ def components(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     return out.select("geo", "p", F.transform(vector_to_array("components"), lambda v: F.round(F.abs(v), 4)).alias("components"))
+
+
+_SQUARES = "SELECT CAST((x + 45) * 100 + y + 12 AS INT) AS poly, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0 FROM generate_series(-45, -36, 3) a(x), generate_series(-12, -4, 2) b(y)"
+
+
+@query("GEO04_centroid", f"SELECT poly, x0 + 1.5 AS cx, y0 + 1.0 AS cy FROM ({_SQUARES})")
+def centroid(spark, folder):
+    return tidy(squares(spark), "poly", **spatial.centroid(F.col("ring")))
+
+
+@query("JON15_overlay", f"WITH q AS ({_SQUARES}), c AS (SELECT CAST(i * 100 + j AS INT) AS cell, -45 + i * 2.5 AS cx, -12 + j * 2.5 AS cy FROM generate_series(0, 4) a(i), generate_series(0, 3) b(j)), m AS (SELECT poly, cell, least(x0 + 3, cx + 2.5) - greatest(x0, cx) AS w, least(y0 + 2, cy + 2.5) - greatest(y0, cy) AS h FROM q, c) SELECT poly, cell, round(CAST(w * h / 6 AS DOUBLE), 6) AS weight FROM m WHERE w > 0 AND h > 0")
+def overlay(spark, folder):
+    i, j = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")
+    c = spark.range(1).select(i).select("i", j)
+    x, y = -45 + F.col("i") * 2.5, -12 + F.col("j") * 2.5
+    cells = c.select((F.col("i") * 100 + F.col("j")).alias("cell"), x.alias("x0"), (x + 2.5).alias("x1"), y.alias("y0"), (y + 2.5).alias("y1"))
+    return tidy(spatial.overlay(squares(spark), cells), "poly", "cell", "weight")
+
+
+@query("GEO06_box_distance", f"WITH q AS ({_SQUARES}) SELECT a.poly AS src, b.poly AS dst, round(sqrt(pow(greatest(abs(a.x0 - b.x0) - 3, 0), 2) + pow(greatest(abs(a.y0 - b.y0) - 2, 0), 2)), 6) AS distance FROM q a JOIN q b ON a.poly < b.poly AND abs(a.x0 - b.x0) <= 6 AND abs(a.y0 - b.y0) <= 4")
+def box_distance(spark, folder):
+    q = squares(spark).select("poly", "x0", "x1", "y0", "y1")
+    a, b = q.alias("a"), q.alias("b")
+    sides = lambda n: tuple(F.col(f"{n}.{c}") for c in ("x0", "x1", "y0", "y1"))
+    near = (F.abs(F.col("a.x0") - F.col("b.x0")) <= 6) & (F.abs(F.col("a.y0") - F.col("b.y0")) <= 4)
+    pairs = a.join(b, (F.col("a.poly") < F.col("b.poly")) & near)  # twenty squares
+    return pairs.select(F.col("a.poly").alias("src"), F.col("b.poly").alias("dst"), F.round(spatial.box_distance(sides("a"), sides("b")), 6).alias("distance"))
+
+
+@query("MET21_MET22_scopes", f"WITH {LONG}, {ENTITIES}, s AS (SELECT model, uf, ano, mes, sum(y) AS y, sum(pred) AS pred FROM long JOIN ent ON long.geo = ent.geo WHERE mes IN (10, 11) GROUP BY ALL) SELECT model, uf, round(sum(abs(y - pred)) / nullif(sum(y), 0), 6) AS wape, CASE WHEN sum(abs(y - pred)) / nullif(sum(y), 0) > 0.25 THEN 'wape above limit' WHEN sum(y) = 0 THEN 'wape missing' ELSE '' END AS reasons FROM s GROUP BY model, uf")
+def scopes(spark, folder):
+    joined = predictions(spark, folder).where(F.col("mes").isin(10, 11)).join(entities(spark, folder), "geo")
+    s = joined.groupBy("model", "uf", "ano", "mes").agg(F.sum("y").alias("y"), F.sum("pred").alias("pred"))
+    out = metrics.gate(s.groupBy("model", "uf").agg(metrics.wape(F.col("y"), F.col("pred")).alias("wape")), {"wape": 0.25})
+    return tidy(out, "model", "uf", "wape", "reasons")
+
+
+@query("AUD03_AUD04_coverage", f"WITH {GAPPED}, {ENTITIES} SELECT ent.geo, count(panel.p) AS months, count(panel.y) AS covered, count(panel.y) = count(panel.p) AS whole FROM ent LEFT JOIN panel ON ent.geo = panel.geo GROUP BY ent.geo")
+def audit_coverage(spark, folder):
+    joined = entities(spark, folder).select("geo").join(gapped(spark, folder), "geo", "left")
+    return joined.groupBy("geo").agg(F.count("p").alias("months"), F.count("y").alias("covered"), (F.count("y") == F.count("p")).alias("whole"))
+
+
+@query("MDL30_MDL31_parts", f"WITH {CHAMPION}, {ENTITIES} SELECT champ.geo, p, round(clim, 6) AS usual, round(clim * (ratio - 1), 6) AS climate, round(0.1 * ln(1 + abs(area)), 6) AS human, round(greatest(champion + 0.1 * ln(1 + abs(area)), 0), 6) AS pred FROM champ JOIN ent ON champ.geo = ent.geo")
+def parts(spark, folder):
+    joined = forecasts(spark, folder).join(entities(spark, folder), "geo")
+    human = 0.1 * F.log1p(F.abs("area"))
+    return tidy(joined, "geo", "p", usual="clim", climate=F.col("clim") * (F.col("ratio") - 1), human=human, pred=F.greatest(F.col("champion") + human, F.lit(0.0)))
+
+
+@query("MDL10_quantile_lines")
+def quantile_lines(spark, folder):
+    train, _ = _training(spark, folder)
+    out = learners.quantile_line(train.withColumn("g", F.col("geo") % 5), "clim", "y", "g", 0.9)
+    return tidy(out, "g", "intercept", "slope")
