@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import quoted, small_batches, written
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 MESSAGE = "block bigint, bucket bigint, kind int, body binary"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -36,13 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
+def step_done(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets the shuffle files of finished steps go.
+
+    Spark deletes shuffle files once the driver's garbage collector has seen that nothing
+    refers to them; without a hint that can take longer than the job.
+    """
     for table in tables:
         if files := table.inputFiles():
             jvm = table.sparkSession._jvm
             folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

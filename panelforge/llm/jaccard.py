@@ -3,7 +3,9 @@
 A document's set is its distinct word shingles as sorted 64-bit hashes. Equal sets are one
 node, named by a 64-bit hash of the set. Two sets of enough similarity share one of the
 smallest hashes that each starts with, so nodes meet in tiles: one such hash and a band of
-set sizes. A signature of SIGNATURE bits holds the parity of the hashes on each bit; the
+set sizes. Sets of LONG hashes and more would meet by chance in many such places; they are cut
+by hash range into more parts than two similar sets of their size can differ in, so that one
+whole part is the same in both, and meet in tiles by equal parts. A signature of SIGNATURE bits holds the parity of the hashes on each bit; the
 count of differing bits never exceeds the sets' difference, which bounds the overlap from
 above. What this bound lets through is decided by intersecting the sorted sets.
 
@@ -19,49 +21,29 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents, map_values, quoted, written
+from panelforge.llm.common import documents, map_values, quoted, step_done, written
 from panelforge.llm.graph import components
+from panelforge.llm.words import word_hashes
 
-WORDS, PERCENT, SIGNATURE, HUB_ROUNDS = 4, 85, 1024, 2
+WORDS, PERCENT, SIGNATURE, HUB_ROUNDS, LONG, BAND = 4, 85, 1024, 2, 2500, 1.5
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(1)
-def _hashes() -> _WordHashes:
-    return _WordHashes()
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles; one for a text of fewer words."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    h = word_hashes((text or "").encode().lower())
+    if not len(h):
         return np.zeros(0, np.uint64)
-    table = _hashes()
-    h = np.fromiter([table[w] for w in words], np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(k, len(h))):
         out = out * _FACTOR + h[i : i + n]
-    out ^= out >> np.uint64(30)
-    out *= _MIX1
-    out ^= out >> np.uint64(27)
-    out *= _MIX2
-    out ^= out >> np.uint64(31)
+    out = _mixed(out)
     if len(h) < k:
         out += np.uint64(len(h))
     return np.unique(out)
@@ -76,15 +58,46 @@ def _signature(hashes: np.ndarray) -> list[int]:
     return np.packbits(parity).view(np.int64).tolist()
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX1
+    h = (h ^ (h >> np.uint64(27))) * _MIX2
+    return h ^ (h >> np.uint64(31))
+
+
+def part_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Keys of a long set's parts, one of which any similar set of at least LONG hashes shares.
+
+    Both sets of a pair use the parts of the larger one's band. A band with sizes below top
+    has differences of at most d, and more parts than d by a tenth, so that some equal part is
+    not empty. A set that leaves too many parts empty says so by a key of its own.
+    """
+    n, out = len(hashes), []
+    band = int(np.log(n / LONG) / np.log(BAND) + 1e-9)
+    for b in (band, band + 1):
+        low, top = LONG * BAND**b, LONG * BAND ** (b + 1)
+        if b > band and 100 * n < percent * low:
+            continue
+        d = int((100 - percent) * 2 * top / (100 + percent))
+        parts = d + d // 10 + 2
+        place = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        first = np.flatnonzero(np.diff(place, prepend=np.uint64(parts)) != 0)
+        sums = np.add.reduceat(_mixed(hashes), first)
+        out.append(_mixed(sums + place[first] * _FACTOR + np.uint64(b)))
+        if parts - len(first) >= parts - d:
+            out.append(_mixed(np.array([b], np.uint64)))
+    return out
+
+
 def described(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, node, signature, and keys: the smallest hashes, one of which any similar set shares."""
+    """key, n_shingles, node, signature, and keys, one of which any similar set shares: the smallest hashes or whole parts."""
 
     def run(texts: list) -> list[list]:
         out: list[list] = [[], [], [], []]
         for t in texts:
             s = shingle_set(t, k)
             n = len(s)
-            first = s[: n - -(-percent * n // 100) + 1] if n else s
+            keys = [s[: n - -(-percent * n // 100) + 1]] if 0 < percent * n < 100 * LONG else []
+            first = np.concatenate([s[:0], *keys, *(part_keys(s, percent) if n >= LONG else [])])
             for column, value in zip(out, (n, _node(s), _signature(s), first.view(np.int64)), strict=True):
                 column.append(value)
         return out
@@ -134,12 +147,17 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, percen
 def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id, the smallest key in reach, for every row."""
     df = df.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    all_rows = written(described(df, k, percent, "doc_id", "text"), "sets")
-    usable = all_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "nodes")
-    placed = nodes.select("node", F.explode("keys").alias("key"))
+    sets = written(described(df, k, percent, "doc_id", "text"), "sets")
+    usable = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    whole = written(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "signature", "keys")]), "nodes")
+    step_done(df.sparkSession)
+    placed = whole.select("node", F.explode("keys").alias("key"))
     often = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     tiles = written(placed.join(often, "key"), "tiles")
+    all_rows = written(sets.select("doc_id", "n_shingles", "node"), "members")
+    nodes = written(whole.select("node", "rep", "n_shingles", "signature"), "nodes")
+    del usable, placed, often
+    step_done(df.sparkSession, sets, whole)
     known = nodes.select("node", "n_shingles", "signature")
     found, labels = None, None
 
@@ -151,7 +169,9 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
     def add(pairs: DataFrame):
         links = written(_confirmed(pairs, nodes, df, k, percent, "doc_id", "text"), "similar")
         whole = links if found is None else found.unionByName(links)
-        return whole, written(components(whole), "classes")
+        out = written(components(whole), "classes")
+        step_done(df.sparkSession)
+        return whole, out
 
     for turn in range(HUB_ROUNDS):
         rows = labelled()
@@ -161,13 +181,15 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
         pairs = pairs.join(known.select(F.col("node").alias("b"), F.struct("n_shingles", "signature").alias("q")), "b")
         found, labels = add(pairs.where(_may_link(percent, "p", "q")).select("a", "b"))
 
-    rows = labelled()
-    split = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9)
-    rest = written(rows.join(split, "key").join(known, "node").withColumn("band", band), "rest")
-    one = rest.select("key", "band", F.struct("node", "c", "n_shingles", "signature").alias("p"))
-    other = rest.select("key", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"), F.struct("node", "c", "n_shingles", "signature").alias("q"))
-    apart = f"p.node < q.node AND p.c <> q.c AND {_may_link(percent, 'p', 'q')}"
+    rows = labelled().join(nodes.select("node", band.alias("band")), "node")
+    around = F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band")
+    split = rows.select("key", around, "c").groupBy("key", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "band")
+    rest = written(rows.join(split, ["key", "band"]).join(known, "node"), "rest")
+    step_done(df.sparkSession)
+    one = rest.select("key", "band", F.struct("band", "node", "c", "n_shingles", "signature").alias("p"))
+    other = rest.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.struct("band", "node", "c", "n_shingles", "signature").alias("q"))
+    apart = f"(p.band > q.band OR p.node < q.node) AND p.c <> q.c AND {_may_link(percent, 'p', 'q')}"
     pairs = one.join(other, (one["key"] == other["key"]) & (one["band"] == other["band"]) & F.expr(apart)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     found, labels = add(pairs)
 

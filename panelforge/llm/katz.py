@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.blocks import MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
-from panelforge.llm.common import discard, documents, written
+from panelforge.llm.common import documents, step_done, written
 from panelforge.llm.words import word_hashes
 
 GOOD_TURING_UP_TO = 5
-BLOCK_TEXT, BUCKET_TEXT = 10 << 20, 16 << 20
+BLOCK_TEXT, BUCKET_TEXT = 4 << 20, 8 << 20
 #: Hashes of the end token and of a text's beginning.
 END, BEGIN = np.uint64(1), np.uint64(2)
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -219,13 +219,15 @@ def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text"
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, total // BUCKET_TEXT)
     counts = answer(ask(table, lambda block: _ask_counts(block, mod, buckets), "counts"), _sum_counts, 1)
+    step_done(df.sparkSession)
     by_word, by_pair = _statistics(counts, buckets)
     words = Words.of(by_word[-1], by_word[-2], by_word[:-2])
     off = discounts(by_pair[:-2])
     texts = _learned(table, mod)
     out = written(with_answers(table, counts, lambda block, answers: _score(block, answers, mod, buckets, words, texts, off), MESSAGE), "contexts")
-    discard(table, counts)
+    step_done(df.sparkSession, table, counts)
     weights = answer(out.where("kind = 3"), _weights, 4)
+    step_done(df.sparkSession)
 
     def finish(left, right):
         import pyarrow as pa

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.blocks import LAST, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
-from panelforge.llm.common import documents
+from panelforge.llm.common import documents, step_done
 
 LENGTH, TRIGGER, PHRASE, HOT = 50, 16, 64, 50_000
-TRIGGER_BUCKET_BYTES, PHRASE_BUCKET_BYTES = 16 << 20, 4 << 20
+TRIGGER_BUCKET_BYTES, PHRASE_BUCKET_BYTES = 16 << 20, 1 << 20
 ONE, REPEATED, CROWDED = 0, 1, 2
 
 
@@ -134,7 +134,14 @@ class Dictionary:
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    """Place of each key among the distinct ones, in few temporary arrays."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    rank = np.zeros(len(keys), np.int32)
+    np.cumsum(keys[1:] != keys[:-1], dtype=np.int32, out=rank[1:])
+    out = np.empty_like(rank)
+    out[order] = rank
+    return out
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -150,7 +157,7 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     del key, padded
     while n < length:
         step = min(n, length - n)
-        both = rank[:-step] * (int(rank.max()) + 1) + rank[step:] if len(rank) > step else rank[:0]
+        both = rank[:-step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:] if len(rank) > step else rank[:0]
         if not len(both):
             return both
         rank, n = _ranks(both), n + step
@@ -230,6 +237,8 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
 
     kinds = answer(ask(table, ask_triggers, "triggers"), _classify, 1)
 
+    step_done(df.sparkSession)
+
     def opened(block: Block, answers: dict[tuple[int, int], bytes]) -> Dictionary:
         return Dictionary(block, length, {bucket: body for (kind, bucket), body in answers.items() if kind == 1}, tb, pb)
 
@@ -237,8 +246,8 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
         rows = [(bucket, dump(np.frombuffer(b"".join(phrases), np.uint8), np.array(list(map(len, phrases)), np.uint16), least)) for bucket, _, phrases, least in opened(block, answers).parts]
         return [[block.number] * len(rows), [r[0] for r in rows], [2] * len(rows), [r[1] for r in rows]]
 
-    asked = with_answers(table, kinds, ask_phrases, "block bigint, bucket bigint, kind int, body binary")
-    least = answer(asked, lambda bodies: _least(bodies, length), 2)
+    least = answer(with_answers(table, kinds, ask_phrases, "block bigint, bucket bigint, kind int, body binary"), lambda bodies: _least(bodies, length), 2)
+    step_done(df.sparkSession)
     both = kinds.unionByName(least)
     kept = with_answers(table, both, lambda block, answers: _kept(block, opened(block, answers), answers, length), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
     return kept.withColumn("k", F.col("k").cast(df.schema[key].dataType)).withColumnRenamed("k", key)
