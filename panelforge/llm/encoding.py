@@ -64,7 +64,7 @@ class ChunkEncoder:
         if None in found:
             make_room(known, 3 * len(parts), self.limit)
             once = self._learn({p for p in parts if p not in known}, known, blank)
-            found = [known.get(p) or once[p] for p in parts]
+            found = [once[p] if p in once else known[p] for p in parts]
         return b"".join(found)
 
     def _learn(self, missing: set[str], known: dict[str, bytes], blank: str) -> dict[str, bytes]:

@@ -87,6 +87,18 @@ def test_op5(spark, awkward, empty):
     assert token_files.op5_token_files(spark, empty).count() == 0
 
 
+def test_op5_takes_chunks_without_ids(spark, save):
+    encode, at, want = library(WORDS), 0, []
+    texts = [" ", "\t", " \n ", "\n word", "word \n word", "\n", "\u3000"]
+    for d, t in enumerate(texts):
+        ids = [*encode(t), 1]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    folder = save([(d, t, "en", "s") for d, t in enumerate(texts)])
+    got = [tuple(r) for r in token_files.op5_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(got) == want
+
+
 def test_op6(spark, awkward, empty):
     encode = library(BYTES)
     rows = packing.op6_packing(spark, awkward).collect()
