@@ -1,17 +1,22 @@
-"""Katz back-off language model over words, order 2.
+"""Katz back-off language model over words, of any order.
 
-Counts of words and of word pairs are gathered by hash ranges: every block of documents sends
-its distinct words and pairs with their counts in training texts, and gets the counts over
-all training texts back. Good-Turing discounts come from the counts of counts. A context's
-back-off weight is what its seen pairs leave, over what their second words leave of the word
-model, so every context's probabilities sum to 1:
+Counts of words, pairs and longer n-grams are gathered by hash ranges: every block of documents
+sends its distinct n-grams of each length with their counts in training texts, and gets the
+counts over all training texts back. Good-Turing discounts come from each length's counts of
+counts. A context's back-off weight is what its seen n-grams leave, over what their last words
+leave of the model one order lower, so every context's probabilities sum to 1. With h' for h
+without its first word:
 
-    P(w | h) = discounted c(h, w) / c(h)   if the pair was seen
-             = weight(h) * P(w)            if only h was
-             = P(w)                        if h was not
+    P(w | h) = discounted c(h, w) / c(h)   if the n-gram was seen
+             = weight(h) * P(w | h')       if only h was
+             = P(w | h')                   if h was not
 
-The word model gives the discounted mass to the one class of unknown words. Words and pairs
-are told apart by 64-bit hashes. Counts, weights and requests are tables in the shared folder,
+A seen n-gram's shorter ends were seen too, so the lower model's part of a weight is a
+discounted count itself, and weights of all orders are made in one step. A text begins with one
+mark, so its first words have the contexts that are there.
+
+The word model gives the discounted mass to the one class of unknown words. N-grams are told
+apart by 64-bit hashes. Counts, weights and requests are tables in the shared folder,
 partitioned by hash range; no count is cut off, and all grow with the corpus.
 
 Null text is empty: the end token alone. Rows with a null id are scored and not learned from.
@@ -76,10 +81,26 @@ class Words:
         return np.where(counts > 0, (counts - taken) / max(self.tokens, 1), self.unknown)
 
 
+@dataclass
+class Level:
+    """A block's distinct n-grams of one length, in order of their hashes.
+
+    where: the tokens that end one, and at: which. context, end: the n-gram one shorter before
+    the last word (-1 for a text's beginning) and after the first, by place in the level below.
+    """
+
+    values: np.ndarray
+    counts: np.ndarray
+    where: np.ndarray
+    at: np.ndarray
+    context: np.ndarray
+    end: np.ndarray
+
+
 class Tokens:
-    """A block's tokens: distinct words and pairs, and each token's place among them."""
+    """A block's tokens: distinct n-grams of each length up to order, and each token's place among them."""
 
-    def __init__(self, block: Block, mod: int):
+    def __init__(self, block: Block, mod: int, order: int):
         parts, sizes = [], []
         for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
             h = word_hashes(block.data[a:b])
@@ -91,31 +112,33 @@ class Tokens:
         inner = np.ones(len(words), bool)
         inner[ends] = False
         words[inner] = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[ends[:-1] + 1] = BEGIN
-        before[:1] = BEGIN
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         self.learn = np.array([i is not None and zlib.crc32(str(i).encode()) % mod != 0 for i in block.ids], bool)
         taught = self.learn[self.doc].astype(np.int64)
-        self.words, self.word = np.unique(words, return_inverse=True)
-        pairs = (before * _FACTOR + words) * _MIX
-        pairs ^= pairs >> np.uint64(31)
-        pairs *= _FACTOR
-        self.pairs, first, self.pair = np.unique(pairs, return_index=True, return_inverse=True)
-        self.word_counts = np.bincount(self.word, taught, len(self.words)).astype(np.uint32)
-        self.pair_counts = np.bincount(self.pair, taught, len(self.pairs)).astype(np.uint32)
-        #: Place of each pair's context among words, -1 for a text's beginning, and of its word.
-        context = before[first]
-        self.pair_context = np.where(context == BEGIN, -1, np.searchsorted(self.words, context))
-        self.pair_word = self.word[first]
-
-
-def _ask_counts(block: Block, mod: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    t = Tokens(block, mod)
-    for shift, values, counts in ((0, t.words, t.word_counts), (buckets, t.pairs, t.pair_counts)):
-        for bucket, part in by_bucket(bucket_of(values, buckets)):
-            yield bucket + shift, 1, dump(np.frombuffer(dump_sorted(values[part]), np.uint8), counts[part])
+        place = np.arange(len(words)) - np.repeat(ends + 1 - self.sizes, self.sizes)
+        self.levels: list[Level] = []
+        hashes, below = words, np.zeros(0, np.int64)
+        for n in range(1, order + 1):
+            where = np.flatnonzero(place >= n - 2)
+            before = np.where(place[where] > 0, hashes[where - 1], BEGIN)
+            if n > 1:
+                mixed = (before * _FACTOR + words[where]) * _MIX
+                mixed ^= mixed >> np.uint64(31)
+                hashes = np.zeros_like(words)
+                hashes[where] = mixed * _FACTOR
+            values, first, at = np.unique(hashes[where], return_index=True, return_inverse=True)
+            context = np.where(place[where[first]] > 0, below[where[first] - 1], -1) if n > 1 else first
+            end = below[where[first]] if n > 1 else first
+            counts = np.bincount(at, taught[where], len(values)).astype(np.uint32)
+            self.levels.append(Level(values, counts, where, at, context, end))
+            below = np.full(len(words), -1)
+            below[where] = at
+
+
+def _ask_counts(block: Block, mod: int, buckets: int, order: int) -> Iterator[tuple[int, int, bytes]]:
+    for n, level in enumerate(Tokens(block, mod, order).levels):
+        for bucket, part in by_bucket(bucket_of(level.values, buckets)):
+            yield bucket + n * buckets, 1, dump(np.frombuffer(dump_sorted(level.values[part]), np.uint8), level.counts[part])
 
 
 def _sum_counts(bodies: list[bytes]) -> list[bytes]:
@@ -136,24 +159,24 @@ def _sum_counts(bodies: list[bytes]) -> list[bytes]:
     return [dump(t.astype(np.uint32), np.packbits(o), stats if i == 0 else stats[:0]) for i, (t, o) in enumerate(answers)]
 
 
-def _statistics(answers: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
-    """Summed statistics of words and of pairs; summed on the executors."""
+def _statistics(answers: DataFrame, buckets: int, order: int) -> list[list[int]]:
+    """Summed statistics of each length of n-grams; summed on the executors."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            sums = np.zeros((2, GOOD_TURING_UP_TO + 4), np.int64)
+            sums = np.zeros((order, GOOD_TURING_UP_TO + 4), np.int64)
             for bucket, body in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True):
                 if len(stats := load(body)[2]):
-                    sums[int(bucket >= buckets)] += stats
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([0, 1], pa.int32()), "s": pa.array(sums.tolist(), pa.list_(pa.int64()))})
+                    sums[bucket // buckets] += stats
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(range(order), pa.int32()), "s": pa.array(sums.tolist(), pa.list_(pa.int64()))})
 
     rows = answers.select("bucket", "body").mapInArrow(run, "kind int, s array<bigint>")
     sums = rows.groupBy("kind").agg(*[F.sum(F.col("s")[i]) for i in range(GOOD_TURING_UP_TO + 4)]).collect()
     by = {r[0]: list(r[1:]) for r in sums}
     none = [0] * (GOOD_TURING_UP_TO + 4)
-    return by.get(0, none), by.get(1, none)
+    return [by.get(n, none) for n in range(order)]
 
 
 def _collected(values: np.ndarray, buckets: int, shift: int, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,34 +191,39 @@ def _log10(x: np.ndarray) -> np.ndarray:
     return np.log10(x, out=np.zeros(len(x)), where=x > 0)
 
 
-def _score(block: Block, answers: dict[tuple[int, int], bytes], mod: int, buckets: int, words: Words, texts: int, off: list[float]) -> list[list]:
+def _score(block: Block, answers: dict[tuple[int, int], bytes], mod: int, buckets: int, words: Words, texts: int, offs: list[list[float]]) -> list[list]:
     """Messages about contexts, and the block's own state (kind 9): all but the weights."""
-    t = Tokens(block, mod)
-    c, _ = _collected(t.words, buckets, 0, answers)
-    pair, owner = _collected(t.pairs, buckets, buckets, answers)
-    context = np.where(t.pair_context < 0, texts, c[np.maximum(t.pair_context, 0)] if len(c) else 0)
-    p_word = words.probability(c)
-    taken = np.array(off)[np.minimum(pair, len(off) - 1)]
-    p_pair = np.divide(pair - taken, context, out=np.zeros(len(pair)), where=pair > 0)
-    backs = (pair == 0) & (context > 0)
-    log_pair = np.where(pair > 0, _log10(p_pair), _log10(p_word)[t.pair_word])
-    n = len(t.sizes)
+    t = Tokens(block, mod, len(offs) + 1)
+    c, _ = _collected(t.levels[0].values, buckets, 0, answers)
+    word, n = t.levels[0].at, len(t.sizes)
+    p_below, count_below = words.probability(c), c
+    log_p = _log10(p_below)[word]
     base = np.log10((c + 0.1) / (words.tokens + 0.1 * (words.types + 1)))
     per = lambda x: np.bincount(t.doc, x, n)
-    at = np.flatnonzero(backs[t.pair])
-    wanted, event = np.unique(t.pair_context[t.pair[at]], return_inverse=True)
-    hashes = lambda places: np.where(places < 0, BEGIN, t.words[np.maximum(places, 0)])
-    state = dump(block.order, t.learn.astype(np.uint8), t.sizes, per(c[t.word] > 0).astype(np.int64), per(base[t.word]), per(log_pair[t.pair]), t.doc[at], event, hashes(wanted))
-    rows = [(-1, 9, state)]
-    own = np.flatnonzero(owner & (pair > 0))
-    places, back = np.unique(t.pair_context[own], return_inverse=True)
-    s1, s2 = np.bincount(back, p_pair[own], len(places)), np.bincount(back, p_word[t.pair_word[own]], len(places))
-    both = np.union1d(hashes(places), hashes(wanted))
-    sums = np.zeros((2, len(both)))
-    sums[:, np.searchsorted(both, hashes(places))] = s1, s2
-    asked = np.isin(both, hashes(wanted))
-    for bucket, part in by_bucket(bucket_of(both, buckets)):
-        rows.append((bucket, 3, dump(np.frombuffer(dump_sorted(both[part]), np.uint8), sums[0, part], sums[1, part], np.packbits(asked[part]))))
+    rows, backed = [], []
+    for shift, (off, lower, level) in enumerate(zip(offs, t.levels, t.levels[1:], strict=False)):
+        count, owner = _collected(level.values, buckets, (shift + 1) * buckets, answers)
+        context = np.where(level.context < 0, texts, count_below[np.maximum(level.context, 0)] if len(count_below) else 0)
+        taken = np.array(off)[np.minimum(count, len(off) - 1)]
+        p = np.divide(count - taken, context, out=np.zeros(len(count)), where=count > 0)
+        seen = (count > 0)[level.at]
+        log_p[level.where[seen]] = _log10(p)[level.at[seen]]
+        at = np.flatnonzero(((count == 0) & (context > 0))[level.at])
+        wanted, event = np.unique(level.context[level.at[at]], return_inverse=True)
+        hashes = lambda places: np.where(places < 0, BEGIN, lower.values[np.maximum(places, 0)])  # noqa: B023, E731
+        backed += [t.doc[level.where[at]], event, hashes(wanted)]
+        own = np.flatnonzero(owner & (count > 0))
+        places, back = np.unique(level.context[own], return_inverse=True)
+        s1, s2 = np.bincount(back, p[own], len(places)), np.bincount(back, p_below[level.end[own]], len(places))
+        both = np.union1d(hashes(places), hashes(wanted))
+        sums = np.zeros((2, len(both)))
+        sums[:, np.searchsorted(both, hashes(places))] = s1, s2
+        asked = np.isin(both, hashes(wanted))
+        for bucket, part in by_bucket(bucket_of(both, buckets)):
+            rows.append((bucket + shift * buckets, 3, dump(np.frombuffer(dump_sorted(both[part]), np.uint8), sums[0, part], sums[1, part], np.packbits(asked[part]))))
+        p_below, count_below = p, count
+    state = dump(block.order, t.learn.astype(np.uint8), t.sizes, per(c[word] > 0).astype(np.int64), per(base[word]), per(log_p), *backed)
+    rows.append((-1, 9, state))
     return [[block.number] * len(rows), *map(list, zip(*rows, strict=True))]
 
 
@@ -210,21 +238,22 @@ def _weights(bodies: list[bytes]) -> list[bytes]:
     return [dump(w[np.unpackbits(p[3], count=len(w)).astype(bool)]) for w, p in zip(np.split(weight, cuts), parts, strict=True)]
 
 
-def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    Learns from rows whose crc32(key as text) modulo mod is not 0.
+    Learns from rows whose crc32(key as text) modulo mod is not 0. order: words of the longest
+    n-grams, 2 or more.
     """
     table = blocks(df, key, text, bytes.lower, BLOCK_TEXT)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, total // BUCKET_TEXT)
-    counts = answer(ask(table, lambda block: _ask_counts(block, mod, buckets), "counts"), _sum_counts, 1)
+    counts = answer(ask(table, lambda block: _ask_counts(block, mod, buckets, order), "counts"), _sum_counts, 1)
     step_done(df.sparkSession)
-    by_word, by_pair = _statistics(counts, buckets)
+    by_word, *longer = _statistics(counts, buckets, order)
     words = Words.of(by_word[-1], by_word[-2], by_word[:-2])
-    off = discounts(by_pair[:-2])
+    offs = [discounts(x[:-2]) for x in longer]
     texts = _learned(table, mod)
-    out = written(with_answers(table, counts, lambda block, answers: _score(block, answers, mod, buckets, words, texts, off), MESSAGE), "contexts")
+    out = written(with_answers(table, counts, lambda block, answers: _score(block, answers, mod, buckets, words, texts, offs), MESSAGE), "contexts")
     step_done(df.sparkSession, table, counts)
     weights = answer(out.where("kind = 3"), _weights, 4)
     step_done(df.sparkSession)
@@ -235,12 +264,14 @@ def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text"
         by = dict(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True))
         rows: list[tuple] = []
         for body in left.column("body").to_pylist():
-            order, learn, sizes, known, base, score, doc, event, wanted = load(body)
-            weight = np.ones(len(wanted))
-            for bucket, part in _parts(wanted, buckets):
-                weight[part] = load(by[bucket])[0]
-            score = score + np.bincount(doc, np.log10(weight)[event], len(score))
-            ids = [None if i == np.iinfo(np.int64).max else i for i in order.tolist()]
+            keys, learn, sizes, known, base, score, *backed = load(body)
+            for n in range(order - 1):
+                doc, event, wanted = backed[3 * n : 3 * n + 3]
+                weight = np.ones(len(wanted))
+                for bucket, part in _parts(wanted, buckets):
+                    weight[part] = load(by[bucket + n * buckets])[0]
+                score = score + np.bincount(doc, np.log10(weight)[event], len(score))
+            ids = [None if i == np.iinfo(np.int64).max else i for i in keys.tolist()]
             held = [i is not None and not x for i, x in zip(ids, learn.tolist(), strict=True)]
             rows += zip(ids, held, sizes.tolist(), known.tolist(), [words.tokens] * len(ids), base.tolist(), score.tolist(), strict=True)
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -263,5 +294,5 @@ def _learned(table: DataFrame, mod: int) -> int:
     return ids.where(F.crc32(F.col("i").cast("string").cast("binary")) % mod != 0).count()
 
 
-def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(documents(spark, sf_dir))
+def op4_katz(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    return scored(documents(spark, sf_dir), order=order)

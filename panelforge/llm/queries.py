@@ -17,11 +17,17 @@ from panelforge.llm.quality import op9_quality
 from panelforge.llm.suffix_dedup import op8_suffix_dedup
 from panelforge.llm.token_files import op5_token_files
 
+
+
+def op4_katz_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_katz(spark, sf_dir, order=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
     "op3_bpe": op3_bpe,
-    "op4_katz": op4_katz,
+    "op4_katz": op4_katz_3,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_media": op7_media,

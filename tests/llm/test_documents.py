@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import blocks, graph, jaccard, katz, langid, media, pii, quality, suffix_dedup
+from panelforge.llm.queries import QUERIES
 
 from .conftest import AWKWARD
 
@@ -153,6 +154,44 @@ def test_op4(spark, folder, empty, monkeypatch):
     assert katz.op4_katz(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_op4_backs_off_over_all_orders(spark, folder, monkeypatch, order):
+    monkeypatch.setattr(katz, "BLOCK_TEXT", 5000)
+    monkeypatch.setattr(katz, "BUCKET_TEXT", 9000)
+    tokens = [(d, ["<s>", *(t or "").encode().lower().split(), "</s>"]) for d, t, _, _ in ROWS]
+    learned = [t for d, t in tokens if d is not None and zlib.crc32(str(d).encode()) % 10]
+    grams = {k: collections.Counter(tuple(t[i - k + 1 : i + 1]) for t in learned for i in range(max(1, k - 1), len(t))) for k in range(1, order + 1)}
+    ofs = lambda c: [0, *(collections.Counter(c.values())[r] for r in range(1, 7))]
+    uni, n = grams[1], sum(grams[1].values())
+    words, offs = katz.Words.of(n, len(uni), ofs(uni)), {k: katz.discounts(ofs(c)) for k, c in grams.items()}
+    seen = lambda h: len(learned) if h == ("<s>",) else grams[len(h)][h]
+    after = collections.defaultdict(list)
+    for k in range(2, order + 1):
+        for g in grams[k]:
+            after[g[:-1]].append(g[-1])
+    weights = {}
+
+    def p(w, h):
+        if not h:
+            return (uni[w,] - words.off[min(uni[w,], 6)]) / n if uni[w,] else words.unknown
+        if c := grams[len(h) + 1][*h, w]:
+            return (c - offs[len(h) + 1][min(c, 6)]) / seen(h)
+        if not seen(h):
+            return p(w, h[1:])
+        if h not in weights:
+            weights[h] = (1 - sum(p(x, h) for x in after[h])) / (1 - sum(p(x, h[1:]) for x in after[h]))
+        return weights[h] * p(w, h[1:])
+
+    for h in [g for g in grams[order - 1] if g[-1] != "</s>"][:10]:
+        assert sum(p(w, h) for (w,) in uni) + p("?", h) == pytest.approx(1)
+    want = collections.defaultdict(list)
+    for d, t in tokens:
+        want[d].append(sum(math.log10(p(t[i], tuple(t[max(0, i - order + 1) : i]))) for i in range(1, len(t))))
+    got = (QUERIES["op4_katz"](spark, folder) if order == 3 else katz.op4_katz(spark, folder, order)).collect()
+    assert len(got) == len(ROWS)
+    assert all(any(r.score == pytest.approx(w) for w in want[r.doc_id]) for r in got)
+
+
 # media
 
 
