@@ -84,6 +84,25 @@ def bootstrap(df: DataFrame, a: str, b: str, draws: int, cut: str = "p") -> Data
     return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((share(F.sum("e0"), F.sum("s")) - share(F.sum("e1"), F.sum("s"))).alias("delta"))
 
 
+def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 2000, seed: int = 42, cut: str = "p") -> DataFrame:
+    """Draws of cuts with replacement by a hash of seed, draw and slot: each draw's difference of weighted errors, a minus b.
+
+    Only each cut's sums are drawn.
+    """
+    sums = df.groupBy(cut).agg(*[F.sum(F.abs(F.col("y") - F.col(c))).alias(f"e{i}") for i, c in enumerate((a, b))], F.sum("y").alias("s"))
+    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cut)) - 1)  # a row a cut
+    n = F.broadcast(sums.agg(F.count(F.lit(1)).alias("n")))  # one row
+    slots = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(n).where("n > 0").select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+    picked = slots.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.col("n")).cast("int").alias("i"))
+    return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((share(F.sum("e0"), F.sum("s")) - share(F.sum("e1"), F.sum("s"))).alias("delta"))
+
+
+def bootstrap_interval(deltas: DataFrame) -> DataFrame:
+    """Number of draws, CI95 of their differences, and the share in which a is better."""
+    better = F.avg((F.col("delta") < 0).cast("double"))
+    return deltas.agg(F.count(F.lit(1)).alias("draws"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), better.alias("better"))
+
+
 def conformal_width(residuals: DataFrame, alpha: float, keys: Sequence[str]) -> DataFrame:
     """The residual at rank ceil((n + 1)(1 - alpha)), at most n, of each group."""
     r = F.row_number().over(Window.partitionBy(*keys).orderBy("residual"))

@@ -90,6 +90,12 @@ def bootstrap(spark, folder):
     return tidy(metrics.bootstrap(forecasts(spark, folder), "champion", "naive", 200), "draw", "delta")
 
 
+@query("MET18_block_bootstrap")
+def block_bootstrap(spark, folder):
+    deltas = metrics.block_bootstrap(forecasts(spark, folder), "champion", "naive")
+    return tidy(metrics.bootstrap_interval(deltas), "draws", "low", "high", "better")
+
+
 _REGIME = "CASE WHEN mes BETWEEN 8 AND 12 THEN 'dry' ELSE 'wet' END"
 
 

@@ -1,5 +1,6 @@
 """Small literal cases of the panel's rules."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,18 @@ def test_library_imports_without_the_optional_folder():
     root = Path(__file__).parent.parent / "panelforge"
     users = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "panelforge.llm" in p.read_text()]
     assert not users
+
+
+def test_block_bootstrap_draws_with_replacement(spark):
+    rng = np.random.default_rng(3)
+    y = rng.poisson(8, 60).astype(float)
+    a, b = y + rng.normal(0, 3, 60), y + rng.normal(0, 3.4, 60)
+    df = spark.createDataFrame([(p, *map(float, v)) for p, v in enumerate(zip(y, a, b, strict=True))], "p int, y double, a double, b double")
+    deltas = metrics.block_bootstrap(df, "a", "b")
+    assert deltas.selectExpr("count(DISTINCT delta)").first()[0] > 1900
+    got = metrics.bootstrap_interval(deltas).first()
+    i = rng.integers(0, 60, (2000, 60))
+    want = (np.abs(y - a)[i].sum(1) - np.abs(y - b)[i].sum(1)) / y[i].sum(1)
+    assert got.draws == 2000
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(want, [2.5, 97.5])), abs=0.02)
+    assert got.better == pytest.approx((want < 0).mean(), abs=0.05)
