@@ -18,6 +18,11 @@ def names(spark, folder):
     return table(spark, folder, "documents").select("doc_id", e.plain_name(F.substring("text", 1, 60)).alias("name"))
 
 
+@query("PRJ05_PRJ07_whole_names")
+def whole_names(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", e.plain_name(F.col("text")).alias("name"))
+
+
 @query("PRJ09_locale_numbers", "WITH n AS (SELECT s_suppkey AS k, replace(printf('%.1f', abs(round(s_acctbal, 1))), '.', ',') AS v FROM supplier) SELECT k, round(CAST(replace(v, ',', '.') AS DOUBLE), 6) AS number, CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(k AS DOUBLE) END AS other FROM n")
 def locale_numbers(spark, folder):
     v = F.replace(F.format_string("%.1f", F.abs(F.round("s_acctbal", 1))), F.lit("."), F.lit(","))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,18 +40,19 @@ def distinct(events: DataFrame, late: str = "60 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _run(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs over what there is; the result as a table. A driver's memory table: for checks, not for production sinks."""
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Runs over what there is; the result as a driver's memory table, so for a row a window or group only."""
     table = f"{name}_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True)
-    q = writer.start()
-    q.awaitTermination()
+    stream.writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(table)
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    return _run(stream, name, "complete")
-
-
 def run_append(stream: DataFrame, name: str) -> DataFrame:
-    return _run(stream, name, "append")
+    """Runs over what there is; the rows as Parquet in the shared folder, beside the stream's checkpoint."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    rows.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(rows)  # there even if nothing arrives
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -99,3 +99,10 @@ def test_block_bootstrap_draws_with_replacement(spark):
     assert got.draws == 2000
     assert (got.low, got.high) == pytest.approx(tuple(np.percentile(want, [2.5, 97.5])), abs=0.02)
     assert got.better == pytest.approx((want < 0).mean(), abs=0.05)
+
+
+def test_whole_names_normalise_past_60_characters(spark, tmp_path):
+    from panelforge.plans import registry
+
+    spark.createDataFrame([(1, "a" * 70 + " -Ção_FIM")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["PRJ05_PRJ07_whole_names"](spark, str(tmp_path)).first().name == "a" * 70 + " cao fim"

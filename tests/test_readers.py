@@ -1,12 +1,15 @@
 """Readers on files made here."""
 
+import datetime
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import spatial
 from panelforge.sources import readers
+from panelforge.streaming import jobs
 
 
 def test_zip_members_keep_their_source_and_bad_text_is_latin(spark, tmp_path):
@@ -59,3 +62,12 @@ def test_manifest_counts_what_was_written(spark, tmp_path):
     readers.append_lines(spark.range(2), str(tmp_path / "log"))
     readers.append_lines(spark.range(3), str(tmp_path / "log"))
     assert readers.json_lines(spark, str(tmp_path / "log"), "id long").count() == 5
+
+
+@pytest.mark.parametrize("n", [0, 6])
+def test_append_streams_are_files(spark, tmp_path, n):
+    rows = [(i % 3, datetime.datetime(2024, 1, 1 + i)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = jobs.run_append(jobs.distinct(jobs.event_stream(spark, f"{tmp_path}/events.parquet")), "t")
+    assert sorted(r.event_id for r in got.collect()) == list(range(min(n, 3)))
+    assert n == 0 or got.inputFiles()
