@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import quoted, small_batches, written
+from panelforge.llm.common import in_slices, quoted, written
 
 BLOCK_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -94,7 +94,7 @@ def blocks(df: DataFrame, key: str = "doc_id", text: str = "text", prepare: Call
             body = zstandard.compress(b"".join(parts), 3)
             return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([list(map(len, parts))], pa.list_(pa.int64())), "body": pa.array([body], pa.binary())})
 
-        for b in batches:
+        for b in in_slices(batches, 1):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = (t or "").encode()
                 ids.append(i)
@@ -106,7 +106,6 @@ def blocks(df: DataFrame, key: str = "doc_id", text: str = "text", prepare: Call
         if ids:
             yield row()
 
-    small_batches(df.sparkSession, 256)
     rows = df.select(F.col(quoted(key)).cast("bigint").alias("k"), F.col(quoted(text)).alias("t"))
     return written(rows.mapInArrow(run, "block bigint, ids array<bigint>, sizes array<bigint>, body binary"), "blocks")
 
@@ -121,11 +120,10 @@ def ask(table: DataFrame, fn: Callable[[Block], Iterator[tuple[int, int, bytes]]
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in in_slices(batches, 3, 1):
             for block in _opened(b.to_pydict()):
                 yield _messages(pa, block.number, fn(block))
 
-    small_batches(table.sparkSession, 1)
     return table.mapInArrow(run, MESSAGE)
 
 

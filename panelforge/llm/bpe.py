@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents, map_values
+from panelforge.llm.common import documents, lone, map_values
 from panelforge.llm.encoding import ChunkEncoder, as_array
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -135,14 +135,16 @@ class Backtracker:
         return self.blob[place].tobytes()
 
 
-@lru_cache(2)
-def tables(path: str) -> Backtracker:
-    return Backtracker(path)
+def backtracking_encoder(path: str) -> ChunkEncoder:
+    return coder(path)[1]
 
 
-@lru_cache(2)
-def backtracking_encoder(path: str) -> ChunkEncoder:
-    bpe = tables(path)
+def coder(path: str) -> tuple[Backtracker, ChunkEncoder]:
+    """The worker's tables of the file at path, and their encoder."""
+    return lone(f"bpe {path}", lambda: _coder(Backtracker(path)))
+
+
+def _coder(bpe: Backtracker) -> tuple[Backtracker, ChunkEncoder]:
     words = regex.compile(public_tokenizers.PATTERN)
     special = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
     pack = [i.to_bytes(4, "little") for i in range(bpe.size)].__getitem__
@@ -162,14 +164,14 @@ def backtracking_encoder(path: str) -> ChunkEncoder:
         parts = special.split(text) if special else [text]
         return [w for p in parts if p for w in ([p] if p in bpe.special else words.findall(p))]
 
-    return ChunkEncoder(encode, True, loose, tuple(bpe.special))
+    return bpe, ChunkEncoder(encode, True, loose, tuple(bpe.special))
 
 
 def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids (little-endian unsigned 32-bit), decoded (the ids' text in UTF-8)."""
 
     def run(texts: list) -> list[list]:
-        bpe, encoder = tables(path), backtracking_encoder(path)
+        bpe, encoder = coder(path)
         ids = [encoder.ids(t or "") for t in texts]
         return [[len(i) // 4 for i in ids], ids, [bpe.decode(as_array(i)) for i in ids]]
 
@@ -180,13 +182,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
 
     def decimal_digests(ids: list) -> list[list]:
-        names = decimals(path)
+        names = lone(f"decimals {path}", lambda: np.array([str(i) for i in range(Backtracker(path).size)], object))
         return [[hashlib.sha256(",".join(names[as_array(i)]).encode()).hexdigest() for i in ids]]
 
     table = encoded(documents(spark, sf_dir), path).withColumn("decoded_sha256", F.sha2("decoded", 256))
     return map_values(table, ["doc_id", "n_tokens", "decoded_sha256"], "ids", "ids_sha256 string", decimal_digests)
-
-
-@lru_cache(1)
-def decimals(path: str) -> np.ndarray:
-    return np.array([str(i) for i in range(tables(path).size)], object)

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named (local mode)."""
+    """The folder all executors share; a temporary one only where none is named and all run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,31 +36,62 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later stages read files, not lineage on executors."""
+    """df as a table in the shared folder: later stages read files, not lineage on executors.
+
+    The shuffle files of the job go when it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def step_done(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def step_done(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets the shuffle files of finished steps go.
+_held: dict[str, object] = {}
+
+
+def lone(name: str, make: Callable[[], object]) -> object:
+    """The one large object that a Python worker holds; making another lets the last one go first."""
+    if name not in _held:
+        _held.clear()
+        give_back()
+        _held[name] = make()
+    return _held[name]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import pyarrow as pa
 
-    Spark deletes shuffle files once the driver's garbage collector has seen that nothing
-    refers to them; without a hint that can take longer than the job.
-    """
-    for table in tables:
-        if files := table.inputFiles():
-            jvm = table.sparkSession._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
     gc.collect()
-    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what one Arrow batch holds when single texts can be megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_slices(batches: Iterator, column: int, rows: int = 512, size: int = 4 << 20) -> Iterator:
+    """Batches cut so that the column's values take about size bytes in each, and memory given back at the task's end."""
+    try:
+        for b in batches:
+            step = max(1, min(rows, b.num_rows * size // max(b.column(column).nbytes, 1)))
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
+    finally:
+        give_back()
 
 
 def remainder(doc_id: str, mod: int):
@@ -77,7 +114,6 @@ def map_values(df: DataFrame, keep: Sequence[str], value: str, columns: str, fn:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    small_batches(df.sparkSession)
     made = T.StructType.fromDDL(columns)
     schema = T.StructType([df.schema[k] for k in keep] + made.fields)
     types, n = to_arrow_schema(made).types, len(keep)
@@ -87,7 +123,7 @@ def map_values(df: DataFrame, keep: Sequence[str], value: str, columns: str, fn:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in in_slices(batches, n):
             out = fn(b.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names=schema.names)
 

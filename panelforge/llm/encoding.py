@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
+from panelforge.llm.common import lone
+
+#: Chunks whose ids a worker keeps: about 200 bytes each.
+KEPT = 400_000
 #: A blank after which no chunk starts.
 _LOOSE = re.compile(r" (?=\s|\Z)")
 #: Letters that keep their meaning beside any punctuation, marks, and the same on a next line.
@@ -38,7 +41,7 @@ class ChunkEncoder:
     letters, each after a blank if blank is set.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], glued: bool, loose: Callable[[str], list[str]], special: tuple[str, ...], limit: int = 1_200_000, words: Callable | None = None, fold: Callable[[str], str] = str):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], glued: bool, loose: Callable[[str], list[str]], special: tuple[str, ...], limit: int = KEPT, words: Callable | None = None, fold: Callable[[str], str] = str):
         self.encode, self.glued, self.loose, self.special, self.fold = encode, glued, loose, special, fold
         self.words = words or (lambda found, blank: encode([blank + w for w in found]))
         self.limit = limit
@@ -117,8 +120,12 @@ def _cut(ids: np.ndarray, starts: np.ndarray, n: int) -> list[bytes] | None:
     return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-@lru_cache(4)
 def library_encoder(path: str, glued: bool) -> ChunkEncoder:
+    """The worker's encoder of the file at path."""
+    return lone(f"encoder {path} {glued}", lambda: _library_encoder(path, glued))
+
+
+def _library_encoder(path: str, glued: bool) -> ChunkEncoder:
     """Chunks encoded by the tokenizers library from the file at path.
 
     Many chunks go to the library as one text. Words are told apart again by the tokens that

@@ -248,15 +248,13 @@ def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text"
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, total // BUCKET_TEXT)
     counts = answer(ask(table, lambda block: _ask_counts(block, mod, buckets, order), "counts"), _sum_counts, 1)
-    step_done(df.sparkSession)
     by_word, *longer = _statistics(counts, buckets, order)
     words = Words.of(by_word[-1], by_word[-2], by_word[:-2])
     offs = [discounts(x[:-2]) for x in longer]
     texts = _learned(table, mod)
     out = written(with_answers(table, counts, lambda block, answers: _score(block, answers, mod, buckets, words, texts, offs), MESSAGE), "contexts")
-    step_done(df.sparkSession, table, counts)
+    step_done(table, counts)
     weights = answer(out.where("kind = 3"), _weights, 4)
-    step_done(df.sparkSession)
 
     def finish(left, right):
         import pyarrow as pa

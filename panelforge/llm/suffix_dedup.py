@@ -237,7 +237,6 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
 
     kinds = answer(ask(table, ask_triggers, "triggers"), _classify, 1)
 
-    step_done(df.sparkSession)
 
     def opened(block: Block, answers: dict[tuple[int, int], bytes]) -> Dictionary:
         return Dictionary(block, length, {bucket: body for (kind, bucket), body in answers.items() if kind == 1}, tb, pb)
@@ -247,7 +246,6 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
         return [[block.number] * len(rows), [r[0] for r in rows], [2] * len(rows), [r[1] for r in rows]]
 
     least = answer(with_answers(table, kinds, ask_phrases, "block bigint, bucket bigint, kind int, body binary"), lambda bodies: _least(bodies, length), 2)
-    step_done(df.sparkSession)
     both = kinds.unionByName(least)
     kept = with_answers(table, both, lambda block, answers: _kept(block, opened(block, answers), answers, length), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
     return kept.withColumn("k", F.col("k").cast(df.schema[key].dataType)).withColumnRenamed("k", key)

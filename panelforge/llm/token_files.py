@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import documents, fresh_path, quoted, small_batches, written
+from panelforge.llm.common import documents, fresh_path, in_slices, quoted, written
 from panelforge.llm.encoding import as_array, library_encoder
 
 VOCABULARY, VOCABULARY_SIZE, END = "word_bpe_49k.json", 49_408, 1
@@ -138,7 +138,6 @@ def write_files(df: DataFrame, vocabulary: str, vocabulary_size: int, end: int |
     bits = width(vocabulary_size)
     key_field = T.StructField("k", df.schema[key].dataType)
     schema = T.StructType([key_field, *T.StructType.fromDDL("part bigint, file string, first bigint, n_tokens bigint").fields])
-    small_batches(spark)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -147,7 +146,7 @@ def write_files(df: DataFrame, vocabulary: str, vocabulary_size: int, end: int |
         encoder = library_encoder(vocabulary, False)
         tail = b"" if end is None else struct.pack("<I", end)
         partition, roll, writer = TaskContext.get().partitionId(), 0, None
-        for b in batches:
+        for b in in_slices(batches, 1):
             out: list[tuple] = []
             for t in b.column(1).to_pylist():
                 if writer is None or writer.n >= FILE_IDS:

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
+from panelforge.llm.common import lone
+
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-@lru_cache(1)
-def _known() -> _Hashes:
-    return _Hashes()
-
-
 def word_hashes(data: bytes) -> np.ndarray:
     """Hashes of the words that ASCII white space parts."""
     words = data.split()
-    return np.fromiter(map(_known().__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(lone("words", _Hashes).__getitem__, words), np.uint64, len(words))
