@@ -1,17 +1,23 @@
-"""Jaccard join on word n-grams: tiles by shared rare place and size, bitmaps, exact sets.
+"""Jaccard join on word n-grams: size-banded tiles, hashed bitmap signatures, exact sets.
 
 A document's set is its distinct word shingles as sorted 64-bit hashes. Equal sets are one
-node, named by a 64-bit hash of the set. Two sets of enough similarity share one of the
-smallest hashes that each starts with, so nodes meet in tiles: one such hash and a band of
-set sizes. Sets of LONG hashes and more would meet by chance in many such places; they are cut
-by hash range into more parts than two similar sets of their size can differ in, so that one
-whole part is the same in both, and meet in tiles by equal parts. A signature of SIGNATURE bits holds the parity of the hashes on each bit; the
-count of differing bits never exceeds the sets' difference, which bounds the overlap from
-above. What this bound lets through is decided by intersecting the sorted sets.
-
-Classes need only enough links to be connected. HUB_ROUNDS rounds compare each node with one
-node of its tile, picked anew each round; then every pair of nodes that share a tile and
-still lie in different classes is compared. No pair is dropped otherwise.
+node, named by a 64-bit hash of the set.
+
+Tiles. Sizes are cut into bands. In the band of the larger one, two similar sets differ in at
+most d hashes; the hash range is cut into more than d parts, so some part is the same in both,
+and nodes meet in tiles by the hash of a whole part. A part holds several hashes, so a passage
+that many documents share makes no tile of them all. Sets with more empty parts than there are
+spare ones also meet by their smallest hashes, one of which similar sets share. Tiles with the
+same members are one tile. Tiles of more than CHUNK members are cut into pairs of chunks.
+
+Bitmaps. A signature of SIGNATURE bits holds the parity of the hashes on each bit. The count
+of differing bits never exceeds the sets' difference, which bounds the overlap from above.
+
+Exact sets. First each node is held against the most similar earlier node of its tile by
+signature; the sets of these pairs are intersected and classes made of the links. Members of
+tiles that still have a pair which the bitmaps allow and which lies in two classes meet again
+with their texts, and such pairs are intersected inside the tile until one class or no link is
+left. So a group of near copies makes rows in proportion to its members, and no pair is dropped.
 
 Null text, or text without words, has an empty set and is linked with nothing, as are rows
 with a null id; the latter have no class. Rows that repeat an id are taken one by one.
@@ -21,17 +27,19 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents, map_values, quoted, step_done, written
+from panelforge.llm.common import documents, give_back, map_values, quoted, step_done, written
 from panelforge.llm.graph import components
 from panelforge.llm.words import word_hashes
 
-WORDS, PERCENT, SIGNATURE, HUB_ROUNDS, LONG, BAND = 4, 85, 1024, 2, 2500, 1.5
+WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL = 4, 85, 1024, 1.25, 512, 16
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_TILE = ["key", "lo", "hi"]
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -53,9 +61,9 @@ def _node(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _signature(hashes: np.ndarray) -> list[int]:
+def signature_of(hashes: np.ndarray) -> bytes:
     parity = (np.bincount((hashes % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64).tolist()
+    return np.packbits(parity).tobytes()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,139 +72,277 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def part_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Keys of a long set's parts, one of which any similar set of at least LONG hashes shares.
+def _band(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+
+
+def meeting_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Keys of each set, one of which any other similar set shares.
 
-    Both sets of a pair use the parts of the larger one's band. A band with sizes below top
-    has differences of at most d, and more parts than d by a tenth, so that some equal part is
-    not empty. A set that leaves too many parts empty says so by a key of its own.
+    A set has the parts of its own band and of every band that a larger similar set can have.
+    With d differences at most, d + 1 parts and the spare ones leave more equal parts than
+    there are spare ones. Were these all empty, both sets would have more empty parts than
+    spare ones, and then both have their smallest hashes as keys too.
     """
-    n, out = len(hashes), []
-    band = int(np.log(n / LONG) / np.log(BAND) + 1e-9)
-    for b in (band, band + 1):
-        low, top = LONG * BAND**b, LONG * BAND ** (b + 1)
-        if b > band and 100 * n < percent * low:
-            continue
-        d = int((100 - percent) * 2 * top / (100 + percent))
-        parts = d + d // 10 + 2
-        place = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        first = np.flatnonzero(np.diff(place, prepend=np.uint64(parts)) != 0)
-        sums = np.add.reduceat(_mixed(hashes), first)
-        out.append(_mixed(sums + place[first] * _FACTOR + np.uint64(b)))
-        if parts - len(first) >= parts - d:
-            out.append(_mixed(np.array([b], np.uint64)))
-    return out
-
-
-def described(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, node, signature, and keys, one of which any similar set shares: the smallest hashes or whole parts."""
-
-    def run(texts: list) -> list[list]:
-        out: list[list] = [[], [], [], []]
-        for t in texts:
-            s = shingle_set(t, k)
-            n = len(s)
-            keys = [s[: n - -(-percent * n // 100) + 1]] if 0 < percent * n < 100 * LONG else []
-            first = np.concatenate([s[:0], *keys, *(part_keys(s, percent) if n >= LONG else [])])
-            for column, value in zip(out, (n, _node(s), _signature(s), first.view(np.int64)), strict=True):
-                column.append(value)
-        return out
-
-    return map_values(df, [key], text, "n_shingles bigint, node bigint, signature array<bigint>, keys array<bigint>", run)
-
-
-def _differ(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SIGNATURE // 64))
-
-
-def _may_link(percent: int, a: str, b: str) -> str:
-    """Whether sizes and signatures allow enough overlap: differing <= sizes * (100 - p) / (100 + p)."""
-    sizes = f"({a}.n_shingles + {b}.n_shingles)"
-    return (
-        f"100 * least({a}.n_shingles, {b}.n_shingles) >= {percent} * greatest({a}.n_shingles, {b}.n_shingles) "
-        f"AND ({100 + percent}) * ({_differ(f'{a}.signature', f'{b}.signature')}) <= ({100 - percent}) * {sizes}"
-    )
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose exact sets are similar enough. Texts travel compressed."""
-    pairs = written(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(asked, "node").select(F.col("rep"))
+    sizes = np.array(list(map(len, sets)), np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner, mixed = np.repeat(np.arange(len(sets)), sizes), _mixed(flat)
+    first_band, last_band = _band(sizes), _band(100 * sizes // percent)
+    keys, owners = [flat[:0]], [owner[:0]]
+    for shift in range(int((last_band - first_band).max(initial=-1)) + 1):
+        band = first_band + shift
+        d = (100 - percent) * 2 * np.ceil(BAND ** (band + 1)).astype(np.int64) // (100 + percent)
+        used = (sizes > 0) & (band <= last_band) & (d > 0)
+        spare = d // 10 + (d > 3)
+        parts = d + 1 + spare
+        chosen = used[owner]
+        own = owner[chosen]
+        place = (flat[chosen] >> np.uint64(32)) * parts[own].astype(np.uint64) >> np.uint64(32)
+        first = np.flatnonzero((np.diff(place, prepend=place[:1]) != 0) | (np.diff(own, prepend=-1) != 0))
+        whose = own[first]
+        sums = np.add.reduceat(mixed[chosen], first) if len(first) else mixed[:0]
+        keys.append(_mixed(sums + place[first] * _FACTOR + band[whose].astype(np.uint64)))
+        owners.append(whose)
+        for i in np.flatnonzero(used & (parts - np.bincount(whose, minlength=len(sets)) > spare)):
+            small = sets[i][: sizes[i] + percent * sizes[i] // -100 + 1]
+            keys.append(_mixed(small ^ _mixed(band[i : i + 1].astype(np.uint64) + _FACTOR)))
+            owners.append(np.full(len(small), i))
+    whose = np.concatenate(owners)
+    order = np.argsort(whose, kind="stable")
+    return np.split(np.concatenate(keys)[order], np.cumsum(np.bincount(whose, minlength=len(sets)))[:-1]) if len(sets) else []
+
+
+def described(df: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, signature, and keys. Within a task, a set that came before has no keys, nor has a row without an id."""
+    seen: set[int] = set()
+
+    def run(rows: list) -> list[list]:
+        sets = [shingle_set(r["text"], k) for r in rows]
+        nodes = list(map(_node, sets))
+        if len(seen) > 200_000:
+            seen.clear()
+        new = []
+        for r, node in zip(rows, nodes, strict=True):
+            new.append(r["named"] and node not in seen)
+            if new[-1]:
+                seen.add(node)
+        keys = meeting_keys([s if x else s[:0] for s, x in zip(sets, new, strict=True)], percent)
+        return [list(map(len, sets)), nodes, list(map(signature_of, sets)), [x.view(np.int64) for x in keys]]
+
+    rows = df.select("doc_id", F.struct(F.col("doc_id").isNotNull().alias("named"), "text").alias("t"))
+    return map_values(rows, ["doc_id"], "t", "n_shingles bigint, node bigint, signature binary, keys array<bigint>", run)
+
+
+class Members:
+    """Members of whole tiles, tile by tile: node, size, signature, class, and side of the tile."""
+
+    def __init__(self, batch, percent: int):
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        self.percent, self.node, self.n, self.c, self.side = percent, column("node"), column("n_shingles"), column("c"), column("side")
+        self.bits = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
+        tile = np.stack([column(c) for c in _TILE])
+        self.starts = np.append(np.flatnonzero((np.diff(tile, axis=1, prepend=tile[:, :1] ^ 1) != 0).any(0)), len(self.node))
+        self.whole = tile[1] == tile[2]  # else only members of different sides meet
+
+    def _allowed(self, i, j, differ: np.ndarray) -> np.ndarray:
+        a, b, p = self.n[i], self.n[j], self.percent
+        near = ((100 + p) * differ <= (100 - p) * (a + b)) & (100 * np.minimum(a, b) >= p * np.maximum(a, b))
+        return near & (self.c[i] != self.c[j]) & (self.whole[i] | (self.side[i] != self.side[j]))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places (i, j), i before j in one tile and apart, that the bitmaps allow, and their differing bits.
+
+        All pairs of a place j come together.
+        """
+        sizes = np.diff(self.starts)
+        small = np.repeat(sizes <= SMALL, sizes)
+        ends = np.repeat(self.starts[1:], sizes)
+        place = np.flatnonzero(small)
+        found = []
+        for step in range(1, SMALL):
+            i = place[place + step < ends[place]]
+            differ = np.bitwise_count(self.bits[i] ^ self.bits[i + step]).sum(1, dtype=np.int64)
+            ok = self._allowed(i, i + step, differ)
+            found.append((i[ok], i[ok] + step, differ[ok]))
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        for t in np.flatnonzero(sizes > SMALL):
+            start, end = self.starts[t], self.starts[t + 1]
+            for a in range(start, end, 64):
+                b = min(a + 64, end)
+                differ = np.zeros((b - a, b - start), np.int64)
+                for w in range(SIGNATURE // 64):
+                    differ += np.bitwise_count(self.bits[a:b, w, None] ^ self.bits[None, start:b, w])
+                j, i = np.arange(a, b)[:, None], np.arange(start, b)[None]
+                y, x = np.nonzero(self._allowed(i, j, differ) & (i < j))
+                yield x + start, y + a, differ[y, x]
+
+
+def _by_tiles(batches: Iterator) -> Iterator:
+    """Batches, sorted by tile, dealt anew so that each holds whole tiles."""
+    import pyarrow as pa
+
+    held = None
+    try:
+        for b in batches:
+            held = b if held is None else pa.concat_batches([held, b])
+            if held.num_rows < 4 * CHUNK:
+                continue
+            last = [held.column(c)[held.num_rows - 1].as_py() for c in _TILE]
+            other = np.zeros(held.num_rows, bool)
+            for c, v in zip(_TILE, last, strict=True):
+                other |= held.column(c).to_numpy(zero_copy_only=False) != v
+            if (cut := int(other.sum())):
+                yield held.slice(0, cut)
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield held
+    finally:
+        give_back()
+
+
+def _closest(rows: DataFrame, percent: int) -> DataFrame:
+    """For each member, the earlier one of its tile that is likest by signature, if one is like enough: a, b and their classes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in _by_tiles(batches):
+            m = Members(b, percent)
+            for i, j, differ in m.pairs():
+                order = np.lexsort((differ / (m.n[i] + m.n[j]), j))
+                first = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m.node[i[first]], m.node[j[first]], m.c[i[first]], m.c[j[first]])], names=["a", "b", "ca", "cb"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint")
+
+
+def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
+    """The members that the bitmaps allow to be like a member of another class in their tile."""
+
+    def run(batches: Iterator) -> Iterator:
+        for b in _by_tiles(batches):
+            m = Members(b, percent)
+            open_ = np.zeros(b.num_rows, bool)
+            for i, j, _ in m.pairs():
+                open_[i] = open_[j] = True
+            if open_.any():
+                yield b.take(np.flatnonzero(open_))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _settled(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes, found by intersecting exact sets inside tiles."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in _by_tiles(batches):
+            m, body, known, up = Members(b, percent), b.column("body"), {}, {}
+            found: list[tuple[int, int]] = []
+
+            def top(c: int) -> int:
+                while up.get(c, c) != c:  # noqa: B023
+                    c = up[c]  # noqa: B023
+                return c
+
+            for i, j, differ in m.pairs():
+                for at in np.argsort(differ / (m.n[i] + m.n[j]), kind="stable"):
+                    x, y = int(i[at]), int(j[at])
+                    ca, cb = top(int(m.c[x])), top(int(m.c[y]))
+                    if ca == cb:
+                        continue
+                    for p in (x, y):
+                        if p not in known:
+                            if len(known) > 4 * CHUNK:
+                                known.clear()
+                            known[p] = shingle_set(zlib.decompress(body[p].as_py()).decode(), k)
+                    if x not in known:  # cleared for y
+                        known[x] = shingle_set(zlib.decompress(body[x].as_py()).decode(), k)
+                    if _alike(known[x], known[y], percent):
+                        up[max(ca, cb)] = min(ca, cb)
+                        found.append((int(m.c[x]), int(m.c[y])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["ca", "cb"])
+
+    return rows.mapInArrow(run, "ca bigint, cb bigint")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _bodies(asked: DataFrame, nodes: DataFrame, df: DataFrame, k: int) -> DataFrame:
+    """node and body, the compressed text of one of its documents, for the nodes asked for.
+
+    Texts are a fraction of the size of their sets of 64-bit hashes, which don't compress.
+    """
+    asked = asked.distinct()
+    ids = nodes.join(asked, "node").select("rep")
 
     def load(texts: list) -> list[list]:
         return [[_node(shingle_set(t, k)) for t in texts], [zlib.compress((t or "").encode(), 1) for t in texts]]
 
-    chosen = df.join(ids, df[key] == ids["rep"], "left_semi")
-    bodies = map_values(chosen, [key], text, "node bigint, body binary", load).select("node", "body").dropDuplicates(["node"])
-    bodies = written(bodies.join(asked, "node", "left_semi"), "bodies")
+    chosen = df.join(ids, df["doc_id"] == ids["rep"], "left_semi")
+    bodies = map_values(chosen, ["doc_id"], "text", "node bigint, body binary", load).select("node", "body")
+    return written(bodies.dropDuplicates(["node"]).join(asked, "node", "left_semi"), "bodies")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose exact sets are similar enough."""
+    bodies = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, df, k)
 
     def similar(both: list) -> list[list]:
-        out = []
-        for x in both:
-            a, b = (shingle_set(zlib.decompress(x[side]).decode(), k) for side in ("x", "y"))
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * shared >= percent * (len(a) + len(b) - shared))
-        return [out]
+        return [[_alike(*(shingle_set(zlib.decompress(x[side]).decode(), k) for side in ("x", "y")), percent) for x in both]]
 
     left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
-    both = left.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", F.struct("x", "y").alias("xy"))
-    return map_values(both, ["a", "b"], "xy", "similar boolean", similar).where("similar").select("a", "b")
+    both = left.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("ca", "cb", F.struct("x", "y").alias("xy"))
+    return map_values(both, ["ca", "cb"], "xy", "similar boolean", similar).where("similar").select("ca", "cb")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with the classes that links join made one."""
+    new = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), "component")
+    return written(labels.join(new, "c", "left").select("node", F.coalesce("component", "c").alias("c")), "classes")
 
 
 def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id, the smallest key in reach, for every row."""
     df = df.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    sets = written(described(df, k, percent, "doc_id", "text"), "sets")
+    sets = written(described(df, k, percent), "sets")
     usable = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    whole = written(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "signature", "keys")]), "nodes")
-    step_done(df.sparkSession)
-    placed = whole.select("node", F.explode("keys").alias("key"))
-    often = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    tiles = written(placed.join(often, "key"), "tiles")
-    all_rows = written(sets.select("doc_id", "n_shingles", "node"), "members")
-    nodes = written(whole.select("node", "rep", "n_shingles", "signature"), "nodes")
-    del usable, placed, often
-    step_done(df.sparkSession, sets, whole)
-    known = nodes.select("node", "n_shingles", "signature")
-    found, labels = None, None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return tiles.withColumn("c", F.col("node"))
-        return tiles.join(labels.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-
-    def add(pairs: DataFrame):
-        links = written(_confirmed(pairs, nodes, df, k, percent, "doc_id", "text"), "similar")
-        whole = links if found is None else found.unionByName(links)
-        out = written(components(whole), "classes")
-        step_done(df.sparkSession)
-        return whole, out
-
-    for turn in range(HUB_ROUNDS):
-        rows = labelled()
-        hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c")).alias("hub"))
-        pairs = rows.join(hubs, "key").where("c <> hub.c").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        pairs = pairs.join(known.select(F.col("node").alias("a"), F.struct("n_shingles", "signature").alias("p")), "a")
-        pairs = pairs.join(known.select(F.col("node").alias("b"), F.struct("n_shingles", "signature").alias("q")), "b")
-        found, labels = add(pairs.where(_may_link(percent, "p", "q")).select("a", "b"))
-
-    band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9)
-    rows = labelled().join(nodes.select("node", band.alias("band")), "node")
-    around = F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band")
-    split = rows.select("key", around, "c").groupBy("key", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "band")
-    rest = written(rows.join(split, ["key", "band"]).join(known, "node"), "rest")
-    step_done(df.sparkSession)
-    one = rest.select("key", "band", F.struct("band", "node", "c", "n_shingles", "signature").alias("p"))
-    other = rest.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.struct("band", "node", "c", "n_shingles", "signature").alias("q"))
-    apart = f"(p.band > q.band OR p.node < q.node) AND p.c <> q.c AND {_may_link(percent, 'p', 'q')}"
-    pairs = one.join(other, (one["key"] == other["key"]) & (one["band"] == other["band"]) & F.expr(apart)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    found, labels = add(pairs)
-
-    owners = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = owners.groupBy("component").agg(F.min("rep").alias("component_id"))
-    owners = owners.join(least, "component").select("node", F.col("component_id").alias("c"))
-    out = all_rows.select("doc_id", "n_shingles", "node").join(owners, "node", "left")
+    nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
+    placed = usable.select("node", F.explode("keys").alias("key"))
+    often = written(placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "often")
+    met = written(placed.join(often, "key").distinct(), "met")
+    docs = written(sets.select("doc_id", "n_shingles", "node"), "members")
+    step_done(sets, often)
+
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    one = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *hashes).groupBy("members", "h0", "h1").agg(F.min("key").alias("key"))
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+    tiles = met.join(one, "key").select("key", "node", chunks.alias("chunks")).withColumn("own", own)
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = written(tiles.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node"), "tiles")
+    step_done(met)
+    labels = nodes.select("node", F.col("node").alias("c"))
+
+    def dealt(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node").join(labels, "node")
+        return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node")
+
+    pairs = written(_closest(dealt(tiles, labels), percent).dropDuplicates(["a", "b"]), "pairs")
+    labels = _merged(labels, written(_confirmed(pairs, nodes, df, k, percent), "similar"))
+    rest = written(_unsettled(dealt(tiles, labels), percent).select(*_TILE, "side", "node"), "rest")
+    bodies = _bodies(rest.select("node"), nodes, df, k)
+    labels = _merged(labels, written(_settled(dealt(rest.join(bodies, "node"), labels), k, percent), "similar"))
+
+    owners = nodes.select("node", "rep").join(labels, "node")
+    least = owners.groupBy("c").agg(F.min("rep").alias("component_id"))
+    owners = owners.join(least, "c").select("node", F.col("component_id").alias("c"))
+    out = docs.join(owners, "node", "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("c"))
     return out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(linked, F.col("doc_id"))).alias("component_id"))
 

@@ -339,13 +339,39 @@ def classes_of(rows, k, percent):
     return [(r[0], len(sets[i]), least[top(i)] if r[0] is not None else None) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("rounds", [2, 0])
-def test_op10(spark, folder, empty, monkeypatch, rounds):
-    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize(("chunk", "small"), [(512, 16), (4, 2)])
+def test_op10(spark, folder, empty, monkeypatch, chunk, small):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     same(jaccard.op10_jaccard(spark, folder).collect(), classes_of(ROWS, 4, 85))
     assert jaccard.op10_jaccard(spark, empty).count() == 0
 
 
+def test_op10_on_sizes_near_the_bound(spark, save):
+    """Pairs at and just below 85 in 100, of all sizes, in one band and across two."""
+    rows = []
+    for n, size in enumerate([3, 4, 7, 8, 9, 12, 20, 21, 47, 60, 100, 170, 333, 900, 2400, 2500, 2941, 3300]):
+        words = [f"w{n}x{i}" for i in range(size + 3)]
+        rows.append((1000 * n, " ".join(words), "en", "s"))
+        for k in (int(0.15 * size), int(0.15 * size) + 1, int(0.15 * size / 1.85), int(0.15 * size / 1.85) + 1):
+            rows.append((1000 * n + 2 * k + 1, " ".join(words[k:]), "en", "s"))
+            rows.append((1000 * n + 2 * k + 2, " ".join([f"v{n}x{k}x{i}" for i in range(k)] + words[k:]), "en", "s"))
+    got = jaccard.op10_jaccard(spark, save(rows)).collect()
+    same(got, classes_of(rows, 4, 85))
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 60), 200, 800, 2600]:
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        for percent in (80, 85):
+            for lost, won in ((0, 1), (1, 0), (n // 12, n // 12), (0, n * 15 // 85), (n * 15 // 100, 0)):
+                other = np.unique(np.concatenate([base[lost:], rng.integers(0, 1 << 63, won).astype(np.uint64)]))
+                if len(other) and jaccard._alike(base, other, percent) and len(np.setxor1d(base, other)):
+                    a, b = jaccard.meeting_keys([base, other], percent)
+                    assert len(np.intersect1d(a, b)), (n, lost, won)
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(60))
     RNG.shuffle(ids)
@@ -355,7 +381,7 @@ def test_components_of_a_long_path(spark):
 
 def test_signatures_bound_the_overlap():
     a, b = jaccard.shingle_set(BASE[0], 4), jaccard.shingle_set(near(BASE[0], 5), 4)
-    bits = lambda s: np.array(jaccard._signature(s)).view(np.uint8)
+    bits = lambda s: np.frombuffer(jaccard.signature_of(s), np.uint8)
     assert np.unpackbits(bits(a) ^ bits(b)).sum() <= len(np.setxor1d(a, b))
 
 
