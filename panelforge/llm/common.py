@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -38,16 +38,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later stages read files, not lineage on executors.
 
-    The shuffle files of the job go when it has ended, as nothing reads them again.
+    The shuffle files of the job go when it has ended, as nothing reads them again, and Arrow
+    batches are small in it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
     try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table

@@ -16,7 +16,7 @@ of differing bits never exceeds the sets' difference, which bounds the overlap f
 Exact sets. First each node is held against the most similar earlier node of its tile by
 signature; the sets of these pairs are intersected and classes made of the links. Members of
 tiles that still have a pair which the bitmaps allow and which lies in two classes meet again
-with their texts, and such pairs are intersected inside the tile until one class or no link is
+with their texts, in one tile where several have the same such members, and such pairs are intersected inside the tile until one class or no link is
 left. So a group of near copies makes rows in proportion to its members, and no pair is dropped.
 
 Null text, or text without words, has an empty set and is linked with nothing, as are rows
@@ -37,7 +37,7 @@ from panelforge.llm.common import documents, give_back, map_values, quoted, step
 from panelforge.llm.graph import components
 from panelforge.llm.words import word_hashes
 
-WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL = 4, 85, 1024, 1.25, 512, 16
+WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL = 4, 85, 2048, 1.25, 512, 16
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TILE = ["key", "lo", "hi"]
 
@@ -307,6 +307,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(new, "c", "left").select("node", F.coalesce("component", "c").alias("c")), "classes")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows of tiles, of which one is kept where several have the same members on the same sides."""
+    hashes = [F.bit_xor(F.xxhash64("node", "side", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    sums = rows.groupBy(*_TILE).agg(F.count(F.lit(1)).alias("members"), *hashes)
+    one = sums.groupBy("members", "h0", "h1", F.col("lo") == F.col("hi")).agg(F.min(F.struct(*_TILE)).alias("tile"))
+    return rows.join(one.select("tile.*"), _TILE, "left_semi")
+
+
 def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id, the smallest key in reach, for every row."""
     df = df.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"))
@@ -335,7 +343,7 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
 
     pairs = written(_closest(dealt(tiles, labels), percent).dropDuplicates(["a", "b"]), "pairs")
     labels = _merged(labels, written(_confirmed(pairs, nodes, df, k, percent), "similar"))
-    rest = written(_unsettled(dealt(tiles, labels), percent).select(*_TILE, "side", "node"), "rest")
+    rest = written(_once(written(_unsettled(dealt(tiles, labels), percent).select(*_TILE, "side", "node"), "open")), "rest")
     bodies = _bodies(rest.select("node"), nodes, df, k)
     labels = _merged(labels, written(_settled(dealt(rest.join(bodies, "node"), labels), k, percent), "similar"))
 
