@@ -57,6 +57,12 @@ def triggers(data: bytes, length: int) -> np.ndarray:
     return low
 
 
+def _spread(low: np.ndarray) -> np.ndarray:
+    """Least hashes lie at the low end of the hash range; this deals them over all of it, one to one."""
+    out = low * np.uint64(0x94D049BB133111EB)
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+
 class Phrases:
     """A block's phrases: first stretch, number of stretches, trigger, and document."""
 
@@ -79,7 +85,7 @@ class Phrases:
         step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         self.at = np.repeat(first, cuts) + step * PHRASE
         self.n = np.minimum(np.repeat(ends, cuts) - self.at, PHRASE)
-        self.doc, self.trigger = doc[self.at], low[self.at]
+        self.doc, self.trigger = doc[self.at], _spread(low[self.at])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct triggers in order, the documents that have each (two count as many), and each phrase's trigger."""
@@ -198,8 +204,7 @@ def _least(bodies: list[bytes], length: int) -> list[bytes]:
 
 
 def _kept(block: Block, dictionary: Dictionary, answers: dict[tuple[int, int], bytes], length: int) -> list[list]:
-    cover = np.zeros(len(block.data) + 1, np.int64)
-    ids = block.order[dictionary.doc]
+    ids, starts = block.order[dictionary.doc], [np.zeros(0, np.int64)]
     for bucket, part, phrases, _ in dictionary.parts:
         runs, values = load(answers[2, bucket])
         flat = np.repeat(values, runs)
@@ -209,9 +214,9 @@ def _kept(block: Block, dictionary: Dictionary, answers: dict[tuple[int, int], b
         c = count[number]
         step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         earlier = flat[np.repeat(offsets[number], c) + step] < np.repeat(ids[part], c)
-        at = (np.repeat(dictionary.at[part], c) + step)[earlier]
-        cover += np.bincount(at, minlength=len(cover))
-        cover -= np.bincount(at + length, minlength=len(cover))
+        starts.append((np.repeat(dictionary.at[part], c) + step)[earlier])
+    at = np.concatenate(starts)
+    cover = np.bincount(at, minlength=len(block.data) + 1) - np.bincount(at + length, minlength=len(block.data) + 1)
     gone = np.cumsum(cover)[:-1] > 0
     data = np.frombuffer(block.data, np.uint8)
     out: list[list] = [block.ids, block.sizes.tolist(), [], [], [], []]
