@@ -135,9 +135,6 @@ class Backtracker:
         return self.blob[place].tobytes()
 
 
-def backtracking_encoder(path: str) -> ChunkEncoder:
-    return coder(path)[1]
-
 
 def coder(path: str) -> tuple[Backtracker, ChunkEncoder]:
     """The worker's tables of the file at path, and their encoder."""

@@ -25,6 +25,7 @@ With nothing to learn from, the word model has the unknown class alone.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,21 +45,34 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def smoothed(counts_of_counts: list[int]) -> list[float]:
+    """Counts of counts made a falling power of the count: the line of least squares through their logarithms.
+
+    Each point weighs its count of counts. The slope is kept between -3 and -1.05, so that the
+    expected counts of Good-Turing fall below the counts and stay positive. One point or none
+    takes a slope of -2.
+    """
+    points = [(math.log(r), math.log(n), n) for r, n in enumerate(counts_of_counts) if r and n]
+    total = sum(w for *_, w in points)
+    x0, y0 = (sum(w * p[i] for *p, w in points) / total for i in (0, 1)) if points else (0.0, 0.0)
+    spread = sum(w * (x - x0) ** 2 for x, _, w in points)
+    slope = sum(w * (x - x0) * (y - y0) for x, y, w in points) / spread if spread else -2.0
+    slope = min(max(slope, -3.0), -1.05)
+    return [0.0, *(math.exp(y0 + slope * (math.log(r) - x0)) for r in range(1, len(counts_of_counts)))]
+
+
 def discounts(counts_of_counts: list[int], k: int = GOOD_TURING_UP_TO) -> list[float]:
     """Amount taken off a count r, for r = 0 to k + 1; from k + 1 on it stays the same.
 
-    Katz's ratios where they are proper, else an absolute discount. Above k the amount at k
-    goes on, so that every seen context leaves some mass.
+    Katz's ratios from Good-Turing's expected counts, over smoothed counts of counts, which
+    always give ratios between 0 and 1. Above k the amount at k goes on, so that every seen
+    context leaves some mass.
     """
-    n = counts_of_counts
-    if n[1] and n[2]:
-        a = (k + 1) * n[k + 1] / n[1]
-        ratios = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else 0 for r in range(1, k + 1)]
-        if all(0 < d < 1 for d in ratios):
-            off = [0.0, *(r * (1 - d) for r, d in enumerate(ratios, 1))]
-            return [*off, off[k]]
-    d = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    return [0.0, *[d] * (k + 1)]
+    n = smoothed(counts_of_counts)
+    a = (k + 1) * n[k + 1] / n[1]
+    ratios = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, k + 1)]
+    off = [0.0, *(r * (1 - d) for r, d in enumerate(ratios, 1))]
+    return [*off, off[k]]
 
 
 @dataclass

@@ -6,8 +6,8 @@ of their log frequencies. A text's score for a language is the sum over its word
 reported score is the share that the language has of all of them.
 
 Training counts words and n-grams with Spark over labelled texts. Up to FIT_ROWS labelled
-rows are drawn for each language, by a hash of the whole row, so the model that the workers
-get has a bound: at most MAX_WORDS words and MAX_GRAMS n-grams a language.
+rows are drawn for each language, by a hash of the whole row; that is the one bound of the
+model that the workers get. All words and n-grams of these rows are in it, in every language.
 
 Null text and texts without letters are `und` with score 0. A language that is null is not
 learned. With nothing to learn from, every text is `und`. Empty texts, repeated rows and
@@ -21,20 +21,24 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import documents, map_values, quoted, remainder, written
 
-FIT_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 2_000, 200, 30_000, 30_000, 5
+FIT_ROWS, LONGEST = 200, 5
 #: Log frequency, in each language, of what it has not shown.
 FLOOR = 0.5
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters; number signs such as one half or roman numerals are none."""
+    found = _WORDS.findall(text.lower())
+    return found if "".join(found).isalpha() else [w for part in found for w in _LETTERS.findall(part)]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -64,7 +68,7 @@ class Model:
             return found
         if word in self.memory:
             return self.memory[word]
-        if len(self.memory) > 200_000:
+        if len(self.memory) > 100_000:
             self.memory.clear()
         out = None
         for n in range(LONGEST, 0, -1):
@@ -98,9 +102,9 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
     spark = labelled.sparkSession
     place = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in labelled.columns]), F.lit(1 << 20))
     rows = labelled.select(F.col(quoted(text)).alias("text"), F.col(quoted(lang)).alias("lang"), place.alias("place")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGS)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     drawn = F.col("place") * F.col("rows") < F.lit(FIT_ROWS << 20)
-    sample = rows.join(F.broadcast(sizes), "lang").where(drawn).select("text", "lang")  # sizes: at most MAX_LANGS rows
+    sample = rows.join(sizes, "lang").where(drawn).select("text", "lang")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -120,10 +124,8 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
                 yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * k, pa.int32()), "item": pa.array(list(items), pa.string()), "lang": pa.array([lang] * k, pa.string()), "n": pa.array(list(items.values()), pa.int64())})
 
     counts = sample.mapInArrow(count, "kind int, item string, lang string, n bigint").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
-    most = F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS // LONGEST)
-    kept = written(counts.where("n > 1 OR kind BETWEEN 1 AND 3").withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).drop("r"), "langid-model")
-    return Model([tuple(r) for r in kept.select("kind", "item", "lang", "n").orderBy("kind", "item", "lang").collect()])  # bounded by the constants above
+    kept = written(counts, "langid-model")
+    return Model([tuple(r) for r in kept.select("kind", "item", "lang", "n").orderBy("kind", "item", "lang").toLocalIterator()])  # bounded by FIT_ROWS
 
 
 def predicted(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

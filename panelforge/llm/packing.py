@@ -5,8 +5,8 @@ number of pieces of each length: at most one row a length. Bins that are filled
 one run of bins. A segment tree over the remaining capacities gives the tightest open
 capacity that still fits in logarithmic time; a whole run of pieces is placed at once. The
 plan is a table of a few thousand rows; the n-th piece of a length then finds its bin by a
-join. Places among pieces of one length are counted in many buckets, so that no length is
-counted in one task.
+join. Places among pieces of one length are counted in as many buckets as its number of
+pieces asks for, so that no length is counted in one task.
 
 Null text is empty: the end id alone. Only documents over the capacity are cut; the first
 piece takes what is over a multiple of it. Repeated rows are packed one by one. An empty
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import documents, map_values, written
 from panelforge.llm.encoding import as_array, library_encoder
 
-VOCABULARY, END, CAPACITY, BUCKETS = "byte_bpe_50k.json", 0, 2048, 64
+VOCABULARY, END, CAPACITY, PER_BUCKET = "byte_bpe_50k.json", 0, 2048, 1 << 17
 
 
 class CapacityTree:
@@ -126,17 +126,20 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
 def packed(parts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """parts with sequence_id and offset. parts must be a stored table: it is read twice."""
     spark = parts.sparkSession
-    salted = parts.withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(BUCKETS)))
+    sizes = written(parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "packing-lengths")
+    buckets = sizes.select("length", F.ceil(F.col("n") / PER_BUCKET).alias("buckets"))
+    salted = parts.join(F.broadcast(buckets), "length")  # at most capacity rows
+    salted = salted.withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     sums = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = written(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing-counts")
-    counts = {r.length: r.n for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    sums = written(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "packing-counts")
+    counts = {r.length: r.n for r in sizes.collect()}  # at most capacity rows
     rows = plan(counts, capacity)
     bins = spark.createDataFrame(rows, "length bigint, lo bigint, hi bigint, each bigint, bin bigint, room_from bigint")
-    # both tables are bounded by the capacity and BUCKETS, whatever the input
     rank = Window.partitionBy("length", "bucket").orderBy(key, "piece", "ids_crc32")
     placed = salted.withColumn("r", F.row_number().over(rank) - 1)
-    placed = placed.join(F.broadcast(sums.drop("n")), ["length", "bucket"]).withColumn("r", F.col("r") + F.col("before"))
+    placed = placed.join(sums, ["length", "bucket"]).withColumn("r", F.col("r") + F.col("before"))
+    # the plan has a few rows for each length
     found = placed.join(F.broadcast(bins), (placed["length"] == bins["length"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).drop(bins["length"])
     return (
         found.withColumn("sequence_id", F.expr("bin + (r - lo) div each"))

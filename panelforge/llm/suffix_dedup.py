@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.blocks import LAST, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
-from panelforge.llm.common import documents
+from panelforge.llm.blocks import LAST, MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
+from panelforge.llm.common import documents, step_done, written
 
 LENGTH, TRIGGER, PHRASE, HOT = 50, 16, 64, 50_000
 TRIGGER_BUCKET_BYTES, PHRASE_BUCKET_BYTES = 16 << 20, 1 << 20
@@ -203,18 +203,19 @@ def _least(bodies: list[bytes], length: int) -> list[bytes]:
     return out
 
 
-def _kept(block: Block, dictionary: Dictionary, answers: dict[tuple[int, int], bytes], length: int) -> list[list]:
-    ids, starts = block.order[dictionary.doc], [np.zeros(0, np.int64)]
-    for bucket, part, phrases, _ in dictionary.parts:
+def _kept(block: Block, answers: dict[tuple[int, int], bytes], length: int) -> list[list]:
+    place, n, doc, numbers, buckets = load(answers[9, -1])
+    starts = [np.zeros(0, np.int64)]
+    ids = block.order[doc]
+    for bucket, part in by_bucket(buckets):
         runs, values = load(answers[2, bucket])
-        flat = np.repeat(values, runs)
-        count = np.array([len(x) - length + 1 for x in phrases], np.int64)
+        flat, number, c = np.repeat(values, runs), numbers[part], n[part]
+        count = np.zeros(int(number.max()) + 1, np.int64)
+        count[number] = c
         offsets = np.cumsum(count) - count
-        number = dictionary.number[part]
-        c = count[number]
         step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         earlier = flat[np.repeat(offsets[number], c) + step] < np.repeat(ids[part], c)
-        starts.append((np.repeat(dictionary.at[part], c) + step)[earlier])
+        starts.append((np.repeat(place[part], c) + step)[earlier])
     at = np.concatenate(starts)
     cover = np.bincount(at, minlength=len(block.data) + 1) - np.bincount(at + length, minlength=len(block.data) + 1)
     gone = np.cumsum(cover)[:-1] > 0
@@ -243,16 +244,17 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
     kinds = answer(ask(table, ask_triggers, "triggers"), _classify, 1)
 
 
-    def opened(block: Block, answers: dict[tuple[int, int], bytes]) -> Dictionary:
-        return Dictionary(block, length, {bucket: body for (kind, bucket), body in answers.items() if kind == 1}, tb, pb)
-
     def ask_phrases(block: Block, answers: dict[tuple[int, int], bytes]) -> list[list]:
-        rows = [(bucket, dump(np.frombuffer(b"".join(phrases), np.uint8), np.array(list(map(len, phrases)), np.uint16), least)) for bucket, _, phrases, least in opened(block, answers).parts]
-        return [[block.number] * len(rows), [r[0] for r in rows], [2] * len(rows), [r[1] for r in rows]]
-
-    least = answer(with_answers(table, kinds, ask_phrases, "block bigint, bucket bigint, kind int, body binary"), lambda bodies: _least(bodies, length), 2)
-    both = kinds.unionByName(least)
-    kept = with_answers(table, both, lambda block, answers: _kept(block, opened(block, answers), answers, length), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
+        d = Dictionary(block, length, {bucket: body for (_, bucket), body in answers.items()}, tb, pb)
+        rows = [(bucket, 2, dump(np.frombuffer(b"".join(phrases), np.uint8), np.array(list(map(len, phrases)), np.uint16), least)) for bucket, _, phrases, least in d.parts]
+        rows.append((-1, 9, dump(d.at, d.n, d.doc, d.number, d.bucket)))
+        return [[block.number] * len(rows), *map(list, zip(*rows, strict=True))]
+
+    asked = written(with_answers(table, kinds, ask_phrases, MESSAGE), "phrases")
+    step_done(kinds)
+    least = answer(asked.where("kind = 2"), lambda bodies: _least(bodies, length), 2)
+    both = least.unionByName(asked.where("kind = 9"))
+    kept = with_answers(table, both, lambda block, answers: _kept(block, answers, length), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
     return kept.withColumn("k", F.col("k").cast(df.schema[key].dataType)).withColumnRenamed("k", key)
 
 

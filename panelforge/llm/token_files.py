@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import documents, fresh_path, in_slices, quoted, written
+from panelforge.llm.common import documents, fresh_path, in_slices, qualified, quoted, written
 from panelforge.llm.encoding import as_array, library_encoder
 
 VOCABULARY, VOCABULARY_SIZE, END = "word_bpe_49k.json", 49_408, 1
@@ -53,10 +53,10 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 def _place(path: str):
-    """The file system and its path; a path without a scheme is a local one."""
+    """The file system and its path. Paths have the scheme by which Spark found them."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
 
 
 class TokenWriter:
@@ -133,7 +133,7 @@ def write_files(df: DataFrame, vocabulary: str, vocabulary_size: int, end: int |
     first: the document's place in its file. part: orders the files.
     """
     spark = df.sparkSession
-    folder = fresh_path(spark, "tokens")
+    folder = qualified(spark, fresh_path(spark, "tokens"))
     spark.createDataFrame([(vocabulary_size,)], "vocabulary_size int").coalesce(1).write.parquet(f"{folder}/about")  # makes the folder
     bits = width(vocabulary_size)
     key_field = T.StructField("k", df.schema[key].dataType)
@@ -168,10 +168,16 @@ def write_files(df: DataFrame, vocabulary: str, vocabulary_size: int, end: int |
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """index with start: the ids of all documents before. Only files are summed in one place."""
-    files = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = files.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    """index with start: the ids of all documents before.
+
+    Files are summed within the task that wrote them; only one sum for each task meets in one place.
+    """
+    files = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("task", F.shiftright("part", 24))
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tasks = files.groupBy("task").agg(F.sum("n").alias("n"))
+    tasks = tasks.select("task", F.coalesce(F.sum("n").over(back(Window.orderBy("task"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n").over(back(Window.partitionBy("task").orderBy("part"))), F.lit(0))
+    sums = files.withColumn("within", within).join(tasks, "task").select("part", (F.col("base") + F.col("within")).alias("before"))
     return index.join(sums, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 

@@ -16,6 +16,9 @@ AWKWARD = [
     (8, "repeated row with the same id", "en", "s3"),
     (9, "x" * 5000, "de", "s3"),
     (10, "12345 67890 ...", "de", "s3"),
+    (11, " \t", "de", "s3"),
+    (12, "\n word", "de", "s3"),
+    (13, "½ ² Ⅷ", "de", "s3"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -104,11 +104,11 @@ def test_redaction_joins_overlapping_spans(spark):
 def test_op2_learns_and_falls_back(spark, save, empty):
     words = {"en": "the house and water with people".split(), "de": "das haus und wasser mit leuten".split()}
     rows = [(i, " ".join(RNG.choices(words[lang], k=30)), lang, "s") for i in range(120) for lang in [("en", "de")[i % 2]]]
-    rows += [(500, None, "en", "s"), (501, "123 ...", "de", "s"), (502, "housewater peopled", None, "s"), (None, "das haus", "de", "s")]
+    rows += [(500, None, "en", "s"), (501, "123 ...", "de", "s"), (503, "½ ² Ⅷ", "de", "s"), (502, "housewater peopled", None, "s"), (None, "das haus", "de", "s")]
     got = {r.doc_id: r for r in langid.op2_langid(spark, save(rows)).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang, _ in rows[:120])
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(120))
-    assert got[500].lang_pred == got[501].lang_pred == "und" and got[502].lang_pred == "en" and got[None].lang_pred == "de"
+    assert got[500].lang_pred == got[501].lang_pred == got[503].lang_pred == "und" and got[502].lang_pred == "en" and got[None].lang_pred == "de"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.op2_langid(spark, empty).count() == 0
 
@@ -192,6 +192,17 @@ def test_op4_backs_off_over_all_orders(spark, folder, monkeypatch, order):
     assert all(any(r.score == pytest.approx(w) for w in want[r.doc_id]) for r in got)
 
 
+def test_katz_discounts_are_good_turing_ratios_between_0_and_1():
+    for c in ([0, 100, 50, 30, 20, 15, 12], [0, 9, 30, 40, 70, 80, 90], [0] * 7, [0, 5, 0, 0, 0, 0, 0], [0, 10**6, 10**4, 100, 5, 1, 0]):
+        n, k = katz.smoothed(c), katz.GOOD_TURING_UP_TO
+        off = katz.discounts(c)
+        for r in range(1, k + 1):
+            expected, a = (r + 1) * n[r + 1] / n[r], (k + 1) * n[k + 1] / n[1]
+            assert 0 < (r - off[r]) / r < 1
+            assert (r - off[r]) / r == pytest.approx((expected / r - a) / (1 - a))
+        assert sum(n[r] * off[r] for r in range(1, k + 1)) == pytest.approx(n[1])  # what is freed is the mass of words seen once
+
+
 # media
 
 
