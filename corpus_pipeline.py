@@ -7,7 +7,7 @@ Null texts count as empty in all stages. Stages are written as Parquet and read
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import jaccard, langid, packing, pii, suffix_dedup
@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of near duplicates; rows that repeat an id are one document.
+    """Keeps the smallest id of each class of near duplicates; of rows that repeat an id, the one with the least hash of its text stays.
 
     Rows with a null id are in no class and stay.
     """
@@ -45,7 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay = ids.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     if ids.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        rank = max(kept.columns, key=len) + "_"
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(quoted(c)).cast("string") for c in sorted(kept.columns)])
+        kept = kept.withColumn(rank, F.row_number().over(first)).where(F.col(quoted(rank)) == 1).drop(rank)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
