@@ -71,19 +71,6 @@ def wins(df: DataFrame, a: str, b: str, cut: str = "p") -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("cuts"), F.sum((F.col("ea") < F.col("eb")).cast("long")).alias("wins"))
 
 
-def bootstrap(df: DataFrame, a: str, b: str, draws: int, cut: str = "p") -> DataFrame:
-    """Draws of cuts with replacement: each draw's difference of weighted errors, a minus b.
-
-    Only each cut's sums are drawn. Slots pick cuts by a fixed arithmetic rule, so that runs agree.
-    """
-    sums = df.groupBy(cut).agg(*[F.sum(F.abs(F.col("y") - F.col(c))).alias(f"e{i}") for i, c in enumerate((a, b))], F.sum("y").alias("s"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cut)) - 1)  # a row a cut
-    n = sums.agg(F.count(F.lit(1)).alias("n"))
-    slots = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    picked = slots.withColumn("i", ((F.col("draw") * 7919 + F.col("slot") * 104729 + F.col("draw") * F.col("slot") * 31) % F.col("n")).cast("int"))
-    return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((share(F.sum("e0"), F.sum("s")) - share(F.sum("e1"), F.sum("s"))).alias("delta"))
-
-
 def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 2000, seed: int = 42, cut: str = "p") -> DataFrame:
     """Draws of cuts with replacement by a hash of seed, draw and slot: each draw's difference of weighted errors, a minus b.
 
@@ -93,7 +80,8 @@ def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 2000, seed: int
     numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cut)) - 1)  # a row a cut
     n = F.broadcast(sums.agg(F.count(F.lit(1)).alias("n")))  # one row
     slots = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(n).where("n > 0").select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    picked = slots.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.col("n")).cast("int").alias("i"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    picked = slots.select("draw", (drawn % F.col("n")).cast("int").alias("i"))
     return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((share(F.sum("e0"), F.sum("s")) - share(F.sum("e1"), F.sum("s"))).alias("delta"))
 
 

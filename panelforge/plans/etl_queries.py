@@ -12,14 +12,13 @@ from panelforge.streaming import jobs
 _FOLD = f"translate(lower({{}}), '{e.ACCENTED}', '{e.PLAIN}')"
 
 
-@query("PRJ05_PRJ07_names", f"SELECT doc_id, trim(regexp_replace({_FOLD.format('substr(text, 1, 60)')}, '[\\s_''-]+', ' ', 'g')) AS name FROM documents")
-def names(spark, folder):
-    """The first 60 characters of a document stand in for a messy name."""
-    return table(spark, folder, "documents").select("doc_id", e.plain_name(F.substring("text", 1, 60)).alias("name"))
+_WHOLE = f"SELECT doc_id, trim(regexp_replace({_FOLD.format('text')}, '[\\s_''-]+', ' ', 'g')) AS name FROM documents"
 
 
-@query("PRJ05_PRJ07_whole_names")
-def whole_names(spark, folder):
+@query("PRJ05_PRJ07_names", _WHOLE)
+@query("PRJ05_PRJ07_whole_names", _WHOLE)
+def names(spark, folder):
+    """Whole texts stand in for messy names."""
     return table(spark, folder, "documents").select("doc_id", e.plain_name(F.col("text")).alias("name"))
 
 

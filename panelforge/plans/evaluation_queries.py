@@ -85,9 +85,12 @@ def wins(spark, folder):
     return metrics.wins(forecasts(spark, folder), "champion", "naive")
 
 
-@query("MET18_bootstrap", f"WITH {CHAMPION}, c AS (SELECT p, sum(abs(y - champion)) AS a, sum(abs(y - naive)) AS b, sum(y) AS s FROM champ GROUP BY p), k AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM c), d AS (SELECT draw, (draw * 7919 + slot * 104729 + draw * slot * 31) % n AS i FROM (SELECT DISTINCT n FROM k), generate_series(0, 199) t(draw), generate_series(0, 999) u(slot) WHERE slot < n) SELECT CAST(draw AS INT) AS draw, round(sum(a) / sum(s) - sum(b) / sum(s), 6) AS delta FROM d JOIN k ON d.i = k.i GROUP BY draw")
+_DRAWN = "CAST(('0x' || substr(md5('42:' || d || ':' || t), 1, 8)) AS BIGINT) % n"
+
+
+@query("MET18_bootstrap", f"WITH {CHAMPION}, c AS (SELECT p, sum(abs(y - champion)) AS a, sum(abs(y - naive)) AS b, sum(y) AS s FROM champ GROUP BY p), k AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM c), x AS (SELECT d, {_DRAWN} AS i FROM (SELECT unnest(range(2000)) AS d), (SELECT n, unnest(range(n)) AS t FROM (SELECT DISTINCT n FROM k))) SELECT d AS draw, round(sum(a) / sum(s) - sum(b) / sum(s), 6) AS delta FROM x JOIN k USING (i) GROUP BY d")
 def bootstrap(spark, folder):
-    return tidy(metrics.bootstrap(forecasts(spark, folder), "champion", "naive", 200), "draw", "delta")
+    return tidy(metrics.block_bootstrap(forecasts(spark, folder), "champion", "naive"), "draw", "delta")
 
 
 @query("MET18_block_bootstrap")

@@ -41,18 +41,28 @@ def distinct(events: DataFrame, late: str = "60 days") -> DataFrame:
 
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Runs over what there is; the result as a driver's memory table, so for a row a window or group only."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table)
+    """Runs over what there is; the last state of the whole result, as Parquet in the shared folder."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, name)
 
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows")
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Runs over what there is; the rows as Parquet in the shared folder, beside the stream's checkpoint."""
-    spark = stream.sparkSession
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder with a place for rows, there even if nothing arrives."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-")
     folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
-    rows.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(rows)  # there even if nothing arrives
+    rows.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(rows)
+    return folder
+
+
+def run_append(stream: DataFrame, name: str) -> DataFrame:
+    """Runs over what there is; the rows as Parquet in the shared folder, beside the stream's checkpoint."""
+    spark = stream.sparkSession
+    folder = _folder(spark, name)
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

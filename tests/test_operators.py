@@ -42,10 +42,42 @@ def test_source_preference_changes_with_the_month(spark):
 
 
 def test_names_and_locale_numbers(spark):
-    names = spark.createDataFrame([("Missão_Velha",), ("ACARAÚ",), (None,)], "n string").select(e.plain_name(F.col("n"))).collect()
-    assert [r[0] for r in names] == ["missao velha", "acarau", None]
-    numbers = spark.createDataFrame([("1009,1",), ("-9999",), ("",), ("27",), (None,), ("1.234,5",)], "n string").select(e.locale_number(F.col("n"))).collect()
-    assert [r[0] for r in numbers] == [1009.1, None, None, 27.0, None, 1234.5]
+    names = spark.createDataFrame([("Vale_do-Rio  Açu",), ("ÉVORA",), (None,)], "n string").select(e.plain_name(F.col("n"))).collect()
+    assert [r[0] for r in names] == ["vale do rio acu", "evora", None]
+    numbers = spark.createDataFrame([("3,25",), ("12.000,5",), ("-7",), (None,)], "n string").select(e.locale_number(F.col("n"))).collect()
+    assert [r[0] for r in numbers] == [3.25, 12000.5, -7.0, None]
+
+
+def test_intake_rules(spark):
+    from panelforge.operators import intake
+
+    df = spark.createDataFrame([("x", 1)], " A string, b int")
+    assert intake.trimmed(df).columns == ["A", "b"]
+    assert intake.trimmed(df).select(intake.picked(intake.trimmed(df), "nothing", "B").alias("v")).first().v == 1
+    values = spark.createDataFrame([(" - ",), ("1 234,5",), ("word",), (None,), ("X",)], "v string")
+    assert [r[0] for r in values.select(intake.symbolic_value(F.col("v"))).collect()] == [0.0, 1234.5, None, None, 0.0]
+    times = spark.createDataFrame([("2020-01-01", "105"), ("2020-01-01", "7"), ("2020-03-01", None)], "acq_date string, acq_time string")
+    assert [(r.mes, r.dia, r.time_utc.hour, r.time_utc.minute) for r in intake.acquired(times).collect()] == [(12, 31, 1, 5), (12, 31, 0, 7), (2, 29, 0, 0)]
+    with pytest.raises(Exception, match="no time"):
+        intake.acquired(spark.createDataFrame([("2020-01-01", "2575")], "acq_date string, acq_time string")).collect()
+    with pytest.raises(ValueError, match="sensor"):
+        intake.of_sensor(df, "R")
+    seen = spark.createDataFrame([(1, 5, 3.0)], "geo int, p int, y double")
+    ahead = spark.createDataFrame([(1, 5), (2, 5)], "geo int, p int")
+    assert intake.scored_against(ahead, seen, True, "t").first()[1:] == (2, 0, 3.0)
+    assert intake.scored_against(ahead, seen, False, "t").first()[1:] == (1, 1, 3.0)
+
+
+def test_bootstrap_spreads_as_resampling_does(spark):
+    data = [(p, float(1 + p % 7), float(p % 7) + (p * 37 % 11) / 3, float(p % 7) + (p * 53 % 13) / 3) for p in range(60)]
+    df = spark.createDataFrame(data, "p int, y double, a double, b double")
+    got = np.array([r.delta for r in metrics.block_bootstrap(df, "a", "b").collect()])
+    p, y, a, b = map(np.array, zip(*data, strict=True))
+    picks = np.random.default_rng(1).integers(0, 60, (2000, 60))
+    want = (np.abs(y - a)[picks].sum(1) - np.abs(y - b)[picks].sum(1)) / y[picks].sum(1)
+    assert len(np.unique(got.round(9))) > 0.9 * len(np.unique(want.round(9))) > 1000
+    assert got.mean() == pytest.approx(want.mean(), abs=0.01) and got.std() == pytest.approx(want.std(), rel=0.1)
+
 
 
 def test_gate_fails_closed(spark):
