@@ -8,7 +8,6 @@ shuffles of few, dense rows in place of one row for each item. Every step is a w
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,20 +23,21 @@ MESSAGE = "block bigint, bucket bigint, kind int, body binary"
 
 
 def dump(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
+    """Arrays as one compressed value; the first bytes of all items come first, then their second ones."""
     parts = [struct.pack("<B", len(arrays))]
-    for a in arrays:
-        parts += [struct.pack("<3sQ", a.dtype.str.encode(), len(a)), np.ascontiguousarray(a).tobytes()]
-    return zlib.compress(b"".join(parts), 1)
+    for a in map(np.ascontiguousarray, arrays):
+        parts += [struct.pack("<3sQ", a.dtype.str.encode(), len(a)), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
+    return zstandard.compress(b"".join(parts), 1)
 
 
 def load(body: bytes) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(body), 1, []
+    data, at, out = zstandard.decompress(body), 1, []
     for _ in range(data[0]):
         kind, n = struct.unpack_from("<3sQ", data, at)
-        a = np.frombuffer(data, np.dtype(kind.decode()), n, at + 11)
-        at += 11 + a.nbytes
-        out.append(a)
+        dtype = np.dtype(kind.decode())
+        planes = np.frombuffer(data, np.uint8, n * dtype.itemsize, at + 11).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
+        at += 11 + planes.size
     return out
 
 
@@ -45,17 +45,28 @@ def dump_sorted(values: np.ndarray) -> bytes:
     """Ascending unsigned 64-bit values as steps of the fewest whole bytes."""
     steps = np.diff(values, prepend=values[:1])
     wide = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(values) else 1
-    return struct.pack("<QB", int(values[0]) if len(values) else 0, wide) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+    return struct.pack("<QB", int(values[0]) if len(values) else 0, wide) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
 
 def load_sorted(data: bytes) -> np.ndarray:
     first, wide = struct.unpack_from("<QB", data)
-    bytes_ = np.frombuffer(data, np.uint8, offset=9).reshape(-1, wide)
-    full = np.zeros((len(bytes_), 8), np.uint8)
-    full[:, :wide] = bytes_
+    bytes_ = np.frombuffer(data, np.uint8, offset=9).reshape(wide, -1)
+    full = np.zeros((bytes_.shape[1], 8), np.uint8)
+    full[:, :wide] = bytes_.T
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct values, a place where each stands, and each item's place among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of equal stretches of the 64-bit range, so sorted hashes have sorted buckets."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

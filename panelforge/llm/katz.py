@@ -15,6 +15,11 @@ A seen n-gram's shorter ends were seen too, so the lower model's part of a weigh
 discounted count itself, and weights of all orders are made in one step. A text begins with one
 mark, so its first words have the contexts that are there.
 
+Words and pairs are counted in one step, and each longer length in one of its own. An n-gram with
+a shorter part that no other block holds is in no other block either: its count, and the weight
+of a context that is in one block only, are known at home. Only contexts that are in some text
+not learned from send what their weights are made of, as no other text backs off.
+
 The word model gives the discounted mass to the one class of unknown words. N-grams are told
 apart by 64-bit hashes. Counts, weights and requests are tables in the shared folder,
 partitioned by hash range; no count is cut off, and all grow with the corpus.
@@ -29,12 +34,13 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.blocks import MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
+from panelforge.llm.blocks import MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, distinct, dump, dump_sorted, load, load_sorted, with_answers
 from panelforge.llm.common import documents, step_done, written
 from panelforge.llm.words import word_hashes
 
@@ -99,12 +105,13 @@ class Words:
 class Level:
     """A block's distinct n-grams of one length, in order of their hashes.
 
-    where: the tokens that end one, and at: which. context, end: the n-gram one shorter before
+    tested: whether a text that is not learned from has it. where: the tokens that end one, and at: which. context, end: the n-gram one shorter before
     the last word (-1 for a text's beginning) and after the first, by place in the level below.
     """
 
     values: np.ndarray
     counts: np.ndarray
+    tested: np.ndarray
     where: np.ndarray
     at: np.ndarray
     context: np.ndarray
@@ -140,37 +147,98 @@ class Tokens:
                 mixed ^= mixed >> np.uint64(31)
                 hashes = np.zeros_like(words)
                 hashes[where] = mixed * _FACTOR
-            values, first, at = np.unique(hashes[where], return_index=True, return_inverse=True)
+            values, first, at = distinct(hashes[where])
             context = np.where(place[where[first]] > 0, below[where[first] - 1], -1) if n > 1 else first
             end = below[where[first]] if n > 1 else first
             counts = np.bincount(at, taught[where], len(values)).astype(np.uint32)
-            self.levels.append(Level(values, counts, where, at, context, end))
+            tested = np.zeros(len(values), bool)
+            tested[at[taught[where] == 0]] = True
+            self.levels.append(Level(values, counts, tested, where, at, context, end))
             below = np.full(len(words), -1)
             below[where] = at
 
 
-def _ask_counts(block: Block, mod: int, buckets: int, order: int) -> Iterator[tuple[int, int, bytes]]:
-    for n, level in enumerate(Tokens(block, mod, order).levels):
-        for bucket, part in by_bucket(bucket_of(level.values, buckets)):
-            yield bucket + n * buckets, 1, dump(np.frombuffer(dump_sorted(level.values[part]), np.uint8), level.counts[part])
+@dataclass
+class Known:
+    """What a block knows of the n-grams of one length: their counts over all blocks, whether it is
+    the one block to account for each, whether no other block has it, and whether any text that is
+    not learned from does.
+    """
+
+    count: np.ndarray
+    owner: np.ndarray
+    alone: np.ndarray
+    tested: np.ndarray
+
+
+def _at_home(level: Level, shorter: Known) -> np.ndarray:
+    """The n-grams with a shorter part that no other block has."""
+    return shorter.alone[level.context] | shorter.alone[level.end]
+
+
+def _known(t: Tokens, buckets: int, answers: dict[tuple[int, int], bytes], lengths: int) -> list[Known]:
+    """For each of the first lengths: words and pairs by answers alone, longer ones at home where they can be."""
+    out: list[Known] = []
+    for n, level in enumerate(t.levels[:lengths]):
+        home = _at_home(level, out[-1]) if n > 1 else np.zeros(len(level.values), bool)
+        one = Known(level.counts.astype(np.int64), home.copy(), home.copy(), level.tested.copy())
+        asked = np.flatnonzero(~home)
+        for bucket, part in by_bucket(bucket_of(level.values[asked], buckets)):
+            if (body := answers.get((1, bucket + n * buckets))) is not None:
+                count, *flags, _ = load(body)
+                places = asked[part]
+                one.count[places] = count
+                one.owner[places], one.alone[places], one.tested[places] = (np.unpackbits(f, count=len(count)) for f in flags)
+        out.append(one)
+    return out
+
+
+def _stats(counts: np.ndarray) -> np.ndarray:
+    """The number of values of each count up to GOOD_TURING_UP_TO + 1, of all seen values, and their sum."""
+    return np.append(np.bincount(np.minimum(counts, GOOD_TURING_UP_TO + 2), minlength=GOOD_TURING_UP_TO + 3)[: GOOD_TURING_UP_TO + 2], [int((counts > 0).sum()), int(counts.sum())])
+
+
+def _asked(level: Level, n: int, buckets: int, home: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Messages about a length's n-grams that are not at home; the first has the statistics of those that are."""
+    away = np.flatnonzero(~home)
+    parts = [(b, away[p]) for b, p in by_bucket(bucket_of(level.values[away], buckets))] or ([(0, away)] if home.any() else [])
+    told = _stats(level.counts[home].astype(np.int64))
+    return [
+        (b + n * buckets, 1, dump(np.frombuffer(dump_sorted(level.values[p]), np.uint8), level.counts[p], np.packbits(level.tested[p]), told if i == 0 else told[:0]))
+        for i, (b, p) in enumerate(parts)
+    ]
+
+
+def _ask_pairs(block: Block, mod: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    for n, level in enumerate(Tokens(block, mod, 2).levels):
+        yield from _asked(level, n, buckets, np.zeros(len(level.values), bool))
+
+
+def _ask_longer(block: Block, answers: dict[tuple[int, int], bytes], mod: int, buckets: int, length: int) -> list[list]:
+    t = Tokens(block, mod, length)
+    home = _at_home(t.levels[-1], _known(t, buckets, answers, length - 1)[-1])
+    rows = _asked(t.levels[-1], length - 1, buckets, home)
+    return [[block.number] * len(rows), *map(list, zip(*rows, strict=True))] if rows else [[]] * 4
 
 
 def _sum_counts(bodies: list[bytes]) -> list[bytes]:
-    """For every block's values: the count over all blocks, and whether the block is the first to ask.
+    """For every block's values: the count over all blocks, and the flags of Known as bits.
 
-    The first answer also holds the number of values of each count up to GOOD_TURING_UP_TO + 1,
-    of all seen values, and their sum.
+    The first answer also holds the statistics of the bucket's counts and of those at home.
     """
     parts = [load(b) for b in bodies]
     values = [load_sorted(p[0].tobytes()) for p in parts]
-    found, first, back = np.unique(np.concatenate(values), return_index=True, return_inverse=True)
+    sizes = list(map(len, values))
+    found, some, back = distinct(np.concatenate(values))
     total = np.bincount(back, np.concatenate([p[1] for p in parts]), len(found)).astype(np.int64)
-    owner = np.zeros(len(back), np.uint8)
-    owner[first] = 1
-    stats = np.append(np.bincount(np.minimum(total, GOOD_TURING_UP_TO + 2), minlength=GOOD_TURING_UP_TO + 3)[: GOOD_TURING_UP_TO + 2], [int((total > 0).sum()), int(total.sum())])
-    cuts = np.cumsum([len(v) for v in values])[:-1]
-    answers = zip(np.split(total[back], cuts), np.split(owner, cuts), strict=True)
-    return [dump(t.astype(np.uint32), np.packbits(o), stats if i == 0 else stats[:0]) for i, (t, o) in enumerate(answers)]
+    tests = np.concatenate([np.unpackbits(p[2], count=n) for p, n in zip(parts, sizes, strict=True)])
+    owner = np.zeros(len(back), bool)
+    owner[some] = True
+    alone, tested = np.bincount(back, minlength=len(found)) == 1, np.bincount(back, tests, len(found)) > 0
+    stats = sum((p[3] for p in parts if len(p[3])), _stats(total))
+    cuts = np.cumsum(sizes)[:-1]
+    answers = zip(*(np.split(x, cuts) for x in (total[back].astype(np.uint32), owner, alone[back], tested[back])), strict=True)
+    return [dump(t, *map(np.packbits, flags), stats if i == 0 else stats[:0]) for i, (t, *flags) in enumerate(answers)]
 
 
 def _statistics(answers: DataFrame, buckets: int, order: int) -> list[list[int]]:
@@ -182,7 +250,7 @@ def _statistics(answers: DataFrame, buckets: int, order: int) -> list[list[int]]
         for b in batches:
             sums = np.zeros((order, GOOD_TURING_UP_TO + 4), np.int64)
             for bucket, body in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if len(stats := load(body)[2]):
+                if len(stats := load(body)[-1]):
                     sums[bucket // buckets] += stats
             yield pa.RecordBatch.from_pydict({"kind": pa.array(range(order), pa.int32()), "s": pa.array(sums.tolist(), pa.list_(pa.int64()))})
 
@@ -193,50 +261,52 @@ def _statistics(answers: DataFrame, buckets: int, order: int) -> list[list[int]]
     return [by.get(n, none) for n in range(order)]
 
 
-def _collected(values: np.ndarray, buckets: int, shift: int, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-    counts, owner = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    for bucket, part in by_bucket(bucket_of(values, buckets)):
-        c, o, _ = load(answers[1, bucket + shift])
-        counts[part], owner[part] = c, np.unpackbits(o, count=len(c))
-    return counts, owner
-
-
 def _log10(x: np.ndarray) -> np.ndarray:
     return np.log10(x, out=np.zeros(len(x)), where=x > 0)
 
 
 def _score(block: Block, answers: dict[tuple[int, int], bytes], mod: int, buckets: int, words: Words, texts: int, offs: list[list[float]]) -> list[list]:
-    """Messages about contexts, and the block's own state (kind 9): all but the weights."""
+    """Messages about contexts, and the block's own state (kind 9): all but the weights of contexts that other blocks have too."""
     t = Tokens(block, mod, len(offs) + 1)
-    c, _ = _collected(t.levels[0].values, buckets, 0, answers)
-    word, n = t.levels[0].at, len(t.sizes)
-    p_below, count_below = words.probability(c), c
+    known = _known(t, buckets, answers, len(offs) + 1)
+    c, word, n = known[0].count, t.levels[0].at, len(t.sizes)
+    p_below = words.probability(c)
     log_p = _log10(p_below)[word]
     base = np.log10((c + 0.1) / (words.tokens + 0.1 * (words.types + 1)))
     per = lambda x: np.bincount(t.doc, x, n)
-    rows, backed = [], []
+    rows, backed, weighed = [], [], np.zeros(n)
     for shift, (off, lower, level) in enumerate(zip(offs, t.levels, t.levels[1:], strict=False)):
-        count, owner = _collected(level.values, buckets, (shift + 1) * buckets, answers)
-        context = np.where(level.context < 0, texts, count_below[np.maximum(level.context, 0)] if len(count_below) else 0)
+        below, count, owner = known[shift], known[shift + 1].count, known[shift + 1].owner
+        context = np.where(level.context < 0, texts, below.count[np.maximum(level.context, 0)])
         taken = np.array(off)[np.minimum(count, len(off) - 1)]
         p = np.divide(count - taken, context, out=np.zeros(len(count)), where=count > 0)
         seen = (count > 0)[level.at]
         log_p[level.where[seen]] = _log10(p)[level.at[seen]]
         at = np.flatnonzero(((count == 0) & (context > 0))[level.at])
         wanted, event = np.unique(level.context[level.at[at]], return_inverse=True)
-        hashes = lambda places: np.where(places < 0, BEGIN, lower.values[np.maximum(places, 0)])  # noqa: B023, E731
-        backed += [t.doc[level.where[at]], event, hashes(wanted)]
         own = np.flatnonzero(owner & (count > 0))
-        places, back = np.unique(level.context[own], return_inverse=True)
-        s1, s2 = np.bincount(back, p[own], len(places)), np.bincount(back, p_below[level.end[own]], len(places))
-        both = np.union1d(hashes(places), hashes(wanted))
-        sums = np.zeros((2, len(both)))
-        sums[:, np.searchsorted(both, hashes(places))] = s1, s2
-        asked = np.isin(both, hashes(wanted))
-        for bucket, part in by_bucket(bucket_of(both, buckets)):
-            rows.append((bucket + shift * buckets, 3, dump(np.frombuffer(dump_sorted(both[part]), np.uint8), sums[0, part], sums[1, part], np.packbits(asked[part]))))
-        p_below, count_below = p, count
-    state = dump(block.order, t.learn.astype(np.uint8), t.sizes, per(c[word] > 0).astype(np.int64), per(base[word]), per(log_p), *backed)
+        # the last place is the text's beginning, which -1 takes
+        sums = np.stack([np.bincount(level.context[own] % (len(lower.values) + 1), x, len(lower.values) + 1) for x in (p[own], p_below[level.end[own]])])
+        inside = np.append(below.alone, False)
+        weight = np.ones(len(wanted))
+        here = inside[wanted]
+        weight[here] = (1 - sums[0, wanted[here]]) / (1 - sums[1, wanted[here]])
+        weighed += np.bincount(t.doc[level.where[at]], np.log10(weight)[event], n)
+
+        hashes = np.append(lower.values, BEGIN)
+        away = ~here[event]
+        backed += [t.doc[level.where[at[away]]], (np.cumsum(~here) - 1)[event[away]], hashes[wanted[~here]]]
+        asked = np.zeros(len(hashes), bool)
+        asked[wanted[~here]] = True
+        told = np.zeros(len(hashes), bool)
+        told[level.context[own]] = True
+        both = np.flatnonzero(asked | (told & ~inside & np.append(below.tested, True)))
+        both = both[np.argsort(hashes[both])]
+        for bucket, part in by_bucket(bucket_of(hashes[both], buckets)):
+            places = both[part]
+            rows.append((bucket + shift * buckets, 3, dump(np.frombuffer(dump_sorted(hashes[places]), np.uint8), *sums[:, places], np.packbits(asked[places]))))
+        p_below = p
+    state = dump(block.order, t.learn.astype(np.uint8), t.sizes, per(c[word] > 0).astype(np.int64), per(base[word]), per(log_p) + weighed, *backed)
     rows.append((-1, 9, state))
     return [[block.number] * len(rows), *map(list, zip(*rows, strict=True))]
 
@@ -261,13 +331,17 @@ def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text"
     table = blocks(df, key, text, bytes.lower, BLOCK_TEXT)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, total // BUCKET_TEXT)
-    counts = answer(ask(table, lambda block: _ask_counts(block, mod, buckets, order), "counts"), _sum_counts, 1)
+    tables = [answer(ask(table, lambda block: _ask_pairs(block, mod, buckets), "counts"), _sum_counts, 1)]
+    for length in range(3, order + 1):
+        asks = with_answers(table, _all(tables).where(F.col("bucket") >= buckets), lambda block, answers: _ask_longer(block, answers, mod, buckets, length), MESSAGE)  # noqa: B023
+        tables.append(answer(asks, _sum_counts, 1))
+    counts = _all(tables)
     by_word, *longer = _statistics(counts, buckets, order)
     words = Words.of(by_word[-1], by_word[-2], by_word[:-2])
     offs = [discounts(x[:-2]) for x in longer]
     texts = _learned(table, mod)
     out = written(with_answers(table, counts, lambda block, answers: _score(block, answers, mod, buckets, words, texts, offs), MESSAGE), "contexts")
-    step_done(table, counts)
+    step_done(table, *tables)
     weights = answer(out.where("kind = 3"), _weights, 4)
 
     def finish(left, right):
@@ -301,6 +375,10 @@ def _parts(wanted: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield bucket, order[part]
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, tables)
+
+
 def _learned(table: DataFrame, mod: int) -> int:
     ids = table.select(F.explode("ids").alias("i"))
     return ids.where(F.crc32(F.col("i").cast("string").cast("binary")) % mod != 0).count()
