@@ -237,7 +237,7 @@ def _sum_counts(bodies: list[bytes]) -> list[bytes]:
     alone, tested = np.bincount(back, minlength=len(found)) == 1, np.bincount(back, tests, len(found)) > 0
     stats = sum((p[3] for p in parts if len(p[3])), _stats(total))
     cuts = np.cumsum(sizes)[:-1]
-    answers = zip(*(np.split(x, cuts) for x in (total[back].astype(np.uint32), owner, alone[back], tested[back])), strict=True)
+    answers = zip(*(np.split(x, cuts) for x in (total[back], owner, alone[back], tested[back])), strict=True)
     return [dump(t, *map(np.packbits, flags), stats if i == 0 else stats[:0]) for i, (t, *flags) in enumerate(answers)]
 
 
@@ -286,25 +286,28 @@ def _score(block: Block, answers: dict[tuple[int, int], bytes], mod: int, bucket
         wanted, event = np.unique(level.context[level.at[at]], return_inverse=True)
         own = np.flatnonzero(owner & (count > 0))
         # the last place is the text's beginning, which -1 takes
-        sums = np.stack([np.bincount(level.context[own] % (len(lower.values) + 1), x, len(lower.values) + 1) for x in (p[own], p_below[level.end[own]])])
-        inside = np.append(below.alone, False)
+        sums = np.stack([np.bincount(level.context[own] % (len(lower.values) + 1), x, len(lower.values) + 1) for x in ((count - taken)[own], p_below[level.end[own]])])
+        inside, totals = np.append(below.alone, False), np.append(below.count, texts)
         weight = np.ones(len(wanted))
         here = inside[wanted]
-        weight[here] = (1 - sums[0, wanted[here]]) / (1 - sums[1, wanted[here]])
+        weight[here] = (1 - sums[0, wanted[here]] / totals[wanted[here]]) / (1 - sums[1, wanted[here]])
         weighed += np.bincount(t.doc[level.where[at]], np.log10(weight)[event], n)
 
         hashes = np.append(lower.values, BEGIN)
         away = ~here[event]
-        backed += [t.doc[level.where[at[away]]], (np.cumsum(~here) - 1)[event[away]], hashes[wanted[~here]]]
         asked = np.zeros(len(hashes), bool)
         asked[wanted[~here]] = True
         told = np.zeros(len(hashes), bool)
         told[level.context[own]] = True
         both = np.flatnonzero(asked | (told & ~inside & np.append(below.tested, True)))
         both = both[np.argsort(hashes[both])]
+        places = both[asked[both]]
+        number = np.zeros(len(hashes), np.int64)
+        number[places] = np.arange(len(places))
+        backed += [t.doc[level.where[at[away]]], number[wanted[event[away]]], bucket_of(hashes[places], buckets)]
         for bucket, part in by_bucket(bucket_of(hashes[both], buckets)):
             places = both[part]
-            rows.append((bucket + shift * buckets, 3, dump(np.frombuffer(dump_sorted(hashes[places]), np.uint8), *sums[:, places], np.packbits(asked[places]))))
+            rows.append((bucket + shift * buckets, 3, dump(np.frombuffer(dump_sorted(hashes[places]), np.uint8), *sums[:, places], totals[places], np.packbits(asked[places]))))
         p_below = p
     state = dump(block.order, t.learn.astype(np.uint8), t.sizes, per(c[word] > 0).astype(np.int64), per(base[word]), per(log_p) + weighed, *backed)
     rows.append((-1, 9, state))
@@ -317,9 +320,11 @@ def _weights(bodies: list[bytes]) -> list[bytes]:
     values = [load_sorted(p[0].tobytes()) for p in parts]
     found, back = np.unique(np.concatenate(values), return_inverse=True)
     s1, s2 = (np.bincount(back, np.concatenate([p[i] for p in parts]), len(found)) for i in (1, 2))
-    weight = ((1 - s1) / (1 - s2))[back]
+    total = np.ones(len(found))
+    total[back] = np.concatenate([p[3] for p in parts])
+    weight = ((1 - s1 / total) / (1 - s2))[back]
     cuts = np.cumsum([len(v) for v in values])[:-1]
-    return [dump(w[np.unpackbits(p[3], count=len(w)).astype(bool)]) for w, p in zip(np.split(weight, cuts), parts, strict=True)]
+    return [dump(w[np.unpackbits(p[4], count=len(w)).astype(bool)]) for w, p in zip(np.split(weight, cuts), parts, strict=True)]
 
 
 def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
@@ -354,7 +359,7 @@ def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text"
             for n in range(order - 1):
                 doc, event, wanted = backed[3 * n : 3 * n + 3]
                 weight = np.ones(len(wanted))
-                for bucket, part in _parts(wanted, buckets):
+                for bucket, part in by_bucket(wanted):
                     weight[part] = load(by[bucket + n * buckets])[0]
                 score = score + np.bincount(doc, np.log10(weight)[event], len(score))
             ids = [None if i == np.iinfo(np.int64).max else i for i in keys.tolist()]
@@ -368,13 +373,6 @@ def scored(df: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text"
     return result.withColumn("k", F.col("k").cast(df.schema[key].dataType)).withColumnRenamed("k", key)
 
 
-def _parts(wanted: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of each bucket's contexts, in the order of their hashes, as messages have them."""
-    order = np.argsort(wanted)
-    for bucket, part in by_bucket(bucket_of(wanted[order], buckets)):
-        yield bucket, order[part]
-
-
 def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, tables)
 
