@@ -26,10 +26,10 @@ with a null id; the latter have no class. Rows that repeat an id are taken one b
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,9 +256,9 @@ def _settled(rows: DataFrame, k: int, percent: int) -> DataFrame:
                         if p not in known:
                             if len(known) > 4 * CHUNK:
                                 known.clear()
-                            known[p] = shingle_set(zlib.decompress(body[p].as_py()).decode(), k)
+                            known[p] = shingle_set(zstandard.decompress(body[p].as_py()).decode(), k)
                     if x not in known:  # cleared for y
-                        known[x] = shingle_set(zlib.decompress(body[x].as_py()).decode(), k)
+                        known[x] = shingle_set(zstandard.decompress(body[x].as_py()).decode(), k)
                     if _alike(known[x], known[y], percent):
                         up[max(ca, cb)] = min(ca, cb)
                         found.append((int(m.c[x]), int(m.c[y])))
@@ -282,7 +282,7 @@ def _bodies(asked: DataFrame, nodes: DataFrame, df: DataFrame, k: int) -> DataFr
     ids = nodes.join(asked, "node").select("rep")
 
     def load(texts: list) -> list[list]:
-        return [[_node(shingle_set(t, k)) for t in texts], [zlib.compress((t or "").encode(), 1) for t in texts]]
+        return [[_node(shingle_set(t, k)) for t in texts], [zstandard.compress((t or "").encode(), 1) for t in texts]]
 
     chosen = df.join(ids, df["doc_id"] == ids["rep"], "left_semi")
     bodies = map_values(chosen, ["doc_id"], "text", "node bigint, body binary", load).select("node", "body")
@@ -294,7 +294,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, percen
     bodies = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, df, k)
 
     def similar(both: list) -> list[list]:
-        return [[_alike(*(shingle_set(zlib.decompress(x[side]).decode(), k) for side in ("x", "y")), percent) for x in both]]
+        return [[_alike(*(shingle_set(zstandard.decompress(x[side]).decode(), k) for side in ("x", "y")), percent) for x in both]]
 
     left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     both = left.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("ca", "cb", F.struct("x", "y").alias("xy"))
