@@ -111,20 +111,34 @@ def adaptive_levels(df: DataFrame, gamma: float, target: float) -> DataFrame:
     return line.select("regime", F.inline(F.aggregate("line", start, step, lambda a: a.out)))
 
 
-def poisson_floor(means: DataFrame, draws: int, seed: int = 42) -> DataFrame:
-    """The error that noise alone gives: mean and p90 of draws' weighted errors, if every month's mean were known.
+def noise_floor(means: DataFrame, dispersion: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """The error that noise alone gives if every cell's mean (p, a number of its own, and mean) were known, by kind of noise.
 
-    Draws are spread over the executors; each month's draws have a seed of their own.
+    Poisson noise, and negative binomial noise of variance mean + dispersion * mean^2, where a
+    dispersion of null or 0 gives Poisson noise. dispersion: one row. Draws are spread over the
+    executors, with a seed for each cell and kind; a task sums its cells draw by draw. Null means
+    count as 0. Draws without any event have no error; no cells give no rows.
     """
+    kinds = ("poisson", "negative_binomial")
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
+        e, y, any_ = np.zeros((2, draws)), np.zeros((2, draws)), False
         for b in batches:
-            for p, mean in zip(b["p"], b["mean"], strict=True):
-                y = np.random.default_rng([seed, int(p)]).poisson(max(mean, 0), draws)
-                yield pd.DataFrame({"draw": np.arange(draws), "e": np.abs(y - mean), "y": y.astype(float)})
-
-    drawn = means.select("p", "mean").mapInPandas(run, "draw long, e double, y double").groupBy("draw").agg(share(F.sum("e"), F.sum("y")).alias("wape"))
-    return drawn.agg(F.avg("wape").alias("mean"), F.percentile("wape", 0.9).alias("p90"), F.count(F.lit(1)).alias("draws"))
+            for p, mean, alpha in zip(b["p"], b["mean"], b["dispersion"], strict=True):
+                mean, any_ = max(np.nan_to_num(mean), 0.0), True
+                for i in range(2):
+                    rng = np.random.default_rng([seed, int(p) % (1 << 64), i])
+                    drawn = rng.negative_binomial(1 / alpha, 1 / (1 + alpha * mean), draws) if i and alpha > 1e-9 and mean > 0 else rng.poisson(mean, draws)
+                    e[i] += np.abs(drawn - mean)
+                    y[i] += drawn
+        if any_:
+            for i, kind in enumerate(kinds):
+                yield pd.DataFrame({"kind": kind, "draw": np.arange(draws), "e": e[i], "y": y[i]})
+
+    given = means.select("p", F.col("mean").cast("double").alias("mean")).crossJoin(F.broadcast(dispersion.select(F.coalesce(F.col("dispersion").cast("double"), F.lit(0.0)).alias("dispersion"))))
+    drawn = given.mapInPandas(run, "kind string, draw long, e double, y double").groupBy("kind", "draw").agg(share(F.sum("e"), F.sum("y")).alias("wape"))
+    cuts = [F.percentile("wape", q).alias(n) for n, q in (("p2_5", 0.025), ("p90", 0.9), ("p97_5", 0.975))]
+    return drawn.groupBy("kind").agg(F.avg("wape").alias("mean"), *cuts, F.count(F.lit(1)).alias("draws"))

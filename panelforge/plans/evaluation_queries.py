@@ -125,7 +125,8 @@ def dispersion(spark, folder):
 
 @query("UNC08_noise_floor")
 def noise_floor(spark, folder):
-    return metrics.poisson_floor(forecasts(spark, folder).groupBy("p").agg(F.sum("champion").alias("mean")), 400)
+    means = forecasts(spark, folder).select(F.xxhash64("geo", "p").alias("p"), F.col("champion").alias("mean"))
+    return metrics.noise_floor(means, dispersion(spark, folder), 4000)
 
 
 @query("MET24_SRT07_robustness", f"WITH {CHAMPION}, g AS (SELECT geo, {_w(p='champion')} AS wape, sum(y) AS volume FROM champ GROUP BY geo), o AS (SELECT {_w(p='champion')} AS overall FROM champ) SELECT geo, round(wape, 6) AS wape, volume, wape > 1.2 * overall AND volume >= 10 AS flagged FROM g, o")

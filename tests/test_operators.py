@@ -138,3 +138,22 @@ def test_whole_names_normalise_past_60_characters(spark, tmp_path):
 
     spark.createDataFrame([(1, "a" * 70 + " -Ção_FIM")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.QUERIES["PRJ05_PRJ07_whole_names"](spark, str(tmp_path)).first().name == "a" * 70 + " cao fim"
+
+
+def test_noise_floor_by_kind_of_noise(spark):
+    import math
+
+    from panelforge.operators import metrics
+
+    means = spark.createDataFrame([(i, 4.0) for i in range(30)] + [(30, None)], "p long, mean double")
+    given = lambda x: spark.createDataFrame([(x,)], "dispersion double")
+    wide = {r.kind: r for r in metrics.noise_floor(means, given(0.5), 500).collect()}
+    # mean absolute deviation of a Poisson count of mean 4, over its mean
+    exact = 2 * math.exp(-4) * 4**5 / math.factorial(4) / 4
+    assert abs(wide["poisson"].mean - exact) < 0.02 and wide["poisson"].draws == 500
+    assert wide["negative_binomial"].mean > 1.3 * exact
+    for r in wide.values():
+        assert r.p2_5 < r.mean < r.p90 < r.p97_5
+    same = {r.kind: r.mean for r in metrics.noise_floor(means, given(None), 500).collect()}
+    assert abs(same["negative_binomial"] - exact) < 0.02
+    assert metrics.noise_floor(means.limit(0), given(0.5), 500).count() == 0
