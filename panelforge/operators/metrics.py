@@ -99,18 +99,6 @@ def conformal_width(residuals: DataFrame, alpha: float, keys: Sequence[str]) ->
     return residuals.withColumn("r", r).withColumn("rank", rank).where("r = rank").select(*keys, F.col("residual").alias("width"))
 
 
-def adaptive_levels(df: DataFrame, gamma: float, target: float) -> DataFrame:
-    """Adaptive conformal levels: after each cut the level moves by gamma times the missed coverage.
-
-    The recursion runs along the cuts of one regime, a row a cut, as a fold over an array.
-    """
-    cuts = df.groupBy("regime", "p").agg(F.avg(F.col("covered").cast("double")).alias("c"))
-    line = cuts.groupBy("regime").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("line"))
-    step = lambda a, x: F.struct((a.q + gamma * (target - x.c)).alias("q"), F.array_append(a.out, F.struct(x.p.alias("p"), (a.q + gamma * (target - x.c)).alias("q"))).alias("out"))
-    start = F.struct(F.lit(target).alias("q"), F.expr("cast(array() as array<struct<p:int,q:double>>)").alias("out"))
-    return line.select("regime", F.inline(F.aggregate("line", start, step, lambda a: a.out)))
-
-
 def noise_floor(means: DataFrame, dispersion: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     """The error that noise alone gives if every cell's mean (p, a number of its own, and mean) were known, by kind of noise.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import share
@@ -26,3 +26,16 @@ def scores(log: DataFrame, observed: DataFrame, scored: DataFrame, limit: float)
 def pending(log: DataFrame, scored: DataFrame) -> DataFrame:
     """Months that have forecasts and no score."""
     return log.select("p").distinct().join(scored, "p", "left_anti")
+
+
+#: Fixed values of a new training: limits above (coverage: below) which one is due.
+WAPE_LIMIT, BRIER_LIMIT, COVERAGE_LIMIT, DRIFT_LIMIT, REGIME_LIMIT = 0.35, 0.15, 0.88, 0.25, 0.70
+
+
+def retrain(wape: Column | None = None, brier: Column | None = None, coverage: Column | None = None, drift: Column | None = None, regime: Column | None = None) -> Column:
+    """Whether any measure asks for a new training; a measure that is NULL or not given doesn't."""
+    due = F.lit(False)
+    for value, limit in ((wape, WAPE_LIMIT), (brier, BRIER_LIMIT), (drift, DRIFT_LIMIT), (regime, REGIME_LIMIT)):
+        if value is not None:
+            due = due | F.coalesce(value > limit, F.lit(False))
+    return due if coverage is None else due | F.coalesce(coverage < COVERAGE_LIMIT, F.lit(False))

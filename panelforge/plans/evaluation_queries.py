@@ -111,12 +111,6 @@ def conformal(spark, folder):
     return tidy(bands.groupBy("regime").agg(F.min("width").alias("width"), F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("coverage")), "regime", "width", "n", "coverage")
 
 
-@query("UNC05_STR08_adaptive")
-def adaptive(spark, folder):
-    rows = forecasts(spark, folder).withColumn("regime", F.expr(_REGIME)).withColumn("covered", F.abs(F.col("y") - F.col("champion")) <= 4)
-    return metrics.adaptive_levels(rows, 0.05, 0.9)
-
-
 @query("AGG20_UNC09_dispersion", f"WITH {PANEL}, g AS (SELECT geo, mes, avg(y) AS m, var_samp(y) AS v, count(*) AS n FROM panel GROUP BY geo, mes HAVING count(*) >= 2) SELECT round(sum(greatest(v - m, 0)) / nullif(sum(m * m), 0), 6) AS dispersion, count(*) AS groups FROM g")
 def dispersion(spark, folder):
     g = dense(spark, folder).groupBy("geo", "mes").agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count(F.lit(1)).alias("n")).where("n >= 2")
