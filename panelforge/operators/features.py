@@ -57,18 +57,23 @@ def calendar(panel: DataFrame) -> DataFrame:
 
 
 def anomalies(panel: DataFrame, value: str = "y") -> DataFrame:
-    """Distance from the month's mean, group-mean filling, differences, and filled attributes."""
+    """Distance from the month's mean, group-mean filling, differences, and filled attributes.
+
+    A NULL month of the year has a mean of its own.
+    """
     v = F.col(value)
+    means = panel.groupBy(F.col("mes").alias("_mes")).agg(F.avg(v).alias("_mean"))
+    panel = panel.join(F.broadcast(means), F.col("mes").eqNullSafe(F.col("_mes")), "left")  # a row a month of the year
     to_now = ordered("geo").rowsBetween(Window.unboundedPreceding, 0)
     from_now = ordered("geo").rowsBetween(0, Window.unboundedFollowing)
     return panel.withColumns(
         {
-            "anomaly": v - F.avg(v).over(Window.partitionBy("mes")),
-            "filled": F.coalesce(v, F.avg(v).over(Window.partitionBy("mes"))),
+            "anomaly": v - F.col("_mean"),
+            "filled": F.coalesce(v, F.col("_mean")),
             "diff1": v - F.lag(v, 1).over(ordered("geo")),
             "carried": F.coalesce(F.last(v, True).over(to_now), F.first(v, True).over(from_now)),
         }
-    )
+    ).drop("_mes", "_mean")
 
 
 def within_cut(panel: DataFrame, value: str = "y") -> DataFrame:

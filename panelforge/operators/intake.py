@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -28,6 +30,30 @@ def picked(df: DataFrame, *aliases: str) -> Column:
     return F.lit(None)
 
 
+def words_of(name: str) -> str:
+    """A column's name without marks, in upper case, its runs of other signs than letters and digits as one blank."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+    return " ".join(re.findall("[0-9A-Z]+", plain.upper()))
+
+
+def holding(df: DataFrame, token: str) -> Column:
+    """The first column whose words hold the token's; NULL if there is none."""
+    return next((F.col(f"`{c.replace('`', '``')}`") for c in df.columns if words_of(token) in words_of(c)), F.lit(None))
+
+
+def renamed(df: DataFrame, parts: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Columns under the first name of which they have a part, in any case; the others as they are.
+
+    A name is given once: later columns that would have it too keep their own.
+    """
+    given: dict[str, str] = {}
+    for c in df.columns:
+        new = next((n for n, some in parts.items() if any(x in c.lower() for x in some)), None)
+        if new and new not in given.values() and (new == c or new not in df.columns):
+            given[c] = new
+    return df.toDF(*[given.get(c, c) for c in df.columns])
+
+
 def entity_name(name: Column, suffixes: Sequence[str], aliases: Mapping[str, str]) -> Column:
     """Lower case without marks or apostrophes, single blanks, no state's suffix, known aliases put right."""
     plain = F.translate(F.lower(name), e.ACCENTED + "'", e.PLAIN)

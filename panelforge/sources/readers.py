@@ -21,15 +21,35 @@ def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") ->
 def zipped_csv(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """Lines of all CSV members of zip archives: source (zip:member), fields by header name.
 
-    One archive is read by one task; archives are monthly files of some megabytes. Members in
-    UTF-8 are read so, others as Latin-1; members that can't be read give no rows.
+    One archive is read by one task; archives are monthly files of some megabytes, and their
+    members are read in pieces. Members in UTF-8 are read so, others as Latin-1; members that
+    can't be read to their end give no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
+    def encoding(raw) -> str:
+        import codecs
+
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        code = "utf-8-sig"
+        while part := raw.read(1 << 20):  # to the end, which also tests the member's checksum
+            try:
+                if code == "utf-8-sig":
+                    decoder.decode(part)
+            except UnicodeDecodeError:
+                code = "latin-1"
+        try:
+            decoder.decode(b"", code == "utf-8-sig")
+        except UnicodeDecodeError:
+            code = "latin-1"
+        return code
+
     def rows(batches):
         import csv as parser
         import io
         import zipfile
+        import zlib
+        from itertools import islice
 
         import pandas as pd
 
@@ -40,16 +60,16 @@ def zipped_csv(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFr
                     if not member.lower().endswith(".csv"):
                         continue
                     try:
-                        raw = archive.read(member)
-                    except (zipfile.BadZipFile, OSError):
+                        with archive.open(member) as raw:
+                            code = encoding(raw)
+                    except (zipfile.BadZipFile, OSError, zlib.error):
                         continue
-                    try:
-                        text = raw.decode("utf-8-sig")
-                    except UnicodeDecodeError:
-                        text = raw.decode("latin-1")
-                    lines = list(parser.DictReader(io.StringIO(text)))
                     source = f"{name.rsplit('/', 1)[-1]}:{member}"
-                    yield pd.DataFrame({"source": [source] * len(lines), "fields": [{(k or "").strip(): v for k, v in r.items() if isinstance(v, str)} for r in lines]})
+                    with archive.open(member) as raw:
+                        lines = parser.DictReader(io.TextIOWrapper(raw, code, newline=""))
+                        while some := list(islice(lines, 10_000)):
+                            fields = [{(k or "").strip(): v for k, v in r.items() if isinstance(v, str)} for r in some]
+                            yield pd.DataFrame({"source": [source] * len(some), "fields": fields})
 
     return files.select("path", "content").mapInPandas(rows, "source string, fields map<string,string>")
 
@@ -148,7 +168,8 @@ def write_with_manifest(df: DataFrame, path: str, keys: Sequence[str]) -> dict:
     df.write.mode("overwrite").parquet(path)
     spark = df.sparkSession
     back = spark.read.parquet(path)
-    row = back.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*back.columns)).alias("hash")).first()
+    content = F.sum(F.xxhash64(*back.columns).cast("decimal(38,0)"))  # equal rows add up; they don't cancel
+    row = back.agg(F.count(F.lit(1)).alias("rows"), content.cast("string").alias("hash")).first()
     manifest = {"path": path, "rows": row["rows"], "content": row["hash"], "keys": list(keys), "columns": back.columns}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
     return manifest

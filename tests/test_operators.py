@@ -157,3 +157,36 @@ def test_noise_floor_by_kind_of_noise(spark):
     same = {r.kind: r.mean for r in metrics.noise_floor(means, given(None), 500).collect()}
     assert abs(same["negative_binomial"] - exact) < 0.02
     assert metrics.noise_floor(means.limit(0), given(0.5), 500).count() == 0
+
+
+def test_columns_are_found_by_words_and_renamed_by_parts(spark):
+    from panelforge.operators import intake
+
+    df = spark.createDataFrame([(1, 2.0, 3)], "`Chuva (mm/h)` int, `Pressão-máx.` double, YEAR int")
+    row = df.select(intake.holding(df, "pressao max").alias("a"), intake.holding(df, "chuva mm").alias("b"), intake.holding(df, "vento").alias("c")).first()
+    assert tuple(row) == (2.0, 1, None)
+    assert intake.renamed(df, {"ano": ("ano", "year"), "rain": ("chuva",)}).columns == ["rain", "Pressão-máx.", "ano"]
+    twice = spark.createDataFrame([(1, 2, 3)], "year_a int, year_b int, other int")
+    assert intake.renamed(twice, {"ano": ("year",)}).columns == ["ano", "year_b", "other"]
+
+
+def test_station_means_weigh_every_station(spark):
+    from panelforge.operators import spatial
+
+    places = spark.createDataFrame([(1, 10, 0.0, 0.0), (1, 11, 0.0, 0.0)], "geo int, p int, lat double, lon double")
+    stations = spark.createDataFrame([(1, 10, 0.0, 0.0, 4.0), (2, 10, 0.0, 90.0, 1.0), (3, 10, 0.0, 1.0, None)], "station int, p int, lat double, lon double, v double")
+    [row] = spatial.station_means(places, stations).collect()
+    far = 1 / (6371.0088 * 3.141592653589793 / 2 + 5) ** 2
+    assert row.stations == 2 and abs(row.idw - (4 / 25 + far) / (1 / 25 + far)) < 1e-9
+
+
+def test_bands_by_hand(spark):
+    from panelforge.operators import bands
+
+    rows = spark.createDataFrame([("dry", p, float(y), 0.0) for p, ys in ((1, (1, 2, 3, 4)), (2, (1, 9)), (3, (8, None))) for y in ys if y is not None] + [("dry", 3, None, 0.0)], "regime string, p int, y double, f double")
+    counts = bands.residual_counts(rows, "y", "f")
+    got = {r.p: (r.width, r.n, r.covered) for r in bands.rolling(counts, [0.4], 2).collect()}
+    assert got == {2: (3.0, 2, 1), 3: (4.0, 1, 0)}  # ranks ceil(5 * 0.6) = 3 of 4 and ceil(7 * 0.6) = 5 of 6
+    levels = {r.p: (round(r.q, 6), round(r.width, 6), r.covered) for r in bands.adaptive(counts, [0.2], 0.9, 2).collect()}
+    assert levels == {2: (0.9, 3.7, 1), 3: (0.98, 8.5, 1)}
+    assert bands.rolling(counts.limit(0), [0.1], 1).count() == 0

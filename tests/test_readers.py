@@ -2,13 +2,14 @@
 
 import datetime
 import json
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import spatial
-from panelforge.sources import readers
+from panelforge.sources import fetch, readers
 from panelforge.streaming import jobs
 
 
@@ -17,16 +18,17 @@ def test_zip_members_keep_their_source_and_bad_text_is_latin(spark, tmp_path):
         z.writestr("x.csv", " id ,name\n1,Açu\n2,b\n".encode())
         z.writestr("y.csv", "id,name\n3,Pará\n".encode("latin-1"))
         z.writestr("notes.txt", "no")
+        z.writestr("cut.csv", b"id,name\n4,\xc3")
     rows = readers.zipped_csv(spark, str(tmp_path)).collect()
-    assert sorted((r.source, r.fields["id"], r.fields["name"]) for r in rows) == [("a.zip:x.csv", "1", "Açu"), ("a.zip:x.csv", "2", "b"), ("a.zip:y.csv", "3", "Pará")]
+    assert sorted((r.source, r.fields["id"], r.fields["name"]) for r in rows) == [("a.zip:cut.csv", "4", "Ã"), ("a.zip:x.csv", "1", "Açu"), ("a.zip:x.csv", "2", "b"), ("a.zip:y.csv", "3", "Pará")]
 
 
 def test_station_files(spark, tmp_path):
     head = "REGIAO:;NE\nUF:;CE\nESTACAO:;JATI\nCODIGO:;A1\nLATITUDE:;-7,5\nLONGITUDE:;-39\nALTITUDE:;400\nFUNDACAO:;01/01/07\n"
-    (tmp_path / "s.csv").write_text(head + "Data;Hora;PRECIPITACAO TOTAL (mm);TEMPERATURA (C)\n2024/01/01;0000;1009,1;27\n2024/01/01;0100;-9999;\n")
+    (tmp_path / "s.csv").write_text(head + "Data;Hora;PRECIPITACAO TOTAL (mm);TEMPERATURA (C)\n2024/01/01;0000;812,4;31\n2024/01/01;0100;-9999;\n")
     out = readers.station_files(spark, str(tmp_path / "s.csv"))
     rows = out.select("line", F.element_at("head", "codigo").alias("code"), readers.station_value(F.col("names"), F.col("parts"), "precip").alias("rain"), readers.station_value(F.col("names"), F.col("parts"), "temper").alias("temp")).orderBy("line").collect()
-    assert [(r.rain, r.temp) for r in rows] == [(1009.1, 27.0), (None, None)]
+    assert [(r.rain, r.temp) for r in rows] == [(812.4, 31.0), (None, None)]
 
 
 def test_geojson_and_location(spark, tmp_path):
@@ -59,6 +61,9 @@ def test_request_windows_and_point_source(spark, tmp_path):
 def test_manifest_counts_what_was_written(spark, tmp_path):
     m = readers.write_with_manifest(spark.range(5), str(tmp_path / "t"), ["id"])
     assert m["rows"] == 5 and m["keys"] == ["id"]
+    twice = readers.write_with_manifest(spark.range(5).union(spark.range(5)), str(tmp_path / "u"), ["id"])
+    none = readers.write_with_manifest(spark.range(0), str(tmp_path / "v"), ["id"])
+    assert len({m["content"], twice["content"], none["content"]}) == 3 and none["rows"] == 0
     readers.append_lines(spark.range(2), str(tmp_path / "log"))
     readers.append_lines(spark.range(3), str(tmp_path / "log"))
     assert readers.json_lines(spark, str(tmp_path / "log"), "id long").count() == 5
@@ -71,3 +76,30 @@ def test_append_streams_are_files(spark, tmp_path, n):
     got = jobs.run_append(jobs.distinct(jobs.event_stream(spark, f"{tmp_path}/events.parquet")), "t")
     assert sorted(r.event_id for r in got.collect()) == list(range(min(n, 3)))
     assert n == 0 or got.inputFiles()
+
+
+def test_fetch_pauses_and_goes_on(spark, tmp_path):
+    calls, cache = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+    folder = str(calls)
+
+    def ask(lat, lon):
+        import uuid
+
+        n = sum(f.startswith(f"{lat}-") for f in os.listdir(folder))
+        open(f"{folder}/{lat}-{uuid.uuid4()}", "w").close()
+        if lat == 2.0 and n < 2:
+            return 429, 0.0, None
+        if lat == 3.0:
+            return 404, None, None
+        return 200, None, f"answer {lat}"
+
+    cells = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, 0.0), ("b", 2.0, 0.0), (None, 9.0, 0.0)], "cell string, lat double, lon double").coalesce(1)
+    first = fetch.resumed(cells, cache, ask, lanes=1, pause=0.0, refusals=2)
+    assert first.get("paused", 0) >= 1 and first["cached"] == 0
+    second = fetch.resumed(cells, cache, ask, lanes=1, pause=0.0, refusals=2)
+    assert second["cached"] == first.get("done", 0) and second["cached"] + second["done"] == 2
+    assert sorted((r.cell, r.body) for r in spark.read.parquet(cache).collect()) == [("a", "answer 1.0"), ("b", "answer 2.0")]
+    assert sum(f.startswith("1.0-") for f in os.listdir(folder)) == 1
+    third = fetch.resumed(spark.createDataFrame([("c", 3.0, 0.0)], cells.schema), cache, ask, pause=0.0)
+    assert third == {"failed": 1, "cached": 0}
