@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import documents, give_back, map_values, quoted, step_done, written
 from panelforge.llm.graph import components
-from panelforge.llm.words import word_hashes
+from panelforge.llm.words import distinct, word_hashes
 
 WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL = 4, 85, 2048, 1.25, 512, 16
+HELD = 8_000_000  # hashes of sets that a task keeps at once
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TILE = ["key", "lo", "hi"]
 
@@ -54,7 +55,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     out = _mixed(out)
     if len(h) < k:
         out += np.uint64(len(h))
-    return np.unique(out)
+    return distinct(out)
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -231,14 +232,32 @@ def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+class Sets:
+    """Exact sets by node, made of texts when asked for; of at most HELD hashes at once, and the last one."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.sets = k, 0, {}
+
+    def get(self, node: int, body) -> np.ndarray:
+        if node not in self.sets:
+            s = shingle_set(zstandard.decompress(body.as_py()).decode(), self.k)
+            if self.held + len(s) > HELD:
+                self.sets.clear()
+                self.held = 0
+            self.sets[node] = s
+            self.held += len(s)
+        return self.sets[node]
+
+
 def _settled(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between classes, found by intersecting exact sets inside tiles."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        sets = Sets(k)
         for b in _by_tiles(batches):
-            m, body, known, up = Members(b, percent), b.column("body"), {}, {}
+            m, body, up = Members(b, percent), b.column("body"), {}
             found: list[tuple[int, int]] = []
 
             def top(c: int) -> int:
@@ -252,14 +271,8 @@ def _settled(rows: DataFrame, k: int, percent: int) -> DataFrame:
                     ca, cb = top(int(m.c[x])), top(int(m.c[y]))
                     if ca == cb:
                         continue
-                    for p in (x, y):
-                        if p not in known:
-                            if len(known) > 4 * CHUNK:
-                                known.clear()
-                            known[p] = shingle_set(zstandard.decompress(body[p].as_py()).decode(), k)
-                    if x not in known:  # cleared for y
-                        known[x] = shingle_set(zstandard.decompress(body[x].as_py()).decode(), k)
-                    if _alike(known[x], known[y], percent):
+                    first, second = (sets.get(int(m.node[p]), body[p]) for p in (x, y))
+                    if _alike(first, second, percent):
                         up[max(ca, cb)] = min(ca, cb)
                         found.append((int(m.c[x]), int(m.c[y])))
             if found:
