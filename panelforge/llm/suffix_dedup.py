@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.blocks import LAST, MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
 from panelforge.llm.common import documents, step_done, written
+from panelforge.llm.words import distinct
 
 LENGTH, TRIGGER, PHRASE, HOT = 50, 16, 64, 50_000
 TRIGGER_BUCKET_BYTES, PHRASE_BUCKET_BYTES = 16 << 20, 1 << 20
@@ -90,7 +91,7 @@ class Phrases:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct triggers in order, the documents that have each (two count as many), and each phrase's trigger."""
         values, back = np.unique(self.trigger, return_inverse=True)
-        pairs = np.unique(back.astype(np.int64) << 32 | self.doc)
+        pairs = distinct(back.astype(np.int64) << 32 | self.doc)
         return values, np.bincount(pairs >> 32, minlength=len(values)), back
 
 
