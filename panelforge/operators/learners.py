@@ -27,15 +27,13 @@ def estimator(kind: str, seed: int = 42):
     if kind == "tweedie":
         return GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="y", regParam=1e-3, maxIter=25)
     if kind == "forest":
-        return RandomForestRegressor(labelCol="logged", numTrees=20, maxDepth=6, seed=seed)
-    if kind == "boosted":
-        return GBTRegressor(labelCol="logged", maxIter=10, maxDepth=4, seed=seed)
+        return RandomForestRegressor(labelCol="logged", numTrees=100, maxDepth=12, seed=seed)
     raise ValueError(f"unknown model {kind}")
 
 
 def fit_predict(train: DataFrame, test: DataFrame, names: Sequence[str], kind: str) -> DataFrame:
-    """test with pred; trees learn log1p of the target. Forecasts are not negative."""
-    logged = kind in ("forest", "boosted")
+    """test with pred; the forest learns log1p of the target. Forecasts are not negative."""
+    logged = kind == "forest"
     model = Pipeline(stages=[*prepared(names), estimator(kind)]).fit(train.withColumn("logged", F.log1p("y")))
     out = model.transform(test)
     pred = F.expm1("prediction") if logged else F.col("prediction")

@@ -231,7 +231,7 @@ def _learned(kind: str):
     return run
 
 
-for _id, _kind in (("MDL07_poisson", "poisson"), ("MDL08_tweedie", "tweedie"), ("MDL09_forest", "forest"), ("MDL06_boosted", "boosted")):
+for _id, _kind in (("MDL07_poisson", "poisson"), ("MDL08_tweedie", "tweedie"), ("MDL09_forest", "forest")):
     query(_id)(_learned(_kind))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.sources.tables import new_folder
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Events as a file stream; times get the zone that watermarks need."""
@@ -53,8 +52,7 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder with a place for rows, there even if nothing arrives."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-")
-    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = new_folder(spark, name)
     rows = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
     rows.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(rows)
     return folder
