@@ -2,23 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.expressions import haversine_km, share
+from panelforge.functions.expressions import EARTH_KM, haversine_km, share
+from panelforge.sources.tables import stored
+
+
+#: Places of a cell at the start of a search, and the smallest cell in degrees.
+CROWD, SMALLEST = 64, 1e-6
+
 
+def _cells(df: DataFrame, cell: float) -> DataFrame:
+    return df.withColumns({"r": F.floor(F.col("lat") / cell), "c": F.floor(F.col("lon") / cell)})
 
-def neighbours(places: DataFrame, k: int, cell: float = 2.0) -> DataFrame:
-    """src, dst, km and rank of the k nearest places within a cell's width, by cells: no all-pairs join."""
-    rows, columns = F.floor(F.col("lat") / cell), F.floor(F.col("lon") / cell)
-    left = places.select(F.col("geo").alias("src"), F.col("lat").alias("la"), F.col("lon").alias("lo"), rows.alias("r"), columns.alias("c"))
-    near = [F.struct((rows + i).alias("r"), (columns + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    right = places.select(F.col("geo").alias("dst"), "lat", "lon", F.explode(F.array(*near)).alias("x")).select("dst", "lat", "lon", "x.*")
-    km = F.round(haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")), 6)
-    close = (F.abs(F.col("la") - F.col("lat")) <= cell) & (F.abs(F.col("lo") - F.col("lon")) <= cell)
-    pairs = left.join(right, ["r", "c"]).where("src <> dst").where(close).select("src", "dst", km.alias("km"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("km", "dst"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+def nearest(places: DataFrame, k: int, within: Sequence[str] = (), sphere: bool = True) -> DataFrame:
+    """within, src, dst, distance and rank of the k nearest other places of each place (geo, lat, lon), however far they are.
+
+    distance is in km on the sphere (rounded to 6 places), or plain in degrees; ties go to the
+    smaller geo. A place looks at its cell and the eight around it, and is done when its k-th
+    distance is below what any place outside of them can have; the others go on with cells of
+    four times the width, until these hold everything. The first width is one at which no cell is
+    crowded. Of places at one point only the k + 1 smallest can be near to anyone, so the
+    others are no candidates. A lone place may have to look at all places of a crowded cell.
+    Places without coordinates are left out. Longitudes are from -180 to 180.
+    """
+    keys = list(within)
+    base = stored(places.where("lat IS NOT NULL AND lon IS NOT NULL").select(*keys, F.col("geo").alias("src"), "lat", "lon"), "places")
+    first = F.row_number().over(Window.partitionBy(*keys, "lat", "lon").orderBy("src"))
+    able = stored(base.withColumn("i", first).where(F.col("i") <= k + 1).drop("i"), "able")
+    ends = base.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    extent = 360.0 if sphere else max(ends[1] - ends[0], ends[3] - ends[2], SMALLEST) if ends[0] is not None else 1.0
+    cell = extent
+    while cell / 2 >= SMALLEST and (_cells(able, cell).groupBy(*keys, "r", "c").count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        cell /= 2
+    left, done = base, None
+    while True:
+        whole = cell >= extent
+        columns = round(360 / cell) if sphere else None  # cells divide the circle, so the last column touches the first
+        near = [F.struct((F.col("r") + i).alias("r"), (F.pmod(F.col("c") + j, F.lit(columns)) if sphere else F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        asked = _cells(left, cell).select(*keys, "src", F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(F.array_distinct(F.array(*near))).alias("x")).select(*keys, "src", "la", "lo", "x.*")
+        there = _cells(able.withColumnRenamed("src", "dst"), cell)
+        if sphere:
+            there = there.withColumn("c", F.pmod("c", F.lit(columns)))
+            distance = F.round(haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")), 6)
+            # from a place to the circles of latitude and longitude that bound what it has seen
+            across = F.asin(F.cos(F.radians("la")) * F.sin(F.radians(F.lit(min(cell, 90.0)))))
+            outside = EARTH_KM * F.least(F.radians(F.lit(cell)), across) - 1e-5
+        else:
+            distance = F.sqrt(F.pow(F.col("la") - F.col("lat"), 2) + F.pow(F.col("lo") - F.col("lon"), 2))
+            outside = F.lit(cell * (1 - 1e-9))
+        met = asked.join(there, [*keys, "r", "c"]).where("src <> dst").select(*keys, "src", "dst", distance.alias("distance"), outside.alias("outside"))
+        by = Window.partitionBy(*keys, "src")
+        top = met.withColumn("rank", F.row_number().over(by.orderBy("distance", "dst"))).where(F.col("rank") <= k)
+        settled = F.lit(True) if whole else (F.count(F.lit(1)).over(by) == k) & (F.max("distance").over(by) < F.col("outside"))
+        now = stored(top.withColumn("settled", settled).where("settled").select(*keys, "src", "dst", "distance", "rank"), "nearest")
+        done = now if done is None else done.unionByName(now)
+        if whole:
+            return done
+        left = stored(left.join(now.select(*keys, "src").distinct(), [*keys, "src"], "left_anti"), "left")
+        if left.isEmpty():
+            return done
+        cell = min(4 * cell, extent)
+
+
+def neighbours(places: DataFrame, k: int) -> DataFrame:
+    """src, dst, km and rank of the k nearest places."""
+    return nearest(places, k).select("src", "dst", F.col("distance").alias("km"), "rank")
 
 
 def neighbour_mean(panel: DataFrame, edges: DataFrame, value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions import expressions as e
-from panelforge.operators import intake
+from panelforge.operators import intake, spatial
 from panelforge.plans.common_sql import CHAMPION, ENTITIES, EVENTS, OBSERVED, PANEL
 from panelforge.plans.evaluation_queries import forecasts
 from panelforge.plans.panel_queries import dense
@@ -163,10 +163,9 @@ def unstacked(spark, folder):
 @query("WIN25_top_weights", f"WITH {ENTITIES}, w AS (SELECT a.geo AS a, b.geo AS b, exp(-0.5 * sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS w FROM ent a JOIN ent b ON a.uf = b.uf AND a.geo <> b.geo), k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 5) SELECT a, b, round(w / (sum(w) OVER (PARTITION BY a) + 1e-6), 6) AS w FROM k")
 def top_weights(spark, folder):
     """The five strongest weights of each entity within its region, shared out to 1."""
-    ent = entities(spark, folder).select("geo", "uf", "lat", "lon")
-    pairs = ent.alias("x").join(ent.alias("z"), F.expr("x.uf = z.uf AND x.geo <> z.geo"))
-    w = F.exp(-0.5 * F.sqrt(F.pow(F.col("x.lat") - F.col("z.lat"), 2) + F.pow(F.col("x.lon") - F.col("z.lon"), 2)))
-    return tidy(intake.row_normalised(pairs.select(F.col("x.geo").alias("a"), F.col("z.geo").alias("b"), w.alias("w")), 5), "a", "b", "w")
+    near = spatial.nearest(entities(spark, folder).select("geo", "uf", "lat", "lon"), 5, ["uf"], sphere=False)
+    w = F.exp(-0.5 * F.col("distance"))
+    return tidy(intake.row_normalised(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), w.alias("w")), 5), "a", "b", "w")
 
 
 @query("SRT08_audit_sample", "SELECT o_orderkey AS k, o_totalprice AS total FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 50")

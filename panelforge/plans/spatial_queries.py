@@ -11,7 +11,7 @@ from panelforge.plans.registry import query, tidy
 from panelforge.sources.tables import entities
 
 _KM = "round(2 * 6371.0088 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0))), 6)"
-EDGES = f"""{ENTITIES}, near AS (SELECT a.geo AS src, b.geo AS dst, {_KM} AS km FROM ent a JOIN ent b ON a.geo <> b.geo AND abs(a.lat - b.lat) <= 2 AND abs(a.lon - b.lon) <= 2),
+EDGES = f"""{ENTITIES}, near AS (SELECT a.geo AS src, b.geo AS dst, {_KM} AS km FROM ent a JOIN ent b ON a.geo <> b.geo),
  edges AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY km, dst) AS rank FROM near QUALIFY row_number() OVER (PARTITION BY src ORDER BY km, dst) <= 3)"""
 
 
