@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import expressions as e
+from panelforge.operators.quantiles import wide
 
 #: Signs that stand for nothing in statistical tables, and letters of confidence.
 ZERO_SIGNS = ("", "-", "..", "...", "X")
@@ -155,8 +156,8 @@ def prediction_blocks(blocks: Mapping[str, DataFrame]) -> DataFrame:
 
 def magnitude_scale(events: DataFrame) -> DataFrame:
     """One row: the median of the logarithm of positive magnitudes, 1 if there are none."""
-    size = F.log1p("frp")
-    return events.agg(F.coalesce(F.median(F.when(F.col("frp") > 0, size)), F.lit(1.0)).alias("scale"))
+    sizes = events.where("frp > 0").select(F.log1p("frp").alias("size"))
+    return wide(sizes, "size", [], {"scale": 0.5}).agg(F.coalesce(F.max("scale"), F.lit(1.0)).alias("scale"))
 
 
 def strength(mode: str) -> Column:
@@ -170,7 +171,7 @@ def regime_quantiles(rows: DataFrame) -> DataFrame:
     """q80 and q95 of absolute errors over all rows, and over the critical months if they are more than 10 rows."""
     names = F.array_compact(F.array(F.lit("global"), F.when(F.col("mes").isin(10, 11), "critical")))
     each = rows.select(F.explode(names).alias("regime"), F.abs(F.col("y") - F.col("champion")).alias("e"))
-    out = each.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.percentile("e", 0.8).alias("q80"), F.percentile("e", 0.95).alias("q95"))
+    out = wide(each, "e", ["regime"], {"q80": 0.8, "q95": 0.95})
     return out.where("regime = 'global' OR n > 10")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import expressions as e
 from panelforge.operators import intake, spatial
+from panelforge.operators.quantiles import wide
 from panelforge.plans.common_sql import CHAMPION, ENTITIES, EVENTS, OBSERVED, PANEL
 from panelforge.plans.evaluation_queries import forecasts
 from panelforge.plans.panel_queries import dense
@@ -210,9 +211,9 @@ def evidence(spark, folder):
     rows = forecasts(spark, folder).withColumn("e", F.abs(F.col("y") - F.col("champion")))
     late = F.col("p") > F.col("last") - 12
     rows = rows.crossJoin(F.broadcast(rows.agg(F.max("p").alias("last"))))  # one row
-    q = F.percentile("e", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    out = rows.agg(F.count(F.lit(1)).alias("n"), q.alias("q"), e.share(F.sum("e"), F.sum("y")).alias("wape"), e.share(F.sum(F.when(late, F.col("e"))), F.sum(F.when(late, F.col("y")))).alias("wape12"))
-    return tidy(out, "n", "wape", "wape12", p50=F.col("q")[0], p90=F.col("q")[1], p95=F.col("q")[2])
+    out = rows.agg(F.count(F.lit(1)).alias("n"), e.share(F.sum("e"), F.sum("y")).alias("wape"), e.share(F.sum(F.when(late, F.col("e"))), F.sum(F.when(late, F.col("y")))).alias("wape12"))
+    q = wide(rows, "e", [], {"p50": 0.5, "p90": 0.9, "p95": 0.95}).drop("n")
+    return tidy(out.crossJoin(F.broadcast(q)), "n", "wape", "wape12", "p50", "p90", "p95")  # one row
 
 
 @query("ADD01_temporal_holdout", f"WITH {PANEL}, m AS (SELECT geo, mes, avg(y) AS c FROM panel WHERE ano <= 1996 GROUP BY geo, mes) SELECT p.ano, count(*) AS n, round(sum(abs(y - coalesce(c, 0))) / sum(y), 6) AS wape FROM panel p LEFT JOIN m ON p.geo = m.geo AND p.mes = m.mes WHERE p.ano > 1996 GROUP BY p.ano")
