@@ -47,10 +47,13 @@ class Past:
         return a + (b - a) * (at - below)
 
 
-def _walk(counts, start: int, step: Callable):
-    """p, *step(past, rows of the cut), for each cut from start on that has a past."""
-    counts = counts.sort_values(["p", "residual"])
-    past = Past(np.unique(counts["residual"]))
+def _walk(counts, start: int, step: Callable, seen: dict[float, int] | None = None):
+    """p, *step(past, rows of the cut), for each cut from start on that has a past; seen: counts of residuals before these."""
+    counts, seen = counts.sort_values(["p", "residual"]), seen or {}
+    values = np.union1d(counts["residual"].to_numpy(float), np.fromiter(seen, float, len(seen)))
+    past = Past(values)
+    for residual, n in seen.items():
+        past.counts[np.searchsorted(values, residual)] = n
     for p, cut in counts.groupby("p", sort=True):
         e, n = cut["residual"].to_numpy(), cut["n"].to_numpy()
         if p >= start and past.counts.any():
@@ -58,6 +61,29 @@ def _walk(counts, start: int, step: Callable):
         np.add.at(past.counts, np.searchsorted(past.values, e), n)
 
 
+class Level:
+    """An adaptive level, moved by each cut."""
+
+    def __init__(self, gamma: float, target: float, level: float):
+        self.gamma, self.target, self.level = gamma, target, level
+
+    def step(self, past: Past, e: np.ndarray, n: np.ndarray) -> tuple[float, float, int, int]:
+        q = min(max(self.level, LEVEL_LOW), LEVEL_HIGH)
+        width, total = past.quantile(q), int(n.sum())
+        covered = int(n[e <= width].sum())
+        self.level += self.gamma * (self.target - covered / total)
+        return q, width, total, covered
+
+    def walked(self, rows, start: int, regime: str, seen: dict[float, int] | None = None):
+        import pandas as pd
+
+        out = pd.DataFrame(list(_walk(rows, start, self.step, seen)), columns=["p", "q", "width", "n", "covered"])
+        return out.assign(gamma=self.gamma, regime=regime)
+
+
+ADAPTED = "p int, q double, width double, n bigint, covered bigint, gamma double, regime string"
+
+
 def rolling(counts: DataFrame, alphas: Sequence[float], start: int) -> DataFrame:
     """Bands by the conformal rank of all earlier residuals of the regime, for each alpha."""
 
@@ -79,23 +105,10 @@ def adaptive(counts: DataFrame, gammas: Sequence[float], target: float, start: i
     """Adaptive conformal bands: the quantile of earlier residuals at a level that moves, after each cut, by gamma times the missed coverage."""
 
     def run(key, rows):
-        import pandas as pd
-
-        level = target
-
-        def step(past, e, n):
-            nonlocal level
-            q = min(max(level, LEVEL_LOW), LEVEL_HIGH)
-            width, total = past.quantile(q), int(n.sum())
-            covered = int(n[e <= width].sum())
-            level += key[0] * (target - covered / total)
-            return q, width, total, covered
-
-        out = pd.DataFrame(list(_walk(rows, start, step)), columns=["p", "q", "width", "n", "covered"])
-        return out.assign(gamma=key[0], regime=key[1])
+        return Level(key[0], target, target).walked(rows, start, key[1])
 
     each = counts.withColumn("gamma", F.explode(F.array(*map(F.lit, gammas))))
-    return each.groupBy("gamma", "regime").applyInPandas(run, "p int, q double, width double, n bigint, covered bigint, gamma double, regime string")
+    return each.groupBy("gamma", "regime").applyInPandas(run, ADAPTED)
 
 
 def _coverage(where: Column) -> Column:

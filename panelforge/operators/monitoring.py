@@ -23,6 +23,34 @@ def scores(log: DataFrame, observed: DataFrame, scored: DataFrame, limit: float)
     return out.withColumn("alerts", alerts)
 
 
+#: The champion's measure at release, and by how much a month may exceed it.
+REFERENCE_WAPE, WAPE_INCREASE = 0.6430, 0.05
+
+
+def delayed_scores(log: DataFrame, observed: DataFrame, keys: Sequence[str], absent_is_zero: bool, reference: float = REFERENCE_WAPE, increase: float = WAPE_INCREASE) -> DataFrame:
+    """A row for each of keys (p among them) of logged forecasts whose month has any observation.
+
+    Where absence means zero, places without an observation count as 0; else they are missing,
+    not scored, and alerted. A month without events has no wape.
+    """
+    months = observed.select("p").distinct()
+    joined = log.join(months, "p", "left_semi").join(observed.select("geo", "p", "y"), ["geo", "p"], "left")
+    y = F.coalesce("y", F.lit(0.0)) if absent_is_zero else F.col("y")
+    joined = joined.withColumn("y", y)
+    miss = F.abs(F.col("y") - F.col("pred"))
+    total = F.coalesce(F.sum("y"), F.lit(0.0))
+    out = joined.groupBy(*keys).agg(
+        F.count("y").alias("n_scored"),
+        (F.count(F.lit(1)) - F.count("y")).alias("n_missing"),
+        total.alias("observed_total"),
+        F.sum(F.when(F.col("y").isNotNull(), F.col("pred"))).alias("predicted_total"),
+        F.when(total > 0, F.sum(miss) / total).alias("wape"),
+        F.avg(miss).alias("mae"),
+    )
+    signs = F.array(F.when(F.col("wape") > reference + increase, F.lit("wape above reference")), F.when(F.col("n_missing") > 0, F.concat(F.col("n_missing"), F.lit(" places not observed"))))
+    return out.withColumn("alerts", F.array_join(F.array_compact(signs), ";"))
+
+
 def pending(log: DataFrame, scored: DataFrame) -> DataFrame:
     """Months that have forecasts and no score."""
     return log.select("p").distinct().join(scored, "p", "left_anti")

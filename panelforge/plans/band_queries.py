@@ -10,7 +10,9 @@ from panelforge.plans.evaluation_queries import _REGIME
 from panelforge.plans.panel_queries import dense, forecasts, observed
 from panelforge.plans.registry import query, tidy
 from panelforge.plans.spatial_queries import _KM
-from panelforge.sources.tables import entities, table
+from panelforge.sources.tables import entities, new_folder, stored, table
+from panelforge.streaming import adaptive as streaming
+from panelforge.streaming import jobs, monitor
 
 #: 1999-01, and the year 2000 in which levels are chosen; later cuts choose nothing.
 START, CHOICE_FIRST, CHOICE_LAST = 23989, 24001, 24012
@@ -39,7 +41,7 @@ def rolling_conformal(spark, folder):
     return out.select("alpha", "regime", "p", F.round("width", 6).alias("width"), "n", "covered", "selected")
 
 
-@query("UNC05_STR08_adaptive", f"""WITH RECURSIVE {_PAST}, o AS (SELECT regime, p, row_number() OVER (PARTITION BY regime ORDER BY p) AS k, min(total) AS total FROM cum GROUP BY regime, p),
+_ADAPTIVE = f"""WITH RECURSIVE {_PAST}, o AS (SELECT regime, p, row_number() OVER (PARTITION BY regime ORDER BY p) AS k, min(total) AS total FROM cum GROUP BY regime, p),
  r AS (SELECT CAST(gamma AS DOUBLE) AS gamma, regime, CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS p, CAST(NULL AS DOUBLE) AS q, CAST(NULL AS DOUBLE) AS width, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS covered, CAST({TARGET} AS DOUBLE) AS level
    FROM (SELECT unnest({list(GAMMAS)}) AS gamma), (SELECT DISTINCT regime FROM o)
   UNION ALL SELECT gamma, regime, k, p, q, width, n, covered, level + gamma * (CAST({TARGET} AS DOUBLE) - covered / n) FROM (
@@ -51,12 +53,48 @@ def rolling_conformal(spark, folder):
    JOIN h ON h.regime = x.regime AND h.p = x.p GROUP BY x.gamma, x.regime, x.k, x.p, x.q, x.level)),
  m AS (SELECT gamma, abs(sum(covered) / sum(n) - CAST({TARGET} AS DOUBLE)) AS miss FROM r WHERE k > 0 AND p <= {CHOICE_LAST} GROUP BY gamma),
  s AS (SELECT gamma AS best FROM m ORDER BY miss, gamma LIMIT 1)
- SELECT gamma, regime, p, round(q, 6) AS q, round(width, 6) AS width, n, covered, gamma = best AS selected FROM r, s WHERE k > 0""")
+ SELECT gamma, regime, p, round(q, 6) AS q, round(width, 6) AS width, n, covered, gamma = best AS selected FROM r, s WHERE k > 0"""
+
+
+@query("UNC05_STR08_adaptive", _ADAPTIVE)
 def adaptive(spark, folder):
     out = bands.nearest_choice(bands.adaptive(_counts(spark, folder), GAMMAS, TARGET, START), TARGET, CHOICE_LAST)
     return out.select("gamma", "regime", "p", F.round("q", 6).alias("q"), F.round("width", 6).alias("width"), "n", "covered", "selected")
 
 
+@query("STR08_adaptive_stream", _ADAPTIVE)
+def adaptive_stream(spark, folder):
+    """The same bands from a stream of cuts, a file a year."""
+    counts = stored(_counts(spark, folder), "counts")
+    year = F.floor((F.col("p") - 1) / 12)
+    years = [r[0] for r in counts.select(year.alias("a")).distinct().orderBy("a").collect()]
+    cuts = monitor.in_files(counts, [year == a for a in years], new_folder(spark, "cuts"))
+    with streaming.rocks(spark):
+        out = jobs.run_append(streaming.adaptive(cuts, GAMMAS, TARGET, START), "bands")
+    out = bands.nearest_choice(out, TARGET, CHOICE_LAST)
+    return out.select("gamma", "regime", "p", F.round("q", 6).alias("q"), F.round("width", 6).alias("width"), "n", "covered", "selected")
+
+
+@query("STR01_STR02_stream", f"""WITH {CHAMPION}, s AS (SELECT champ.p, count(*) AS n_scored, sum(panel.y) AS observed_total, sum(champion) AS predicted_total, sum(abs(panel.y - champion)) / nullif(sum(panel.y), 0) AS wape, avg(abs(panel.y - champion)) AS mae
+  FROM champ JOIN panel ON panel.geo = champ.geo AND panel.p = champ.p WHERE champ.p BETWEEN 24000 AND 24009 GROUP BY champ.p)
+ SELECT p, 'champion' AS model, 'panel' AS target, '' AS sensor, 'v1' AS version, n_scored, CAST(0 AS BIGINT) AS n_missing, round(observed_total, 6) AS observed_total, round(predicted_total, 6) AS predicted_total, round(wape, 6) AS wape, round(mae, 6) AS mae, CASE WHEN wape > CAST(0.35 AS DOUBLE) THEN 'wape above reference' ELSE '' END AS alerts FROM s""")
+def monitored_stream(spark, folder):
+    """Forecasts from 24000 on are logged with repeats, months before 24010 observed in three parts, and a batch of each is replayed."""
+    base = new_folder(spark, "monitor")
+    rows = stored(forecasts(spark, folder).where("p >= 24000").select("geo", "p", F.lit("champion").alias("model"), F.col("champion").alias("pred")), "log")
+    seen = stored(dense(spark, folder).where("p BETWEEN 24000 AND 24009").select("geo", "p", "y"), "seen")
+    scorer = monitor.Scorer(f"{base}/log", base, rows.schema, {"target": "panel", "sensor": "", "version": "v1"}, False, 0.3, 0.05)
+    record = lambda r, b: monitor.record(r, b, f"{base}/log")
+    p = F.col("p")
+    logged = monitor.in_files(rows, [p <= 24004, p.between(24003, 24006), p >= 24005], f"{base}/forecasts")
+    observed = monitor.in_files(seen, [p <= 24002, p.between(24003, 24005), p >= 24006], f"{base}/observed")
+    monitor.run(logged, record, f"{base}/log-state")
+    monitor.run(observed, scorer.score, f"{base}/score-state")
+    record(rows.where(p.between(24003, 24006)), 1)
+    scorer.score(seen.where(p.between(24003, 24005)), 1)
+    return tidy(scorer.scored(spark), *monitor.SCORE_KEYS, "n_scored", "n_missing", "observed_total", "predicted_total", "wape", "mae", "alerts")
+
+
 @query("AGG12_JON17_station_idw", f"""WITH {PANEL}, {ENTITIES}, st AS (SELECT s_nationkey AS station, min_by(lat, geo) AS lat, min_by(lon, geo) AS lon FROM ent JOIN supplier ON s_suppkey = geo GROUP BY s_nationkey),
  sv AS (SELECT s_nationkey AS station, p, sum(y) AS v FROM obs JOIN supplier ON s_suppkey = geo GROUP BY s_nationkey, p),
  d AS (SELECT a.geo, b.station, {_KM} AS km FROM ent a, st b)

@@ -50,17 +50,20 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder with a place for rows, there even if nothing arrives."""
-    folder = new_folder(spark, name)
+def _folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A folder, new if none is given, with a place for rows, there even if nothing arrives."""
+    folder = folder or new_folder(spark, name)
     rows = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
     rows.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(rows)
     return folder
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Runs over what there is; the rows as Parquet in the shared folder, beside the stream's checkpoint."""
+def run_append(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Runs over what there is; the rows as Parquet in the shared folder, beside the stream's checkpoint.
+
+    With the folder of an earlier run, it goes on where that one stopped.
+    """
     spark = stream.sparkSession
-    folder = _folder(spark, name)
+    folder = _folder(spark, name, folder)
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
