@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from panelforge.functions.expressions import locale_number
+from panelforge.sources import archives
 
 
 def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -21,57 +22,10 @@ def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") ->
 def zipped_csv(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """Lines of all CSV members of zip archives: source (zip:member), fields by header name.
 
-    One archive is read by one task; archives are monthly files of some megabytes, and their
-    members are read in pieces. Members in UTF-8 are read so, others as Latin-1; members that
-    can't be read to their end give no rows.
+    Members in UTF-8 are read so, others as Latin-1; members that can't be read to their end
+    give no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-
-    def encoding(raw) -> str:
-        import codecs
-
-        decoder = codecs.getincrementaldecoder("utf-8")()
-        code = "utf-8-sig"
-        while part := raw.read(1 << 20):  # to the end, which also tests the member's checksum
-            try:
-                if code == "utf-8-sig":
-                    decoder.decode(part)
-            except UnicodeDecodeError:
-                code = "latin-1"
-        try:
-            decoder.decode(b"", code == "utf-8-sig")
-        except UnicodeDecodeError:
-            code = "latin-1"
-        return code
-
-    def rows(batches):
-        import csv as parser
-        import io
-        import zipfile
-        import zlib
-        from itertools import islice
-
-        import pandas as pd
-
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                for member in archive.namelist():
-                    if not member.lower().endswith(".csv"):
-                        continue
-                    try:
-                        with archive.open(member) as raw:
-                            code = encoding(raw)
-                    except (zipfile.BadZipFile, OSError, zlib.error):
-                        continue
-                    source = f"{name.rsplit('/', 1)[-1]}:{member}"
-                    with archive.open(member) as raw:
-                        lines = parser.DictReader(io.TextIOWrapper(raw, code, newline=""))
-                        while some := list(islice(lines, 10_000)):
-                            fields = [{(k or "").strip(): v for k, v in r.items() if isinstance(v, str)} for r in some]
-                            yield pd.DataFrame({"source": [source] * len(some), "fields": fields})
-
-    return files.select("path", "content").mapInPandas(rows, "source string, fields map<string,string>")
+    return archives.read(spark, path, pattern=pattern).select(F.concat("archive", F.lit(":"), "member").alias("source"), "fields")
 
 
 def station_files(spark: SparkSession, path: str, preamble: int = 8) -> DataFrame:
