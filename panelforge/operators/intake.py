@@ -23,9 +23,10 @@ def trimmed(df: DataFrame) -> DataFrame:
 
 
 def picked(df: DataFrame, *aliases: str) -> Column:
-    """The first column of one of these names: as written, else without regard to case; NULL if there is none."""
-    lower = {c.lower(): c for c in reversed(df.columns)}
-    for found in (next((a for a in aliases if a in df.columns), None), next((lower[a.lower()] for a in aliases if a.lower() in lower), None)):
+    """The first column of one of these names: as written, else without regard to case, else to marks too; NULL if there is none."""
+    lower, plain = ({f(c): c for c in reversed(df.columns)} for f in (str.lower, words_of))
+    bare = [words_of(a) for a in aliases]
+    for found in (next((a for a in aliases if a in df.columns), None), next((lower[a.lower()] for a in aliases if a.lower() in lower), None), next((plain[a] for a in bare if a and a in plain), None)):
         if found is not None:
             return F.col("`" + found.replace("`", "``") + "`")
     return F.lit(None)
