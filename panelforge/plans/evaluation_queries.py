@@ -88,12 +88,15 @@ def wins(spark, folder):
 _DRAWN = "CAST(('0x' || substr(md5('42:' || d || ':' || t), 1, 8)) AS BIGINT) % n"
 
 
-@query("MET18_bootstrap", f"WITH {CHAMPION}, c AS (SELECT p, sum(abs(y - champion)) AS a, sum(abs(y - naive)) AS b, sum(y) AS s FROM champ GROUP BY p), k AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM c), x AS (SELECT d, {_DRAWN} AS i FROM (SELECT unnest(range(2000)) AS d), (SELECT n, unnest(range(n)) AS t FROM (SELECT DISTINCT n FROM k))) SELECT d AS draw, round(sum(a) / sum(s) - sum(b) / sum(s), 6) AS delta FROM x JOIN k USING (i) GROUP BY d")
+_DELTAS = f"WITH {CHAMPION}, c AS (SELECT p, sum(abs(y - champion)) AS a, sum(abs(y - naive)) AS b, sum(y) AS s FROM champ GROUP BY p), k AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM c), x AS (SELECT d, {_DRAWN} AS i FROM (SELECT unnest(range(2000)) AS d), (SELECT n, unnest(range(n)) AS t FROM (SELECT DISTINCT n FROM k)))"
+
+
+@query("MET18_bootstrap", _DELTAS + " SELECT d AS draw, round(sum(a) / sum(s) - sum(b) / sum(s), 6) AS delta FROM x JOIN k USING (i) GROUP BY d")
 def bootstrap(spark, folder):
     return tidy(metrics.block_bootstrap(forecasts(spark, folder), "champion", "naive"), "draw", "delta")
 
 
-@query("MET18_block_bootstrap")
+@query("MET18_block_bootstrap", _DELTAS + ", v AS (SELECT sum(a) / sum(s) - sum(b) / sum(s) AS delta FROM x JOIN k USING (i) GROUP BY d) SELECT count(*) AS draws, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0.0 END), 6) AS better FROM v")
 def block_bootstrap(spark, folder):
     deltas = metrics.block_bootstrap(forecasts(spark, folder), "champion", "naive")
     return tidy(metrics.bootstrap_interval(deltas), "draws", "low", "high", "better")

@@ -156,9 +156,11 @@ def discovered(spark, folder):
     return intake.aggregated(rows, "sensor", ("l_discount", "l_tax", "frp_not_there"))
 
 
-@query("AGG25_unstacked_years", f"WITH {OBSERVED}, a AS (SELECT geo, ano, sum(y) AS y FROM obs GROUP BY geo, ano) SELECT geo, " + ", ".join(f"coalesce(sum(y) FILTER (ano = {a}), 0.0) AS y{a}" for a in range(1993, 1998)) + " FROM a GROUP BY geo")
+@query("AGG25_unstacked_years", f"WITH {OBSERVED}, a AS (SELECT geo, ano, sum(y) AS y FROM obs GROUP BY geo, ano) SELECT geo, " + ", ".join(f"coalesce(sum(y) FILTER (ano = {a}), 0.0) AS y{a}" for a in range(1995, 2002)) + " FROM a GROUP BY geo")
 def unstacked(spark, folder):
-    return point_events(spark, folder).groupBy("geo").agg(*[F.sum(F.when(F.col("ano") == a, 1.0).otherwise(0.0)).alias(f"y{a}") for a in range(1993, 1998)])
+    """A column for each year that the events have."""
+    wide = point_events(spark, folder).withColumn("year", F.concat(F.lit("y"), "ano")).groupBy("geo").pivot("year").agg(F.count(F.lit(1)).cast("double"))
+    return wide.na.fill(0.0)
 
 
 @query("WIN25_top_weights", f"WITH {ENTITIES}, w AS (SELECT a.geo AS a, b.geo AS b, exp(-0.5 * sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS w FROM ent a JOIN ent b ON a.uf = b.uf AND a.geo <> b.geo), k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 5) SELECT a, b, round(w / (sum(w) OVER (PARTITION BY a) + 1e-6), 6) AS w FROM k")

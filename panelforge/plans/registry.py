@@ -31,4 +31,4 @@ def tidy(df: DataFrame, *keys: str, **values: Column | str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-from panelforge.plans import band_queries, etl_queries, evaluation_queries, ingestion_queries, intake_queries, model_queries, more_queries, panel_queries, spatial_queries  # noqa: E402, F401
+from panelforge.plans import band_queries, etl_queries, evaluation_queries, ingestion_queries, intake_queries, model_queries, more_queries, panel_queries, scope_queries, spatial_queries  # noqa: E402, F401
