@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.ordering import average_ranks
+
 #: Parts of names that mark a column as made from the target.
 FORBIDDEN = ("fire_count", "occurrence", "extreme_event", "frp")
 
@@ -33,9 +35,7 @@ def safe_names(columns: Sequence[str]) -> list[str]:
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, and Spearman by average ranks. Ranks are found by counting values, not rows, in order."""
     def ranks(c: str) -> DataFrame:
-        sizes = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return sizes.select(c, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r_{c}"))
+        return average_ranks(df, [], c).select(c, F.col("rank").alias(f"r_{c}"))
 
     out = df.join(ranks(a), a).join(ranks(b), b)
     return out.agg(F.corr(a, b).alias("pearson"), F.corr(f"r_{a}", f"r_{b}").alias("spearman"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.expressions import average_rank_share, clip, guarded, history, ordered, trailing
+from panelforge.functions.expressions import clip, guarded, history, ordered, trailing
+from panelforge.operators.ordering import average_ranks, running
 
 
 def lags(panel: DataFrame, steps=(1, 2, 3, 6, 12), value: str = "y") -> DataFrame:
@@ -77,25 +78,32 @@ def anomalies(panel: DataFrame, value: str = "y") -> DataFrame:
 
 
 def within_cut(panel: DataFrame, value: str = "y") -> DataFrame:
-    """Place, distance and share of a value among all entities of its month."""
-    v, cut = F.col(value), Window.partitionBy("p")
-    z = F.try_divide(v - F.avg(v).over(cut), F.stddev_pop(v).over(cut))
-    return panel.withColumns(
+    """Place, distance and share of a value among all entities of its month.
+
+    Months come as sums of a row each, and places by counted values, so no month is in one task.
+    """
+    v = F.col(value)
+    cut = panel.groupBy(F.col("p").alias("_p")).agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_sd"), F.sum(v).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    places = average_ranks(panel, ["p"], value).select(F.col("p").alias("_q"), F.col(value).alias("_v"), (F.col("rank") / F.col("n")).alias("_place"))
+    joined = panel.join(F.broadcast(cut), F.col("p") == F.col("_p")).join(places, (F.col("p") == F.col("_q")) & (v == F.col("_v")), "left")  # a row a month
+    z = F.try_divide(v - F.col("_mean"), F.col("_sd"))
+    return joined.withColumns(
         {
-            "rank_share": F.coalesce(average_rank_share(v, ["p"]), F.lit(0.5)),
+            "rank_share": F.coalesce("_place", F.lit(0.5)),
             "z": F.coalesce(clip(z, -4.0, 4.0), F.lit(0.0)),
-            "neutral": F.coalesce(v, F.avg(v).over(cut), F.lit(0.0)),
-            "share": F.when(F.sum(v).over(cut) > 1e-12, v / F.sum(v).over(cut)).otherwise(1 / F.count(F.lit(1)).over(cut)),
+            "neutral": F.coalesce(v, F.col("_mean"), F.lit(0.0)),
+            "share": F.when(F.col("_sum") > 1e-12, v / F.col("_sum")).otherwise(1 / F.col("_rows")),
         }
-    )
+    ).drop("_p", "_mean", "_sd", "_sum", "_rows", "_q", "_v", "_place")
 
 
 def quantile_buckets(df: DataFrame, value: str, k: int, key: str = "geo") -> DataFrame:
     """k buckets by rank, first of equals first, at linear quantile edges, right-closed."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = F.row_number().over(Window.orderBy(value, key))
+    placed = running(df.withColumn("_one", F.lit(1)), [value, key], "_one", "_before")
+    r, n = F.col("_before") + 1, F.col("_n")
     bucket = sum(((r > 1 + (n - 1) * j / k).cast("int") for j in range(1, k)), F.lit(0))
-    return df.withColumn("bucket", bucket)
+    sized = placed.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))  # one row
+    return sized.withColumn("bucket", bucket).drop("_one", "_before", "_n")
 
 
 def asof_year(panel: DataFrame, yearly: DataFrame, value: str) -> DataFrame:

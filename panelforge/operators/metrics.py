@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import share
+from panelforge.operators.quantiles import ranked
 
 EPSILON = 1e-6
 
@@ -37,10 +38,17 @@ def undue_zeros(pred: Column, past: Column) -> Column:
 
 
 def recall_at_k(df: DataFrame, k: int, cut: str = "p") -> DataFrame:
-    """For each cut, the share of the k largest that are among the k forecast largest; ties by entity."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(cut).orderBy(F.desc(c), "geo"))
-    both = df.withColumn("ry", rank("y")).withColumn("rp", rank("pred"))
-    return both.groupBy(cut).agg((F.sum(((F.col("ry") <= k) & (F.col("rp") <= k)).cast("int")) / F.sum((F.col("ry") <= k).cast("int"))).alias("recall"))
+    """For each cut, the share of the k largest that are among the k forecast largest; ties by entity.
+
+    Each top is cut off by itself, so that tasks keep k rows of a cut before any are shuffled.
+    """
+
+    def top(c: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(cut).orderBy(F.desc(c), "geo"))
+        return df.select(cut, "geo", c).withColumn("r", rank).where(F.col("r") <= k).select(cut, "geo")
+
+    both = top("y").join(top("pred").withColumn("hit", F.lit(1)), [cut, "geo"], "left")
+    return both.groupBy(cut).agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def stability_index(expected: DataFrame, actual: DataFrame, value: str, bins: int) -> DataFrame:
@@ -92,11 +100,10 @@ def bootstrap_interval(deltas: DataFrame) -> DataFrame:
 
 
 def conformal_width(residuals: DataFrame, alpha: float, keys: Sequence[str]) -> DataFrame:
-    """The residual at rank ceil((n + 1)(1 - alpha)), at most n, of each group."""
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy("residual"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rank = F.least(F.greatest(F.ceil((n + 1) * (1 - alpha)), F.lit(1)), n)
-    return residuals.withColumn("r", r).withColumn("rank", rank).where("r = rank").select(*keys, F.col("residual").alias("width"))
+    """The residual at rank ceil((n + 1)(1 - alpha)), at most n, of each group, found by counting bins."""
+    sizes = residuals.where("residual IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.least(F.greatest(F.ceil((F.col("n") + 1) * (1 - alpha)), F.lit(1)), F.col("n")) - 1
+    return ranked(residuals, "residual", keys, sizes.select(*keys, rank.alias("rank"))).select(*keys, F.col("value").alias("width"))
 
 
 def noise_floor(means: DataFrame, dispersion: DataFrame, draws: int, seed: int = 42) -> DataFrame:

@@ -61,23 +61,29 @@ def blended(df: DataFrame, a: str, b: str, weights) -> DataFrame:
     return df.select("*", grid).withColumn("blend", F.col("weight") * F.col(a) + (1 - F.col("weight")) * F.col(b))
 
 
+def with_sums(df: DataFrame, cut: str, **sums: Column) -> DataFrame:
+    """df with sums over its cut, added up first to a row a cut."""
+    rows = df.groupBy(F.col(cut).alias("_cut")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return df.join(F.broadcast(rows), F.col(cut) == F.col("_cut")).drop("_cut")  # a row a month
+
+
 def allocated(df: DataFrame, base: str, score: str, weights, cut: str = "p") -> DataFrame:
     """Keeps each cut's total of base and moves the shares towards score by each weight.
 
-    The shares don't depend on the weight, so the grid is laid out after the only shuffle.
+    The shares don't depend on the weight, so the grid is laid out last.
     """
-    w = Window.partitionBy(cut)
-    part = lambda c: F.when(F.sum(c).over(w) > 1e-12, F.col(c) / F.sum(c).over(w)).otherwise(1 / F.count(F.lit(1)).over(w))
-    out = df.withColumns({"total": F.sum(base).over(w), "base_share": part(base), "score_share": part(score)})
+    out = with_sums(df, cut, total=F.col(base), _score=F.col(score), _rows=F.lit(1))
+    part = lambda c, whole: F.when(F.col(whole) > 1e-12, F.col(c) / F.col(whole)).otherwise(1 / F.col("_rows"))
+    out = out.withColumns({"base_share": part(base, "total"), "score_share": part(score, "_score")}).drop("_score", "_rows")
     grid = F.explode(F.array(*map(F.lit, weights))).alias("weight")
     return out.select("*", grid).withColumn("allocated", F.col("total") * ((1 - F.col("weight")) * F.col("base_share") + F.col("weight") * F.col("score_share")))
 
 
 def tilted(df: DataFrame, base: str, z: str, beta: float, cut: str = "p") -> DataFrame:
     """Shares times exp(beta z), made to sum to 1 again; totals stay."""
-    w = Window.partitionBy(cut)
     out = df.withColumn("tilt", F.col(base) * F.exp(beta * F.col(z)))
-    return out.withColumn("tilted", F.coalesce(F.sum(base).over(w) * share(F.col("tilt"), F.sum("tilt").over(w)), F.lit(0.0)))
+    out = with_sums(out, cut, _base=F.col(base), _tilt=F.col("tilt"))
+    return out.withColumn("tilted", F.coalesce(F.col("_base") * share(F.col("tilt"), F.col("_tilt")), F.lit(0.0))).drop("_base", "_tilt")
 
 
 def quantile_climatology(panel: DataFrame, q: float) -> DataFrame:

@@ -59,9 +59,8 @@ def regime(spark, folder):
 
 @query("MDL24_total_scaling", f"WITH {CHAMPION} SELECT geo, p, round(naive * sum(champion) OVER c / nullif(sum(naive) OVER c, 0), 6) AS scaled FROM champ WINDOW c AS (PARTITION BY p)")
 def scaling(spark, folder):
-    w = Window.partitionBy("p")
-    total = F.sum("naive").over(w)
-    return tidy(forecasts(spark, folder), "geo", "p", scaled=F.col("naive") * share(F.sum("champion").over(w), F.when(total != 0, total)))
+    rows = models.with_sums(forecasts(spark, folder), "p", _champion=F.col("champion"), _naive=F.col("naive"))
+    return tidy(rows, "geo", "p", scaled=F.col("naive") * share(F.col("_champion"), F.when(F.col("_naive") != 0, F.col("_naive"))))
 
 
 @query("MDL29_PRJ28_PRJ29_risk", f"WITH {CHAMPION}, x AS (SELECT geo, p, champion / (1 + champion) AS level, naive / (1 + naive) AS recent, clim / (1 + clim) AS usual FROM champ) SELECT geo, p, round(0.5 * level + 0.3 * recent + 0.2 * usual, 6) AS risk, CASE WHEN round(level, 9) >= greatest(round(recent, 9), round(usual, 9)) THEN 'level' WHEN round(recent, 9) >= round(usual, 9) THEN 'recent' ELSE 'usual' END AS lead FROM x")

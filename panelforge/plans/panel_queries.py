@@ -8,13 +8,14 @@ from panelforge.functions.expressions import clip
 from panelforge.operators import features, models, panel
 from panelforge.plans.common_sql import CHAMPION, CLIMATE, ENTITIES, EVENTS, GAPPED, OBSERVED, PANEL
 from panelforge.plans.registry import query, tidy
-from panelforge.sources.tables import entities, point_events, table
+from panelforge.sources.tables import entities, point_events, stored, table
 
 MIN_HISTORY, WEIGHTS = 36, (0.0, 0.25, 0.5)
 
 
 def observed(spark, folder):
-    return panel.counts(point_events(spark, folder))
+    """Counts by entity and month, stored: panels read them several times, and events are scanned once."""
+    return stored(panel.counts(point_events(spark, folder)), "months")
 
 
 def dense(spark, folder):
