@@ -89,20 +89,27 @@ def interpolated(edges: DataFrame, values: DataFrame) -> DataFrame:
     return joined.groupBy("src", "p").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("idw"), F.countDistinct("dst").alias("stations"))
 
 
+#: Stations of a month that go together.
+STATIONS = 512
+
+
 def station_means(places: DataFrame, stations: DataFrame) -> DataFrame:
     """Means of all stations that have a value in the month, whatever their distance, weights 1 / (km + 5)^2.
 
-    places: geo, p, lat, lon. stations: station, p, lat, lon, v; a month's stations are one
-    array, as a network has a few hundred, so places are neither multiplied nor sorted.
-    Months without a station have no rows.
+    places: geo, p, lat, lon. stations: station, p, lat, lon, v. A month's stations go in arrays
+    of about STATIONS, so a place is multiplied by the arrays and not by the stations, and no
+    array grows with the network. Months without a station have no rows.
     """
     known = stations.where("v IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
-    month = known.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("station", F.col("lat").alias("la"), F.col("lon").alias("lo"), "v"))).alias("s"))
+    most = known.groupBy("p").count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64("station"), F.lit(1 + most // STATIONS))
+    month = known.groupBy("p", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("station", F.col("lat").alias("la"), F.col("lon").alias("lo"), "v"))).alias("s"))
     km = lambda x: F.round(haversine_km(F.col("lat"), F.col("lon"), x.la, x.lo), 6)
     weighed = F.transform("s", lambda x: F.struct((1 / F.pow(km(x) + 5, 2)).alias("w"), x.v.alias("v")))
     total = lambda value: F.aggregate("weighed", F.lit(0.0), lambda a, x: a + value(x))
     joined = places.join(month, "p").withColumn("weighed", weighed)
-    return joined.select("geo", "p", (total(lambda x: x.v * x.w) / total(lambda x: x.w)).alias("idw"), F.size("weighed").alias("stations"))
+    sums = joined.select("geo", "p", total(lambda x: x.v * x.w).alias("a"), total(lambda x: x.w).alias("b"), F.size("weighed").alias("n"))
+    return sums.groupBy("geo", "p").agg((F.sum("a") / F.sum("b")).alias("idw"), F.sum("n").cast("int").alias("stations"))
 
 
 def zonal(bridge: DataFrame, cells: DataFrame) -> DataFrame:

@@ -103,3 +103,19 @@ def test_fetch_pauses_and_goes_on(spark, tmp_path):
     assert sum(f.startswith("1.0-") for f in os.listdir(folder)) == 1
     third = fetch.resumed(spark.createDataFrame([("c", 3.0, 0.0)], cells.schema), cache, ask, pause=0.0)
     assert third == {"failed": 1, "cached": 0}
+    # a run that was stopped after its answers were written, and one that was stopped while they were
+    left = spark.createDataFrame([("d", 4.0, 0.0, "done", "old"), ("a", 1.0, 0.0, "done", "again"), ("e", 5.0, 0.0, "paused", None)], fetch.ANSWER)
+    left.write.parquet(f"{cache}.run-1")
+    os.makedirs(f"{cache}.run-2/_temporary")
+    more = spark.createDataFrame([("d", 4.0, 0.0), ("a", 1.0, 0.0)], cells.schema)
+    assert fetch.resumed(more, cache, ask, pause=0.0) == {"cached": 2}
+    assert sorted((r.cell, r.body) for r in spark.read.parquet(cache).collect()) == [("a", "answer 1.0"), ("b", "answer 2.0"), ("d", "old")]
+    assert not [f for f in os.listdir(os.path.dirname(cache)) if ".run-" in f]
+
+
+def test_rounds_end_when_a_circuit_opens(spark, tmp_path):
+    cells = spark.range(20).selectExpr("cast(id AS string) AS cell", "cast(id AS double) AS lat", "0D AS lon")
+    done = fetch.resumed(cells, str(tmp_path / "c"), lambda lat, lon: (200, None, "x"), lanes=2, pause=0.0, batch=3)
+    assert done == {"done": 20, "cached": 0}
+    none = fetch.resumed(cells, str(tmp_path / "d"), lambda lat, lon: (429, 0.0, None), lanes=1, pause=0.0, batch=3, refusals=1)
+    assert none == {"paused": 20, "cached": 0}
