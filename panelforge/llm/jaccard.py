@@ -8,16 +8,22 @@ most d hashes; the hash range is cut into more than d parts, so some part is the
 and nodes meet in tiles by the hash of a whole part. A part holds several hashes, so a passage
 that many documents share makes no tile of them all. Sets with more empty parts than there are
 spare ones also meet by their smallest hashes, one of which similar sets share. Tiles with the
-same members are one tile. Tiles of more than CHUNK members are cut into pairs of chunks.
+same members are one tile.
 
 Bitmaps. A signature of SIGNATURE bits holds the parity of the hashes on each bit. The count
 of differing bits never exceeds the sets' difference, which bounds the overlap from above.
 
-Exact sets. First each node is held against the most similar earlier node of its tile by
-signature; the sets of these pairs are intersected and classes made of the links. Members of
-tiles that still have a pair which the bitmaps allow and which lies in two classes meet again
-with their texts, in one tile where several have the same such members, and such pairs are intersected inside the tile until one class or no link is
-left. So a group of near copies makes rows in proportion to its members, and no pair is dropped.
+Hubs. Every tile has a hub, the member whose hash in this round is least, so overlapping tiles
+mostly have the same one. Each member outside of its hub's class is held against one hub, that
+of most of its tiles: by signature, then by exact sets. Links make classes, tiles of one class
+are done, and HUBS rounds leave one class of most groups. A round has a pair a member.
+
+The rest. In a tile that still has several classes, members of the largest one need not meet
+each other. Its members and the others are cut into chunks, and only pairs of chunks with a
+chunk of others meet, so a group with few outsiders makes rows in proportion to its members.
+Members that still have a partner of another class that the bitmaps allow meet once more with
+their texts, in one tile where several have the same such members, and such pairs are
+intersected inside the tile until one class or no link is left. No pair is dropped.
 
 Null text, or text without words, has an empty set and is linked with nothing, as are rows
 with a null id; the latter have no class. Rows that repeat an id are taken one by one.
@@ -37,7 +43,7 @@ from panelforge.llm.common import documents, give_back, map_values, quoted, step
 from panelforge.llm.graph import components
 from panelforge.llm.words import distinct, word_hashes
 
-WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL = 4, 85, 2048, 1.25, 512, 16
+WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS = 4, 85, 2048, 1.25, 512, 16, 3
 HELD = 8_000_000  # hashes of sets that a task keeps at once
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TILE = ["key", "lo", "hi"]
@@ -201,22 +207,6 @@ def _by_tiles(batches: Iterator) -> Iterator:
         give_back()
 
 
-def _closest(rows: DataFrame, percent: int) -> DataFrame:
-    """For each member, the earlier one of its tile that is likest by signature, if one is like enough: a, b and their classes."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in _by_tiles(batches):
-            m = Members(b, percent)
-            for i, j, differ in m.pairs():
-                order = np.lexsort((differ / (m.n[i] + m.n[j]), j))
-                first = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m.node[i[first]], m.node[j[first]], m.c[i[first]], m.c[j[first]])], names=["a", "b", "ca", "cb"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint")
-
-
 def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
     """The members that the bitmaps allow to be like a member of another class in their tile."""
 
@@ -239,8 +229,11 @@ class Sets:
         self.k, self.held, self.sets = k, 0, {}
 
     def get(self, node: int, body) -> np.ndarray:
+        return self.sets[node] if node in self.sets else self.of(node, body.as_py())
+
+    def of(self, node: int, body: bytes) -> np.ndarray:
         if node not in self.sets:
-            s = shingle_set(zstandard.decompress(body.as_py()).decode(), self.k)
+            s = shingle_set(zstandard.decompress(body).decode(), self.k)
             if self.held + len(s) > HELD:
                 self.sets.clear()
                 self.held = 0
@@ -302,16 +295,39 @@ def _bodies(asked: DataFrame, nodes: DataFrame, df: DataFrame, k: int) -> DataFr
     return written(bodies.dropDuplicates(["node"]).join(asked, "node", "left_semi"), "bodies")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose exact sets are similar enough."""
-    bodies = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, df, k)
+def _hub_pairs(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """a, b, ca and cb: each member with the hub of another class that most of its tiles have."""
+    rows = met.join(labels, "node")
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("c").alias("cb"))
+    hubs = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(order).alias("hub")).where("lo < hi").select("key", "hub.b", "hub.cb")
+    each = rows.join(hubs, "key").where("c <> cb").groupBy("node", "c", "b", "cb").agg(F.count(F.lit(1)).alias("tiles"))
+    best = F.max_by(F.struct("b", "cb"), F.struct("tiles", "b"))
+    return each.groupBy(F.col("node").alias("a"), F.col("c").alias("ca")).agg(best.alias("x")).select("a", "ca", "x.*")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose exact sets are similar enough; bitmaps and sizes sort out most of the others before texts are fetched."""
+
+    def maybe(both: list) -> list[list]:
+        a, b = (np.frombuffer(b"".join(x[c] for x in both), np.uint64).reshape(len(both), -1) for c in ("sa", "sb"))
+        m, n = (np.array([x[c] for x in both], np.int64) for c in ("na", "nb"))
+        differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return [(((100 + percent) * differ <= (100 - percent) * (m + n)) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))).tolist()]
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", F.struct("na", "nb", "sa", "sb").alias("both"))
+    left = written(map_values(known, ["a", "b", "ca", "cb"], "both", "maybe boolean", maybe).where("maybe").drop("maybe"), "pairs")
+
+    sets = Sets(k)
 
     def similar(both: list) -> list[list]:
-        return [[_alike(*(shingle_set(zstandard.decompress(x[side]).decode(), k) for side in ("x", "y")), percent) for x in both]]
+        return [[_alike(shingle_set(zstandard.decompress(x["x"]).decode(), k), sets.of(x["b"], x["y"]), percent) for x in both]]
 
-    left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
-    both = left.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("ca", "cb", F.struct("x", "y").alias("xy"))
-    return map_values(both, ["ca", "cb"], "xy", "similar boolean", similar).where("similar").select("ca", "cb")
+    text = lambda c, name: bodies.select(F.col("node").alias(c), F.col("body").alias(name))
+    both = left.join(text("a", "x"), "a").join(text("b", "y"), "b").select("ca", "cb", F.struct("b", "x", "y").alias("xy"))
+    out = written(map_values(both, ["ca", "cb"], "xy", "similar boolean", similar).where("similar").select("ca", "cb"), "similar")
+    step_done(left)
+    return out
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -320,6 +336,22 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(new, "c", "left").select("node", F.coalesce("component", "c").alias("c")), "classes")
 
 
+def _chunked(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, lo, hi, side and node: pairs of chunks of the tiles that have several classes, without pairs inside the largest class."""
+    rows = tiles.join(labels, "node")
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("big")).where("n > big.m")
+    count = lambda n: F.ceil(n / CHUNK).cast("int")
+    cut = sizes.select("key", F.col("big.c").alias("big"), count(F.col("big.m")).alias("own"), count(F.col("n") - F.col("big.m")).alias("others"))
+    met = rows.join(cut, "key")
+    inside = F.col("c") == F.col("big")
+    number = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), n).cast("int")
+    at = F.when(inside, number(F.col("own"))).otherwise(F.col("own") + number(F.col("others")))
+    # chunks of the largest class come first and meet those of the others only, which meet all
+    first = F.when(inside, F.col("own")).otherwise(F.lit(0))
+    placed = met.select("key", "node", at.alias("at"), F.explode(F.sequence(first, F.col("own") + F.col("others") - 1)).alias("with"))
+    return placed.select("key", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), (F.col("at") > F.col("with")).cast("int").alias("side"), "node")
+
+
 def _once(rows: DataFrame) -> DataFrame:
     """rows of tiles, of which one is kept where several have the same members on the same sides."""
     hashes = [F.bit_xor(F.xxhash64("node", "side", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
@@ -342,23 +374,31 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
 
     hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
     one = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *hashes).groupBy("members", "h0", "h1").agg(F.min("key").alias("key"))
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
-    tiles = met.join(one, "key").select("key", "node", chunks.alias("chunks")).withColumn("own", own)
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = written(tiles.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node"), "tiles")
+    tiles = written(met.join(one, "key", "left_semi").select("key", "node"), "tiles")
     step_done(met)
+    bodies = _bodies(tiles.select("node"), nodes, df, k)
     labels = nodes.select("node", F.col("node").alias("c"))
-
-    def dealt(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    for turn in range(HUBS):
+        pairs = written(_hub_pairs(tiles, labels, turn), "hubs")
+        links = _confirmed(pairs, nodes, bodies, k, percent)
+        step_done(pairs)
+        if links.isEmpty():
+            break
+        labels = _merged(labels, links)
+
+    rest = written(_chunked(tiles, labels), "chunks")
+    step_done(tiles)
+
+    def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node").join(labels, "node")
         return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node")
 
-    pairs = written(_closest(dealt(tiles, labels), percent).dropDuplicates(["a", "b"]), "pairs")
-    labels = _merged(labels, written(_confirmed(pairs, nodes, df, k, percent), "similar"))
-    rest = written(_once(written(_unsettled(dealt(tiles, labels), percent).select(*_TILE, "side", "node"), "open")), "rest")
-    bodies = _bodies(rest.select("node"), nodes, df, k)
-    labels = _merged(labels, written(_settled(dealt(rest.join(bodies, "node"), labels), k, percent), "similar"))
+    open_ = written(_unsettled(dealt(rest), percent).select(*_TILE, "side", "node"), "open")
+    step_done(rest)
+    last = written(_once(open_), "rest")
+    links = written(_settled(dealt(last.join(bodies, "node")), k, percent), "similar")
+    labels = _merged(labels, links)
+    step_done(open_, last, bodies)
 
     owners = nodes.select("node", "rep").join(labels, "node")
     least = owners.groupBy("c").agg(F.min("rep").alias("component_id"))
