@@ -15,6 +15,7 @@ from panelforge.llm import blocks, graph, jaccard, katz, langid, media, pii, qua
 from panelforge.llm.queries import QUERIES
 
 from .conftest import AWKWARD
+from .test_tokens import BYTES, gapless, library
 
 RNG = random.Random(5)
 BASE = [" ".join(RNG.choice("alpha beta gamma delta eta theta iota kappa la mu nu xi".split()) + str(RNG.randint(0, 400)) for _ in range(90)) for _ in range(6)]
@@ -371,6 +372,36 @@ def test_op10_on_sizes_near_the_bound(spark, save):
     same(got, classes_of(rows, 4, 85))
 
 
+def test_op10_makes_rows_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
+    """Twice the members of one group make twice the tile rows and pairs, and one class."""
+    made = {}
+    whole = jaccard.written
+
+    def counting(df, name):
+        out = whole(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counting)
+    sizes = []
+    words = [f"w{i}" for i in range(300)]
+    for n in (700, 1400, 2800):
+        made.clear()
+        rng = random.Random(n)
+        rows = []
+        for i in range(n):
+            w = list(words)
+            for at in (rng.randrange(300), rng.randrange(300)):
+                w[at] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.component_id for r in jaccard.classes(df).collect()} == {0}
+        sizes.append(dict(made))
+    for name in ("tiles", "hubs", "pairs", "chunks", "open", "rest"):
+        a, b, c = (s.get(name, 0) for s in sizes)
+        assert b <= 2.4 * a + 50 and c <= 2.4 * b + 50, (name, sizes)
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(3)
     for n in [*range(1, 60), 200, 800, 2600]:
@@ -406,15 +437,45 @@ def test_pipeline_stages(spark, save, empty):
     path = save(rows)
     docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("pii_spans", F.lit("x")).withColumn("component_id", F.lit(1))
     names = docs.columns
+    kept = {}
     for name, stage in cp.STAGES[:-1]:
         docs = cp.written(stage(spark, docs, path), name)
         assert docs.columns == names
+        kept[name] = docs.select("doc_id", "text", "lang", "source").collect()
+    whole = collections.Counter((r[0], r[1], r[2], r[3]) for r in rows)
+    language = [tuple(r) for r in kept["language"]]
+    assert not collections.Counter(language) - whole and {901, 3, 4, 11} & {r[0] for r in language} == set()
+    assert {900, 1, 2, 7} <= {r[0] for r in language}
+    # one row of each class, that of the smallest id, and all rows without an id
+    want = {d for d, _, c in classes_of(language, 5, 80) if d == c}
+    near_ = [tuple(r) for r in kept["near_duplicates"]]
+    assert sorted(r[0] for r in near_ if r[0] is not None) == sorted(x for x in want if x is not None) and len(want) < len(set(language))
+    assert [r for r in near_ if r[0] is None] == [r for r in language if r[0] is None]
+    assert not set(near_) - set(language)
+    # what the plain removal keeps of each text
+    hashes = {r[0]: r[4] for r in removed([r for r in near_ if r[0] is not None], 50)}
+    cut = {r.doc_id: r.text for r in kept["repeated_passages"]}
+    same_, less = 0, 0
+    for d, t, *_ in near_:
+        if d is not None and hashlib.sha256((cut[d] or "").encode()).hexdigest() == hashes[d]:
+            same_ += 1
+            less += len(cut[d] or "") < len(t or "")
+    assert same_ >= len(hashes) - 2 and less  # but for a character that is cut in two
+    # base spans of plain patterns become their kinds
+    for d, t, *_ in kept["personal_data"]:
+        before = cut[d]
+        assert not base_spans(t or "") and (base_spans(before or "") or t == before or "<" in t)
     left = {r.doc_id: r for r in docs.collect()}
-    assert 901 not in left and 3 not in left and 4 not in left
-    want = {d: c for d, _, c in classes_of([r for r in rows if r[0] in left or True], 5, 80)}
-    assert all(want[d] == d for d in left if d is not None)
     assert "<EMAIL>" in left[900].text and "jane@" not in left[900].text
     assert all(r.n_chars == len(r.text) for r in left.values())
-    packed = cp.STAGES[-1][1](spark, docs, path)
-    assert {r.doc_id for r in packed.collect()} == set(left)
+    packed = cp.STAGES[-1][1](spark, docs, path).collect()
+    encode = library(BYTES)
+    for d, r in left.items():
+        ids = np.array([*encode(r.text or ""), 0], "<u4")
+        pieces = sorted((x for x in packed if x.doc_id == d), key=lambda x: x.piece)
+        assert [x.start for x in pieces] == [0, *np.cumsum([x.length for x in pieces])[:-1]] and sum(x.length for x in pieces) == len(ids)
+        assert [x.ids_crc32 for x in pieces] == [zlib.crc32(ids[x.start : x.start + x.length].tobytes()) for x in pieces]
+    bins = gapless([(x.sequence_id, x.offset, x.length) for x in packed], 2048)
+    assert bins <= -(-sum(x.length for x in packed) // 2048) + 1
+    assert {tuple(r) for r in cp.run(spark, path).select("doc_id", "piece", "ids_crc32").collect()} == {(x.doc_id, x.piece, x.ids_crc32) for x in packed}
     assert cp.run(spark, empty).count() == 0
