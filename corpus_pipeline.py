@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import jaccard, langid, packing, pii, suffix_dedup
-from panelforge.llm.common import documents, map_values, quoted, written
+from panelforge.llm.common import documents, map_values, quoted, step_done, written
 
 #: Texts whose best language has less than this share of the evidence are rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -65,13 +65,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each span of personal data by its kind."""
+    """Replaces each span of personal data by its kind. Texts without any, null and empty ones stay as they are; so do all rows."""
     found = pii.detect(docs, "text", "_pii_spans")
     return _with_text(found, pii.redacted("text", "_pii_spans"), docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of all texts; pieces with their ids, sequence and place."""
+    """Packs the token ids of all texts; pieces with their ids, sequence and place.
+
+    Null texts are empty and have an end token only; rows that repeat an id are packed one by one.
+    """
     path = public_tokenizers.path(packing.VOCABULARY)
     parts = written(packing.pieces(docs, path, packing.END, packing.CAPACITY), "pieces")
     return packing.packed(parts, packing.CAPACITY)
@@ -89,7 +92,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. A stage's table goes when the next one's is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            step_done(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
