@@ -44,6 +44,7 @@ from panelforge.llm.graph import components
 from panelforge.llm.words import distinct, word_hashes
 
 WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS = 4, 85, 2048, 1.25, 512, 16, 3
+TURNS = 3  # slices of the keys that are looked at one after another, so that their shuffles never lie on disk together
 HELD = 8_000_000  # hashes of sets that a task keeps at once
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TILE = ["key", "lo", "hi"]
@@ -367,15 +368,21 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
     usable = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
     placed = usable.select("node", F.explode("keys").alias("key"))
-    often = written(placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "often")
-    met = written(placed.join(often, "key").distinct(), "met")
+    met, parts = None, []
+    for turn in range(TURNS):
+        some = placed.where(F.pmod("key", F.lit(TURNS)) == turn)
+        often = written(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "often")
+        part = written(some.join(often, "key").distinct(), "met")
+        step_done(often)
+        parts.append(part)
+        met = part if met is None else met.unionByName(part)
     docs = written(sets.select("doc_id", "n_shingles", "node"), "members")
-    step_done(sets, often)
+    step_done(sets)
 
     hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
     one = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *hashes).groupBy("members", "h0", "h1").agg(F.min("key").alias("key"))
     tiles = written(met.join(one, "key", "left_semi").select("key", "node"), "tiles")
-    step_done(met)
+    step_done(*parts)
     bodies = _bodies(tiles.select("node"), nodes, df, k)
     labels = nodes.select("node", F.col("node").alias("c"))
     for turn in range(HUBS):
