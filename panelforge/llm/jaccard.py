@@ -45,6 +45,7 @@ from panelforge.llm.words import distinct, word_hashes
 
 WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS = 4, 85, 2048, 1.25, 512, 16, 3
 TURNS = 3  # slices of the keys that are looked at one after another, so that their shuffles never lie on disk together
+SETTLING = 6  # and slices of the last tiles, whose members bring their texts; later ones skip what earlier ones have joined
 HELD = 8_000_000  # hashes of sets that a task keeps at once
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TILE = ["key", "lo", "hi"]
@@ -396,15 +397,18 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
     rest = written(_chunked(tiles, labels), "chunks")
     step_done(tiles)
 
-    def dealt(rows: DataFrame) -> DataFrame:
+    def dealt(rows: DataFrame) -> DataFrame:  # by the classes known by then
         rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node").join(labels, "node")
         return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node")
 
     open_ = written(_unsettled(dealt(rest), percent).select(*_TILE, "side", "node"), "open")
     step_done(rest)
     last = written(_once(open_), "rest")
-    links = written(_settled(dealt(last.join(bodies, "node")), k, percent), "similar")
-    labels = _merged(labels, links)
+    for turn in range(SETTLING):
+        some = last.where(F.pmod(F.xxhash64(*_TILE), F.lit(SETTLING)) == turn)
+        links = written(_settled(dealt(some.join(bodies, "node")), k, percent), "similar")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
     step_done(open_, last, bodies)
 
     owners = nodes.select("node", "rep").join(labels, "node")
