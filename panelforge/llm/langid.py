@@ -102,9 +102,11 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
     spark = labelled.sparkSession
     place = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in labelled.columns]), F.lit(1 << 20))
     rows = labelled.select(F.col(quoted(text)).alias("text"), F.col(quoted(lang)).alias("lang"), place.alias("place")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    drawn = F.col("place") * F.col("rows") < F.lit(FIT_ROWS << 20)
-    sample = rows.join(sizes, "lang").where(drawn).select("text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()  # a row a language, as many as the model has
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], -(-(FIT_ROWS << 20) // r["rows"]))]) if sizes else None
+    # place * rows < FIT_ROWS << 20, in whole numbers; texts stay where they are
+    drawn = F.col("place") < F.try_element_at(limits, F.col("lang")) if sizes else F.lit(False)
+    sample = rows.where(drawn).select("text", "lang")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
