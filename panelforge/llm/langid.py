@@ -17,6 +17,7 @@ empty tables need no rule of their own.
 from __future__ import annotations
 
 import math
+import uuid
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents, map_values, quoted, remainder, written
+from panelforge.llm.common import documents, lone, map_values, quoted, remainder, written
 
 FIT_ROWS, LONGEST = 200, 5
 #: Log frequency, in each language, of what it has not shown.
@@ -132,10 +133,11 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
 
 def predicted(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep, lang_pred and score."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, name = df.sparkSession.sparkContext.broadcast(model), f"languages {uuid.uuid4().hex}"
 
     def run(texts: list) -> list[list]:
-        out = [shared.value.predict(t) for t in texts]
+        model = lone(name, lambda: shared.value)  # what a worker holds for another stage goes first
+        out = [model.predict(t) for t in texts]
         return [[lang for lang, _ in out], [score for _, score in out]]
 
     return map_values(df, keep, text, "lang_pred string, score double", run)
