@@ -17,8 +17,8 @@ empty tables need no rule of their own.
 from __future__ import annotations
 
 import math
-import uuid
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
