@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -133,11 +132,11 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
 
 def predicted(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep, lang_pred and score."""
-    shared, name = df.sparkSession.sparkContext.broadcast(model), f"languages {uuid.uuid4().hex}"
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list) -> list[list]:
-        model = lone(name, lambda: shared.value)  # what a worker holds for another stage goes first
-        out = [model.predict(t) for t in texts]
+        lone("languages", lambda: True)  # what a worker holds for another stage goes; the model stays Spark's to drop
+        out = [shared.value.predict(t) for t in texts]
         return [[lang for lang, _ in out], [score for _, score in out]]
 
     return map_values(df, keep, text, "lang_pred string, score double", run)
