@@ -4,7 +4,9 @@ Everything is a Spark SQL expression on one row, so there is no shuffle and no P
 Positions come from splitting a text at a pattern's matches: the lengths of the gaps and of
 the matches give each match's place in code points.
 
-Null text counts as empty; an empty text has no spans; repeated rows give repeated results;
+Secrets are runs of 32 to 128 letters and digits beside a word such as token or password.
+
+Null text counts as empty; an empty text has no spans; a text of any length is searched whole; repeated rows give repeated results;
 an empty table gives an empty table. Only the two named columns are read, so further columns
 of any name are carried along untouched by ``detect``.
 """
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents
+from panelforge.llm.common import documents, quoted
 
 _LOCAL = "A-Za-z0-9._%+-"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -68,6 +70,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "{t} rlike '[A-Z][A-Z][0-9][0-9]'", _let("w", "replace(m, ' ', '')", "length(w) BETWEEN 15 AND 34 AND " + _let("c", "concat(substring(w, 5), left(w, 4))", _MOD97)), 0.9, "iban|account|bank|konto|cuenta", False),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "{t} rlike '[0-9]-[0-9][0-9]-[0-9]'", "left(m, 3) NOT IN ('000', '666') AND left(m, 1) <> '9' AND substring(m, 5, 2) <> '00' AND right(m, 4) <> '0000'", 0.4, "ssn|social|security|tax", False),
     Kind("local_phone", r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])", "{t} rlike '[0-9][-. ][0-9]{{4}}'", "true", 0.4, "phone|tel|call|mobil|fax", False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}+(?![A-Za-z0-9+/_-])", "{t} rlike '[A-Za-z0-9+/_-]{{32}}'", "m rlike '[0-9]' AND m rlike '[A-Za-z]'", 0.4, "token|secret|passw|api.?key|access.?key|private.?key|bearer|credential", False),
 )
 
 _BLOCK = 64
@@ -97,7 +100,7 @@ def _found(kind: Kind, rank: int, text: str) -> str:
     places = f"transform(filter(sequence(0, size(ms) - 1), i -> {good}), i -> {one})"
     sums = _let("tot", f"transform(sequence(0, (size(ms) - 1) div {_BLOCK}), b -> aggregate(slice(st, b * {_BLOCK} + 1, {_BLOCK}), 0, (a, x) -> a + x))", "transform(sequence(0, size(tot) - 1), b -> aggregate(slice(tot, 1, b), 0, (a, x) -> a + x))")
     whole = _let("st", f"transform(sequence(0, size(ms) - 1), i -> {step})", _let("off", sums, places))
-    empty = "array()" if False else f"filter(array({_EMPTY}), x -> false)"
+    empty = f"filter(array({_EMPTY}), x -> false)"
     split = _let("p", f"split({text}, {_literal(kind.pattern)}, -1)", whole)
     matches = _let("ms", f"regexp_extract_all({text}, {_literal(kind.pattern)}, 0)", f"CASE WHEN size(ms) = 0 THEN {empty} ELSE {split} END")
     kept = "true" if kind.base else f"x.score >= {THRESHOLD}D"
@@ -112,25 +115,21 @@ def detect(df: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFra
 
     Sorted by start, then by kind as in KINDS. An existing column called out is replaced.
     """
-    body = f"coalesce({_quoted(text)}, '')"
+    body = f"coalesce({quoted(text)}, '')"
     arrays = ", ".join(_found(kind, rank, body) for rank, kind in enumerate(KINDS))
     return df.withColumn(out, F.expr(f"sort_array(concat({arrays}))"))
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def redacted(text: str, spans: str) -> Column:
     """text with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    t, s = f"coalesce({_quoted(text)}, '')", _quoted(spans)
+    t, s = f"coalesce({quoted(text)}, '')", quoted(spans)
     cut = f"array(substring({t}, a.pos + 1, x.start - a.pos), concat('<', upper(x.kind), '>'))"
     step = (
         f"CASE WHEN x.start >= a.pos THEN named_struct('pos', x.end, 'out', concat(a.out, {cut})) "
         f"ELSE named_struct('pos', greatest(a.pos, x.end), 'out', a.out) END"
     )
     whole = f"aggregate({s}, named_struct('pos', 0, 'out', cast(array() AS array<string>)), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substring({t}, a.pos + 1)))"
-    return F.expr(f"CASE WHEN size({s}) = 0 THEN {_quoted(text)} ELSE {whole} END")
+    return F.expr(f"CASE WHEN size({s}) = 0 THEN {quoted(text)} ELSE {whole} END")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
