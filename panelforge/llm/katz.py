@@ -54,16 +54,16 @@ _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 def smoothed(counts_of_counts: list[int]) -> list[float]:
     """Counts of counts made a falling power of the count: the line of least squares through their logarithms.
 
-    Each point weighs its count of counts. The slope is kept between -3 and -1.05, so that the
-    expected counts of Good-Turing fall below the counts and stay positive. One point or none
-    takes a slope of -2.
+    Each point weighs its count of counts. The slope is the data's own; only one above -1.05, over
+    which Good-Turing's expected counts would not fall below the counts, becomes -1.05. Steeper
+    slopes keep ratios between 0 and 1 whatever they are. One point or none takes a slope of -2.
     """
     points = [(math.log(r), math.log(n), n) for r, n in enumerate(counts_of_counts) if r and n]
     total = sum(w for *_, w in points)
     x0, y0 = (sum(w * p[i] for *p, w in points) / total for i in (0, 1)) if points else (0.0, 0.0)
     spread = sum(w * (x - x0) ** 2 for x, _, w in points)
     slope = sum(w * (x - x0) * (y - y0) for x, y, w in points) / spread if spread else -2.0
-    slope = min(max(slope, -3.0), -1.05)
+    slope = min(slope, -1.05)
     return [0.0, *(math.exp(y0 + slope * (math.log(r) - x0)) for r in range(1, len(counts_of_counts)))]
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -94,6 +95,16 @@ def test_added_kinds_need_their_checksum_or_context(spark):
     assert kinds[0].count("iban") == 1 and kinds[0].count("ssn") == 1 and "ssn" not in kinds[1]
 
 
+def test_secrets_need_letters_digits_and_context(spark):
+    key = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    good = [f'token = "{key}" then', f"my PASSWORD:{key[:32]}", f"api-key {key * 3}"]
+    bad = [f"commit {key} of main", f"token {key[:31]}", "secret " + "a" * 40, f"token {key * 4}", "token " + "word " * 40, "x" * 100_000]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    out = {r.i: [(x.kind, x.value) for x in r.pii_spans if x.kind == "secret"] for r in pii.detect(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert [out[i] for i in range(3)] == [[("secret", key)], [("secret", key[:32])], [("secret", key * 3)]]
+    assert not any(out[i] for i in range(3, len(rows)))
+
+
 def test_redaction_joins_overlapping_spans(spark):
     out = pii.detect(spark.createDataFrame([("x a@b.cd y 4111111111111111 z",), (None,), ("plain",)], "text string"))
     assert [r[0] for r in out.select(pii.redacted("text", "pii_spans")).collect()] == ["x <EMAIL> y <CARD> z", None, "plain"]
@@ -193,6 +204,20 @@ def test_op4_backs_off_over_all_orders(spark, folder, monkeypatch, order):
     assert all(any(r.score == pytest.approx(w) for w in want[r.doc_id]) for r in got)
 
 
+def test_katz_discounts_follow_the_data_however_steep(spark):
+    made = [katz.discounts([0, *(round(10**7 * r**-s) for r in range(1, 7))]) for s in (1.5, 2.5, 3.2, 3.4, 5.0)]
+    for r in range(1, 6):
+        assert all(a[r] < b[r] < r for a, b in itertools.pairwise(made)), r
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    tokens = [["<s>", *(r.text or "").encode().lower().split(), "</s>"] for r in rows]
+    found = []
+    for k in (1, 2, 3):
+        grams = collections.Counter(tuple(t[i - k + 1 : i + 1]) for t in tokens for i in range(max(1, k - 1), len(t)))
+        counts = collections.Counter(grams.values())
+        found.append(katz.discounts([0, *(counts[r] for r in range(1, 7))]))
+    assert len({round(f[1], 3) for f in found}) == 3
+
+
 def test_katz_discounts_are_good_turing_ratios_between_0_and_1():
     for c in ([0, 100, 50, 30, 20, 15, 12], [0, 9, 30, 40, 70, 80, 90], [0] * 7, [0, 5, 0, 0, 0, 0, 0], [0, 10**6, 10**4, 100, 5, 1, 0]):
         n, k = katz.smoothed(c), katz.GOOD_TURING_UP_TO
