@@ -7,12 +7,15 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Tables written on the way to a concluded one.
+_on_the_way: ContextVar[list | None] = ContextVar("_on_the_way", default=None)
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -59,9 +62,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
+    if (others := _on_the_way.get()) is not None:
+        others.append(table)
     return table
 
 
+def concluded(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a written table; the tables that make() wrote on the way are deleted."""
+    before = _on_the_way.set([])
+    try:
+        result = written(make(), name)
+        step_done(*(t for t in _on_the_way.get() if t is not result))
+    finally:
+        _on_the_way.reset(before)
+    return result
+
+
 def step_done(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for table in tables:
