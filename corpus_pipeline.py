@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import jaccard, langid, packing, pii, suffix_dedup
-from panelforge.llm.common import documents, map_values, quoted, step_done, written
+from panelforge.llm.common import concluded, documents, map_values, quoted, step_done, written
 
 #: Texts whose best language has less than this share of the evidence are rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with a null id are in no class and stay.
     """
-    ids = written(jaccard.classes(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "component_id"), "near")
+    ids = concluded(lambda: jaccard.classes(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "component_id"), "near")
     stay = ids.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     if ids.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -53,8 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that stand in documents of smaller ids; characters cut in two go as well. Null ids stay whole."""
-    cleaned = suffix_dedup.deduplicated(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
-    cleaned = cleaned.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept").dropDuplicates(["_id", "_hash"])
+
+    def changed() -> DataFrame:
+        rows = suffix_dedup.deduplicated(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
+        return rows.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept")
+
+    cleaned = concluded(changed, "cleaned").dropDuplicates(["_id", "_hash"])
 
     def decode(parts: list) -> list[list]:
         return [[p.decode("utf-8", "ignore") for p in parts]]
