@@ -75,6 +75,8 @@ def concluded(make: Callable[[], DataFrame], name: str) -> DataFrame:
         step_done(*(t for t in _on_the_way.get() if t is not result))
     finally:
         _on_the_way.reset(before)
+    if (others := _on_the_way.get()) is not None:
+        others.append(result)
     return result
 
 
