@@ -27,13 +27,20 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts of no clear language; learns from every row with a language."""
+    """Drops texts without letters and texts of no clear language; learns from every row with a language.
+
+    Written here, so that whole texts go to the workers and back in small Arrow batches.
+    """
     model = langid.fitted(docs)
-    judged = langid.predicted(docs, model, docs.columns)
     # predicted() appends its two columns, so they are told apart by place from any of that name
     names = [f"c{i}" for i in range(len(docs.columns))]
-    kept = judged.toDF(*names, "found", "share").where((F.col("found") != langid.UNKNOWN) & (F.col("share") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*names).toDF(*docs.columns)
+    clear = (F.col("found") != langid.UNKNOWN) & (F.col("share") >= MIN_LANGUAGE_SCORE)
+
+    def kept() -> DataFrame:
+        judged = langid.predicted(docs, model, docs.columns).toDF(*names, "found", "share")
+        return judged.where(clear).select(*names).toDF(*docs.columns)
+
+    return concluded(kept, "clear")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,7 +106,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. A stage's table goes when the next one's is written."""
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = concluded(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
         if before is not None:
             step_done(before)
         before = docs
