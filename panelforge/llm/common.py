@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextvars import ContextVar
@@ -88,16 +90,36 @@ def step_done(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Seconds after which a worker without a task lets go what it holds.
+IDLE_SECONDS = 2.0
 _held: dict[str, object] = {}
+_use = {"tasks": 0, "last": 0.0, "watched": False}
 
 
 def lone(name: str, make: Callable[[], object]) -> object:
-    """The one large object that a Python worker holds; making another lets the last one go first."""
-    if name not in _held:
+    """The one large object that a Python worker holds; making another lets the last one go first.
+
+    Spark keeps workers without a task for a minute, and the steps after may have no Python, so
+    what they hold goes after IDLE_SECONDS.
+    """
+    if (found := _held.get(name)) is None:
         _held.clear()
         give_back()
-        _held[name] = make()
-    return _held[name]
+        found = _held[name] = make()
+    _use["last"] = time.monotonic()
+    if not _use["watched"]:
+        _use["watched"] = True
+        threading.Thread(target=_watch, daemon=True).start()
+    return found
+
+
+def _watch() -> None:
+    while _held:
+        time.sleep(IDLE_SECONDS / 4)
+        if not _use["tasks"] and time.monotonic() - _use["last"] > IDLE_SECONDS:
+            _held.clear()
+            give_back()
+    _use["watched"] = False
 
 
 def give_back() -> None:
@@ -112,12 +134,15 @@ def give_back() -> None:
 
 def in_slices(batches: Iterator, column: int, rows: int = 512, size: int = 4 << 20) -> Iterator:
     """Batches cut so that the column's values take about size bytes in each, and memory given back at the task's end."""
+    _use["tasks"] += 1
     try:
         for b in batches:
             step = max(1, min(rows, b.num_rows * size // max(b.column(column).nbytes, 1)))
             for at in range(0, b.num_rows, step):
                 yield b.slice(at, step)
     finally:
+        _use["tasks"] -= 1
+        _use["last"] = time.monotonic()
         give_back()
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,3 +158,20 @@ def test_plan_is_best_fit_decreasing(seed):
         rows += [(first + (r - lo) // each, offset + (r - lo) % each * length, length) for r in range(lo, hi)]
     assert sorted(r[2] for r in rows) == sorted(lengths)
     assert gapless(rows, capacity) == best_fit_decreasing(lengths, capacity)
+
+
+def test_a_worker_without_a_task_lets_go(monkeypatch):
+    import time
+
+    from panelforge.llm import common
+
+    monkeypatch.setattr(common, "IDLE_SECONDS", 0.2)
+    big = common.lone("big", lambda: [1])
+    assert common.lone("big", lambda: [2]) is big
+    batches = common.in_slices(iter([pa.record_batch({"x": ["a", "b"]})]), 0, rows=1)
+    next(batches)
+    time.sleep(0.6)
+    assert common.lone("big", lambda: [3]) is big  # its task goes on
+    list(batches)
+    time.sleep(0.6)
+    assert common.lone("big", lambda: [4]) == [4]
