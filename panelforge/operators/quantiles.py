@@ -5,6 +5,9 @@ a wanted rank in bins of equal width, with map-side sums, and keeps of each stre
 bins with such a rank, narrowed to the least and largest value in them. Once no stretch holds
 more than LIMIT values, those that are left are counted one by one. A stretch of one value needs
 no further pass, however often the value stands there.
+
+The values are stored before the first pass. Made again in each, a value that rests on a sum of
+doubles could differ in its last digit, fall out of its stretch and take its group with it.
 """
 
 from __future__ import annotations
@@ -23,13 +26,22 @@ def _before(keys: Sequence[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _values(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """keys and v, the values that are not null, stored."""
+    return stored(df.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL"), "ranked")
+
+
 def ranked(df: DataFrame, value: str, keys: Sequence[str], places: DataFrame, bins: int = BINS, limit: int = LIMIT) -> DataFrame:
     """keys, rank and value: the rank-th smallest value (from 0) of each group, for the rows (keys, rank) of places.
 
     Nulls are left out, ranks beyond the group's size give no row. Group keys are not null.
     """
+    return _ranked(_values(df, value, keys), keys, places, bins, limit)
+
+
+def _ranked(rows: DataFrame, keys: Sequence[str], places: DataFrame, bins: int, limit: int) -> DataFrame:
+    """ranked() of the stored _values()."""
     k = list(keys)
-    rows = df.select(*k, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     ends = rows.groupBy(*k).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
     wanted = stored(places.select(*k, F.col("rank").cast("long").alias("rank")).distinct().join(ends, k).where("rank < n").withColumn("at", F.col("rank")), "ranks")
     here = rows.join(ends.drop("n"), k).where("lo < hi")
@@ -60,12 +72,12 @@ def ranked(df: DataFrame, value: str, keys: Sequence[str], places: DataFrame, bi
 def quantiles(df: DataFrame, value: str, keys: Sequence[str], qs: Sequence[float], bins: int = BINS, limit: int = LIMIT) -> DataFrame:
     """keys, q, value and n: exact quantiles with linear interpolation, as percentile() has them, of the values that are not null."""
     k = list(keys) or ["all"]
-    rows = df if keys else df.withColumn("all", F.lit(0))
-    sizes = rows.where(F.col(value).isNotNull()).groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    rows = _values(df if keys else df.withColumn("all", F.lit(0)), value, k)
+    sizes = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     at = (F.col("n") - 1) * F.col("q")
     asked = stored(sizes.select(*k, "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("low", F.floor(at)).withColumn("part", at - F.col("low")), "quantiles")
     both = asked.select(*k, F.explode(F.array("low", F.least(F.col("low") + 1, F.col("n") - 1))).alias("rank"))
-    found = stored(ranked(rows, value, k, both, bins, limit), "values")
+    found = stored(_ranked(rows, k, both, bins, limit), "values")
     low, high = (found.select(*k, F.col("rank").alias(r), F.col("value").alias(v)) for r, v in (("low", "a"), ("high", "b")))
     out = asked.withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1)).join(low, [*k, "low"]).join(high, [*k, "high"])
     return out.select(*keys, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"), "n")

@@ -13,12 +13,13 @@ from panelforge.plans.evaluation_queries import _REGIME, LONG, predictions
 from panelforge.plans.panel_queries import dense, forecasts, gapped, observed
 from panelforge.plans.registry import query, tidy
 from panelforge.plans.spatial_queries import EDGES, edges, squares
-from panelforge.sources.tables import entities, point_events, table
+from panelforge.sources.tables import entities, point_events, stored, table
 
 
 @query("UNC02_UNC07_stratified", f"WITH {CHAMPION}, r AS (SELECT {_REGIME} AS regime, geo % 5 AS g, abs(y - champion) AS e FROM champ WHERE ano < 2001), q AS (SELECT regime, g, quantile_cont(e, 0.9) AS w, count(*) AS n FROM r GROUP BY regime, g), a AS (SELECT regime, quantile_cont(e, 0.9) AS w FROM r GROUP BY regime) SELECT q.regime, q.g, n, round(CASE WHEN n >= 40 THEN q.w ELSE a.w END, 6) AS width FROM q JOIN a ON q.regime = a.regime")
 def stratified(spark, folder):
     r = forecasts(spark, folder).where("ano < 2001").select(F.expr(_REGIME).alias("regime"), (F.col("geo") % 5).alias("g"), F.abs(F.col("y") - F.col("champion")).alias("e"))
+    r = stored(r, "residuals")  # both quantiles are of the same values
     small = wide(r, "e", ["regime", "g"], {"w": 0.9})
     whole = wide(r, "e", ["regime"], {"all": 0.9}).drop("n")
     return tidy(small.join(whole, "regime"), "regime", "g", "n", width=F.when(F.col("n") >= 40, F.col("w")).otherwise(F.col("all")))

@@ -1,6 +1,7 @@
 """Distributed fits against small in-memory versions."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -25,6 +26,14 @@ def test_quantiles_equal_the_whole_group_s(spark, limit):
     assert one.mid == pytest.approx(np.median([x for _, x in data if x is not None])) and one.n == len(data) - 1
 
 
+@pytest.mark.parametrize("limit", [10, 100_000])
+def test_quantiles_of_values_whose_last_digit_moves(spark, limit):
+    shaken = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()  # as sums of doubles are in another order
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2).cast("double").alias("w")).select("g", shaken("w").alias("v"))
+    got = {(r.g, r.q): r.value for r in quantiles.quantiles(df, "v", ["g"], (0.1, 1.0), bins=8, limit=limit).collect()}
+    assert got == {(g, q): pytest.approx(999 * q, abs=1e-6) for g in (0, 1) for q in (0.1, 1.0)}
+
+
 def grown(x, y, rounds, rate, edges, depth, max_leaves, least):
     """Boosting by plain loops over features and bins, all rows in memory; returns the training rows' predictions."""
     bins = np.stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)], 1)
