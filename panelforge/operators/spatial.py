@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +19,12 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumns({"r": F.floor(F.col("lat") / cell), "c": F.floor(F.col("lon") / cell)})
 
 
-def nearest(places: DataFrame, k: int, within: Sequence[str] = (), sphere: bool = True) -> DataFrame:
+def nearest(places: DataFrame, k: int, within: Sequence[str] = (), sphere: bool = True, order: Callable[[Column], Column] = lambda distance: distance) -> DataFrame:
     """within, src, dst, distance and rank of the k nearest other places of each place (geo, lat, lon), however far they are.
 
-    distance is in km on the sphere (rounded to 6 places), or plain in degrees; ties go to the
-    smaller geo. A place looks at its cell and the eight around it, and is done when its k-th
+    distance is in km on the sphere (rounded to 6 places), or plain in degrees. Places go by
+    order(distance), which must not fall as distance grows; ties go to the smaller geo. So where
+    order rounds two distances to one value, they tie. A place looks at its cell and the eight around it, and is done when its k-th
     distance is below what any place outside of them can have; the others go on with cells of
     four times the width, until these hold everything. The first width is one at which no cell is
     crowded. Of places at one point only the k + 1 smallest can be near to anyone, so the
@@ -57,8 +58,8 @@ def nearest(places: DataFrame, k: int, within: Sequence[str] = (), sphere: bool
             outside = F.lit(cell * (1 - 1e-9))
         met = asked.join(there, [*keys, "r", "c"]).where("src <> dst").select(*keys, "src", "dst", distance.alias("distance"), outside.alias("outside"))
         by = Window.partitionBy(*keys, "src")
-        top = met.withColumn("rank", F.row_number().over(by.orderBy("distance", "dst"))).where(F.col("rank") <= k)
-        settled = F.lit(True) if whole else (F.count(F.lit(1)).over(by) == k) & (F.max("distance").over(by) < F.col("outside"))
+        top = met.withColumn("rank", F.row_number().over(by.orderBy(order(F.col("distance")), "dst"))).where(F.col("rank") <= k)
+        settled = F.lit(True) if whole else (F.count(F.lit(1)).over(by) == k) & (F.max(order(F.col("distance"))).over(by) < order(F.col("outside")))
         now = stored(top.withColumn("settled", settled).where("settled").select(*keys, "src", "dst", "distance", "rank"), "nearest")
         done = now if done is None else done.unionByName(now)
         if whole:

@@ -165,10 +165,10 @@ def unstacked(spark, folder):
 
 @query("WIN25_top_weights", f"WITH {ENTITIES}, w AS (SELECT a.geo AS a, b.geo AS b, exp(-0.5 * sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS w FROM ent a JOIN ent b ON a.uf = b.uf AND a.geo <> b.geo), k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 5) SELECT a, b, round(w / (sum(w) OVER (PARTITION BY a) + 1e-6), 6) AS w FROM k")
 def top_weights(spark, folder):
-    """The five strongest weights of each entity within its region, shared out to 1."""
-    near = spatial.nearest(entities(spark, folder).select("geo", "uf", "lat", "lon"), 5, ["uf"], sphere=False)
-    w = F.exp(-0.5 * F.col("distance"))
-    return tidy(intake.row_normalised(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), w.alias("w")), 5), "a", "b", "w")
+    """The five strongest weights of each entity within its region, shared out to 1; equal weights go by key."""
+    weight = lambda distance: F.exp(-0.5 * distance)
+    near = spatial.nearest(entities(spark, folder).select("geo", "uf", "lat", "lon"), 5, ["uf"], sphere=False, order=lambda d: -weight(d))
+    return tidy(intake.row_normalised(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), weight(F.col("distance")).alias("w")), 5), "a", "b", "w")
 
 
 @query("SRT08_audit_sample", "SELECT o_orderkey AS k, o_totalprice AS total FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 50")

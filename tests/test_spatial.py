@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.operators import spatial
 
@@ -45,3 +46,12 @@ def test_nearest_in_the_plane_within_groups(spark, monkeypatch):
     got = [(r.src, r.dst, r.distance, r["rank"]) for r in spatial.nearest(df, 3, ["uf"], sphere=False).collect()]
     assert sorted(got, key=lambda t: (t[0], t[3])) == brute(rows, 3, lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1]))
     assert spatial.nearest(df.limit(0), 3).count() == 0
+
+
+def test_distances_that_the_weight_rounds_to_one_value_go_by_key(spark):
+    # 71 lies in the middle of 17 and 125, but the distances differ in their last digit
+    df = spark.createDataFrame([(k, k * 37 % 1000 / 100 - 12, k * 91 % 1000 / 100 - 45) for k in (17, 71, 125)], "geo long, lat double, lon double")
+    plain = {r.dst: r.distance for r in spatial.nearest(df, 2, sphere=False).where("src = 71").collect()}
+    assert plain[125] < plain[17] and math.exp(-0.5 * plain[125]) == math.exp(-0.5 * plain[17])
+    got = spatial.nearest(df, 1, sphere=False, order=lambda d: -F.exp(-0.5 * d)).where("src = 71").collect()
+    assert [r.dst for r in got] == [17]
