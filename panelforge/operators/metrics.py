@@ -106,13 +106,51 @@ def conformal_width(residuals: DataFrame, alpha: float, keys: Sequence[str]) ->
     return ranked(residuals, "residual", keys, sizes.select(*keys, rank.alias("rank"))).select(*keys, F.col("value").alias("width"))
 
 
+def _support(mean: float, alpha: float):
+    """Counts and their probabilities, without those below what a double can add to 1."""
+    import numpy as np
+
+    reach = 50 * (np.sqrt(mean + alpha * mean * mean) + alpha * mean + 1)
+    k = np.arange(max(int(mean - reach), 0), int(mean + reach) + 1)
+    if alpha > 1e-9:  # each probability from the one before
+        steps = np.log((k[1:] - 1 + 1 / alpha) / k[1:] * (alpha * mean / (1 + alpha * mean)))
+    else:
+        steps = np.log(mean / k[1:])
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    logs -= logs.max()
+    kept = logs > -50
+    weights = np.exp(logs[kept])
+    return k[kept], weights / weights.sum()
+
+
+def _drawn(rng, mean: float, alpha: float, n: int, draws: int):
+    """Pairs that add up to each draw's absolute errors and events, of n cells of one mean."""
+    import numpy as np
+
+    noisy = alpha > 1e-9 and mean > 0
+    if n > 16 and mean > 0:
+        k, chance = _support(mean, alpha if noisy else 0.0)
+        if 2 * n > len(k):
+            far, step = np.abs(k - mean), max(1, (1 << 22) // len(k))
+            parts = [rng.multinomial(n, chance, min(step, draws - at)) for at in range(0, draws, step)]
+            yield tuple(np.concatenate([c @ v for c in parts]) for v in (far, k.astype(float)))
+            return
+    if mean == 0:
+        return
+    for _ in range(n):
+        drawn = rng.negative_binomial(1 / alpha, 1 / (1 + alpha * mean), draws) if noisy else rng.poisson(mean, draws)
+        yield np.abs(drawn - mean), drawn
+
+
 def noise_floor(means: DataFrame, dispersion: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     """The error that noise alone gives if every cell's mean (p, a number of its own, and mean) were known, by kind of noise.
 
     Poisson noise, and negative binomial noise of variance mean + dispersion * mean^2, where a
-    dispersion of null or 0 gives Poisson noise. dispersion: one row. Draws are spread over the
-    executors, with a seed for each cell and kind; a task sums its cells draw by draw. Null means
-    count as 0. Draws without any event have no error; no cells give no rows.
+    dispersion of null or 0 gives Poisson noise. dispersion: one row. Cells of one mean are drawn
+    together: where they are many, how often each count comes is drawn at once (multinomial), so
+    the work grows with distinct means, and only with cells where means differ. Draws are spread
+    over the executors, with a seed for each mean's least p and kind; a task sums its cells draw by
+    draw. Null means count as 0. Draws without any event have no error; no cells give no rows.
     """
     kinds = ("poisson", "negative_binomial")
 
@@ -122,18 +160,21 @@ def noise_floor(means: DataFrame, dispersion: DataFrame, draws: int, seed: int =
 
         e, y, any_ = np.zeros((2, draws)), np.zeros((2, draws)), False
         for b in batches:
-            for p, mean, alpha in zip(b["p"], b["mean"], b["dispersion"], strict=True):
-                mean, any_ = max(np.nan_to_num(mean), 0.0), True
+            for p, mean, n, alpha in zip(b["p"], b["mean"], b["n"], b["dispersion"], strict=True):
+                any_ = True
                 for i in range(2):
                     rng = np.random.default_rng([seed, int(p) % (1 << 64), i])
-                    drawn = rng.negative_binomial(1 / alpha, 1 / (1 + alpha * mean), draws) if i and alpha > 1e-9 and mean > 0 else rng.poisson(mean, draws)
-                    e[i] += np.abs(drawn - mean)
-                    y[i] += drawn
+                    for error, drawn in _drawn(rng, mean, alpha if i else 0.0, n, draws):
+                        e[i] += error
+                        y[i] += drawn
         if any_:
             for i, kind in enumerate(kinds):
                 yield pd.DataFrame({"kind": kind, "draw": np.arange(draws), "e": e[i], "y": y[i]})
 
-    given = means.select("p", F.col("mean").cast("double").alias("mean")).crossJoin(F.broadcast(dispersion.select(F.coalesce(F.col("dispersion").cast("double"), F.lit(0.0)).alias("dispersion"))))
+    mean = F.coalesce(F.greatest(F.nanvl(F.col("mean").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    alike = means.groupBy(mean.alias("mean")).agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    alike = alike.repartition(int(means.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p")  # few rows with much work each
+    given = alike.crossJoin(F.broadcast(dispersion.select(F.coalesce(F.col("dispersion").cast("double"), F.lit(0.0)).alias("dispersion"))))
     drawn = given.mapInPandas(run, "kind string, draw long, e double, y double").groupBy("kind", "draw").agg(share(F.sum("e"), F.sum("y")).alias("wape"))
     cuts = [F.percentile("wape", q).alias(n) for n, q in (("p2_5", 0.025), ("p90", 0.9), ("p97_5", 0.975))]
     return drawn.groupBy("kind").agg(F.avg("wape").alias("mean"), *cuts, F.count(F.lit(1)).alias("draws"))

@@ -159,6 +159,25 @@ def test_noise_floor_by_kind_of_noise(spark):
     assert metrics.noise_floor(means.limit(0), given(0.5), 500).count() == 0
 
 
+def test_cells_of_one_mean_are_drawn_together(spark):
+    from panelforge.operators import metrics
+
+    def totals(alpha, n):
+        found = list(metrics._drawn(np.random.default_rng(5), 4.0, alpha, n, 2000))
+        return len(found), [sum(part[i] for part in found) for i in (0, 1)]
+
+    for alpha, variance in ((0.0, 4.0), (0.5, 12.0)):
+        (_, (e, y)), (_, (e1, _)) = totals(alpha, 1000), totals(alpha, 1)
+        assert abs(y.mean() / 1000 - 4) < 0.02 and abs(y.var() / 1000 / variance - 1) < 0.15
+        assert abs(e.mean() / 1000 / e1.mean() - 1) < 0.1 and abs(e.var() / 1000 / e1.var() - 1) < 0.3
+        parts, (_, y) = totals(alpha, 10**9)  # as much work as for a thousand
+        assert parts == 1 and abs(y.mean() / 4e9 - 1) < 1e-4
+    cells = spark.range(10**6).select(F.col("id").alias("p"), F.lit(4.0).alias("mean"))
+    none = spark.createDataFrame([(None,)], "dispersion double")
+    got = {r.kind: r.mean for r in metrics.noise_floor(cells, none, 300).collect()}
+    assert all(abs(m - 0.390734) < 1e-4 for m in got.values())  # 2 exp(-4) 4^5 / 4! / 4
+
+
 def test_columns_are_found_by_words_and_renamed_by_parts(spark):
     from panelforge.operators import intake
 
