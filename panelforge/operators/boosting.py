@@ -3,8 +3,9 @@
 Each level of a tree is one pass: tasks add up gradients, hessians and rows by node, feature and
 bin, one aggregation adds the tasks' sums, and the driver looks for the splits in them; these
 have (nodes x features x bins) cells, whatever the rows. Gradients are whole numbers of a power
-of two, so sums don't depend on their order and a model is the same on any partitioning. Scores
-of rows are stored every SAVE trees; between, tasks add the trees since then.
+of two, so sums don't depend on their order and a model is the same on any partitioning. Equal
+rows are one row with their number, which changes no sum. Scores of rows are stored every SAVE
+trees; between, tasks add the trees since then.
 
 Trees grow level by level to at most max_leaves leaves, the best splits of a level first.
 """
@@ -120,19 +121,28 @@ def _grown(level_sums, scale: float, depth: int, max_leaves: int, least: int, ra
     return tree
 
 
-def histograms(tree: Tree, nodes: Sequence[int], bins: np.ndarray, y: np.ndarray, raw: np.ndarray, scale: float, width: int) -> np.ndarray:
-    """Whole-number sums (node, feature, bin, (g, h, n)) of some rows."""
+def whole_sums(cell: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by cell. bincount adds doubles, so large ones go in two parts that stay exact."""
+    if len(values) and float(np.abs(values).max()) * len(values) >= 2.0**53:
+        high = values >> 26
+        return (whole_sums(cell, high, size) << 26) + whole_sums(cell, values - (high << 26), size)
+    return np.bincount(cell, values, size).astype(np.int64)
+
+
+def histograms(tree: Tree, nodes: Sequence[int], bins: np.ndarray, y: np.ndarray, raw: np.ndarray, scale: float, width: int, times: np.ndarray | None = None) -> np.ndarray:
+    """Whole-number sums (node, feature, bin, (g, h, n)) of some rows, each of which stands for times rows."""
     place = np.full(len(tree.feature), -1)
     place[list(nodes)] = np.arange(len(nodes))
     at = place[tree.leaves(bins)]
     here = at >= 0
     at, bins, mean = at[here], bins[here], np.exp(raw[here])
-    parts = [np.rint((mean - y[here]) * scale), np.rint(mean * scale), None]
+    n = np.ones(len(at), np.int64) if times is None else times[here].astype(np.int64)
+    parts = [np.rint((mean - y[here]) * scale).astype(np.int64) * n, np.rint(mean * scale).astype(np.int64) * n, n]
     out = np.zeros((len(nodes), bins.shape[1], width, 3), np.int64)
     for f in range(bins.shape[1]):
         cell = at * width + bins[:, f]
         for i, w in enumerate(parts):
-            out[:, f, :, i] = np.bincount(cell, w, len(nodes) * width).astype(np.int64).reshape(len(nodes), width)
+            out[:, f, :, i] = whole_sums(cell, w, len(nodes) * width).reshape(len(nodes), width)
     return out
 
 
@@ -149,17 +159,19 @@ def fit(train: DataFrame, names: Sequence[str], y: str, rounds: int = 100, rate:
         raise ValueError("a Poisson model needs some event in its rows")
     model = Model(list(names), bin_edges(rows, names, bins), float(np.log(total / n)))
     scale, width, k = scale_of(n, total, most), max(len(e) for e in model.edges) + 1, len(names)
-    matrix = passes.packed(rows, [*names, y], BLOCK)
+    matrix = passes.packed(passes.alike(rows, [*names, y]), [*names, y, passes.TIMES], BLOCK)
 
     def prepared(batches):
         import pyarrow as pa
 
         for b in batches:
             for data in b.column(0).to_pylist():
-                m = np.frombuffer(data).reshape(-1, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (model.binned(m).tobytes(), m[:, k].tobytes(), np.full(len(m), model.base).tobytes())], names=["bins", "y", "raw"])
+                m = np.frombuffer(data).reshape(-1, k + 2)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (model.binned(m).tobytes(), m[:, k].tobytes(), m[:, k + 1].tobytes(), np.full(len(m), model.base).tobytes())], names=names_)
 
-    blocks = stored(matrix.mapInArrow(prepared, "bins binary, y binary, raw binary"), "binned")
+    names_ = ["bins", "y", "times", "raw"]
+    kinds = ", ".join(f"{c} binary" for c in names_)
+    blocks = stored(matrix.mapInArrow(prepared, kinds), "binned")
     fresh: list[Tree] = []
 
     def scored(bins: bytes, raw: bytes, trees: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +183,9 @@ def fit(train: DataFrame, names: Sequence[str], y: str, rounds: int = 100, rate:
     def level_sums(tree: Tree, nodes: list[int]) -> np.ndarray:
         trees = list(fresh)
 
-        def one(bins: bytes, y: bytes, raw: bytes) -> np.ndarray:
+        def one(bins: bytes, y: bytes, times: bytes, raw: bytes) -> np.ndarray:
             b, r = scored(bins, raw, trees)
-            return histograms(tree, nodes, b, np.frombuffer(y), r, scale, width)
+            return histograms(tree, nodes, b, np.frombuffer(y), r, scale, width, np.frombuffer(times))
 
         return passes.totals(blocks, (len(nodes), k, width, 3), np.int64, one)
 
@@ -188,10 +200,10 @@ def fit(train: DataFrame, names: Sequence[str], y: str, rounds: int = 100, rate:
                 import pyarrow as pa
 
                 for b in batches:
-                    raws = [scored(x, r, trees)[1].tobytes() for x, r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.binary())], names=["bins", "y", "raw"])
+                    raws = [scored(x, r, trees)[1].tobytes() for x, r in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raws, pa.binary())], names=names_)
 
-            blocks = stored(blocks.mapInArrow(saved, "bins binary, y binary, raw binary"), "binned")
+            blocks = stored(blocks.mapInArrow(saved, kinds), "binned")
             fresh.clear()
     return model
 

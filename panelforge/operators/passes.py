@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 from panelforge.sources.tables import stored
 
 ROWS = 8192
+#: The column that says for how many rows one stands.
+TIMES = "_times"
+
+
+def alike(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """columns as doubles (nulls are 0), each combination of values once, and TIMES.
+
+    Passes then cost by combinations: features made of counts come again and again, continuous
+    ones give a row each, as many as there were.
+    """
+    clean = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    return df.select(*clean).groupBy(*columns).agg(F.count(F.lit(1)).alias(TIMES))
 
 
 def packed(df: DataFrame, columns: Sequence[str], rows: int = ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import boosting, quantiles, regression
+from panelforge.operators import boosting, passes, quantiles, regression
 
 RNG = np.random.default_rng(3)
 
@@ -157,3 +157,15 @@ def test_quantile_grid_is_within_a_hundredth_of_the_exact_solution(spark):
         assert mine == pytest.approx(r.loss, rel=1e-6)
         assert mine <= 1.01 * exact_quantile_loss(z, y, r.q, 0.1)
     assert {r.q for r in regression.quantile_forecasts(df, grid, ["a", "b"], "g").collect()} == {0.1, 0.5, 0.9}
+
+
+def test_equal_rows_are_one_row_with_their_number(spark):
+    bins, y, raw = RNG.integers(0, 4, (50, 2)).astype(np.uint8), RNG.integers(0, 9, 50).astype(float), RNG.normal(0, 1, 50)
+    tree = boosting.Tree(np.array([0, -1, -1]), np.array([1, 0, 0]), np.zeros(3), 1)
+    times = RNG.integers(1, 400, 50)
+    whole = [np.repeat(x, times, 0) for x in (bins, y, raw)]
+    for scale in (2.0**20, 2.0**40):  # sums of the second pass what doubles hold exactly
+        each = sum(boosting.histograms(tree, [1, 2], whole[0][i : i + 1], whole[1][i : i + 1], whole[2][i : i + 1], scale, 4) for i in range(len(whole[1])))
+        assert (boosting.histograms(tree, [1, 2], bins, y, raw, scale, 4, times.astype(float)) == each).all()
+    df = spark.range(10_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("y"))
+    assert {(r.a, r.y, r[passes.TIMES]) for r in passes.alike(df, ["a", "y"]).collect()} >= {(0.0, 0.0, 477)} and passes.alike(df, ["a", "y"]).count() == 21
