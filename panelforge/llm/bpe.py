@@ -169,7 +169,7 @@ def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def run(texts: list) -> list[list]:
         bpe, encoder = coder(path)
-        ids = [encoder.ids(t or "") for t in texts]
+        ids = encoder.all_ids([t or "" for t in texts])
         return [[len(i) // 4 for i in ids], ids, [bpe.decode(as_array(i)) for i in ids]]
 
     return map_values(df, [key], text, "n_tokens bigint, ids binary, decoded binary", run)

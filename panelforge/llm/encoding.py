@@ -2,7 +2,8 @@
 
 A text is cut where a blank is followed by a character that is not white space. No token of
 the tokenizers used here crosses such a cut, so a chunk's ids don't depend on its neighbours,
-and chunks come again and again. The memory of chunks has a limit; over it, the older half goes.
+and chunks come again and again. What the chunks of many texts lack is learned together. The
+memory of chunks has a limit; what has not been asked for lately goes first.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import numpy as np
 
 from panelforge.llm.common import lone
 
-#: Chunks whose ids a worker keeps: about 200 bytes each.
-KEPT = 400_000
+#: Chunks whose ids a worker keeps: about 200 bytes each. A query that holds nothing else keeps ROOMY.
+KEPT, ROOMY = 400_000, 1_500_000
+#: Texts whose chunks are looked up and learned together.
+TOGETHER = 32
 #: A blank after which no chunk starts.
 _LOOSE = re.compile(r" (?=\s|\Z)")
 #: Letters that keep their meaning beside any punctuation, marks, and the same on a next line.
@@ -23,12 +26,33 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_L}]+)([.,!?]*)(?:\n([{_L}]+)([.,!?]*))?").fullmatch
 
 
-def make_room(known: dict, n: int, limit: int) -> None:
-    """Drops the half that was learned first if n more would go over the limit."""
-    if len(known) + n > limit:
-        late = list(known.items())[-(limit // 2) :]
-        known.clear()
-        known.update(late if n <= limit // 2 else ())
+class Memory:
+    """Ids of chunks in two generations of half the limit each.
+
+    What is asked for and stands in the elder one comes over to the younger. Once that is full it
+    becomes the elder, and what nobody asked for since then goes.
+    """
+
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.young: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+
+    def make_room(self, n: int) -> None:
+        """If n more would not fit, the younger generation becomes the elder."""
+        if self.young and len(self.young) + n > self.half:
+            self.young, self.elder = {}, self.young
+
+    def lacking(self, wanted: set[str]) -> set[str]:
+        """Those of wanted that neither generation has; the others are in the younger after that."""
+        out, young, elder = set(), self.young, self.elder.pop
+        for p in wanted:
+            if p not in young:
+                if (ids := elder(p, None)) is None:
+                    out.add(p)
+                else:
+                    young[p] = ids
+        return out
 
 
 class ChunkEncoder:
@@ -44,33 +68,50 @@ class ChunkEncoder:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], glued: bool, loose: Callable[[str], list[str]], special: tuple[str, ...], limit: int = KEPT, words: Callable | None = None, fold: Callable[[str], str] = str):
         self.encode, self.glued, self.loose, self.special, self.fold = encode, glued, loose, special, fold
         self.words = words or (lambda found, blank: encode([blank + w for w in found]))
-        self.limit = limit
-        self.inner: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {} if glued else self.inner
+        self.inner = Memory(limit)
+        self.spaced = Memory(limit) if glued else self.inner
         self.marks: dict[str, bytes] = {}
         self.line = encode(["\n"])[0] if glued else b""
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if _LOOSE.search(text) or any(s in text for s in self.special):
-            return self._many(self.loose(text), self.inner, "")
-        parts = text.split(" ")
-        if not self.glued:
-            return self._many(parts if parts[0] else parts[1:], self.inner, "")
-        first = self._many(parts[:1], self.inner, "") if parts[0] else b""
-        return first + self._many(parts[1:], self.spaced, " ")
-
-    def _many(self, parts: list[str], known: dict[str, bytes], blank: str) -> bytes:
-        found = list(map(known.get, parts))
-        if None in found:
-            make_room(known, 3 * len(parts), self.limit)
-            once = self._learn({p for p in parts if p not in known}, known, blank)
-            found = [once[p] if p in once else known[p] for p in parts]
-        return b"".join(found)
-
-    def _learn(self, missing: set[str], known: dict[str, bytes], blank: str) -> dict[str, bytes]:
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """ids() of each text."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            first, after = [], []
+            for text in texts[at : at + TOGETHER]:
+                if _LOOSE.search(text) or any(s in text for s in self.special):
+                    first.append(self.loose(text))
+                    after.append([])
+                    continue
+                parts = text.split(" ")
+                cut = 1 if self.glued else len(parts)
+                first.append(parts[:cut] if parts[0] else parts[1:cut])
+                after.append(parts[cut:])
+            found = self._many(first, self.inner, "")
+            out += [a + b for a, b in zip(found, self._many(after, self.spaced, " "), strict=True)] if self.glued else found
+        return out
+
+    def _many(self, lists: list[list[str]], known: Memory, blank: str) -> list[bytes]:
+        found = [list(map(known.young.get, parts)) for parts in lists]
+        gaps = []
+        for parts, ids in zip(lists, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((ids, at, parts[at]))
+        if gaps:
+            wanted = {p for _, _, p in gaps}
+            known.make_room(3 * len(wanted))
+            once = self._learn(known.lacking(wanted), known, blank)
+            for ids, at, p in gaps:
+                ids[at] = once[p] if p in once else known.young[p]
+        return list(map(b"".join, found))
+
+    def _learn(self, missing: set[str], known: Memory, blank: str) -> dict[str, bytes]:
         """Learns what is missing; the ids of chunks that are not kept, as their word is new too."""
         plain, other, stems, below, marks = [], [], set(), set(), set()
         for p in missing:
@@ -78,9 +119,8 @@ class ChunkEncoder:
                 one, mark, two, mark2 = m.groups("")
                 one, two = self.fold(one), self.fold(two)
                 plain.append((p, one, mark, two, mark2))
-                if one not in known:
-                    stems.add(one)
-                if two and two not in self.inner:
+                stems.add(one)
+                if two:
                     below.add(two)
                 marks.update((mark, mark2))
             else:
@@ -88,22 +128,23 @@ class ChunkEncoder:
         marks.discard("")
         if not self.glued:
             stems, below = stems | below, set()
-        if len(below) + len(self.inner) > self.limit:
-            make_room(self.inner, self.limit, self.limit)
-            below = {two for _, _, _, two, _ in plain if two}
+        elif known is not self.inner:
+            self.inner.make_room(len(below))
+        stems = known.lacking(stems)
+        below = self.inner.lacking(below)
         if len(self.marks) > 10_000:
             self.marks.clear()
         new_marks = [m for m in marks if m not in self.marks]
-        self._add(list(stems), known, lambda new: self.words(new, blank))
-        self._add(list(below), self.inner, lambda new: self.words(new, ""))
+        self._add(list(stems), known.young, lambda new: self.words(new, blank))
+        self._add(list(below), self.inner.young, lambda new: self.words(new, ""))
         self._add(new_marks, self.marks, self.encode)
-        self._add(other, known, lambda new: self.encode([blank + p for p in new]))
+        self._add(other, known.young, lambda new: self.encode([blank + p for p in new]))
         once = {"": b""}
         for p, one, mark, two, mark2 in plain:
-            ids = known[one] + (self.marks[mark] if mark else b"")
+            ids = known.young[one] + (self.marks[mark] if mark else b"")
             if two:
-                ids += self.line + self.inner[two] + (self.marks[mark2] if mark2 else b"")
-            (once if two or (mark and one in stems) else known)[p] = ids
+                ids += self.line + self.inner.young[two] + (self.marks[mark2] if mark2 else b"")
+            (once if two or (mark and one in stems) else known.young)[p] = ids
         return once
 
     @staticmethod
@@ -120,12 +161,12 @@ def _cut(ids: np.ndarray, starts: np.ndarray, n: int) -> list[bytes] | None:
     return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def library_encoder(path: str, glued: bool) -> ChunkEncoder:
-    """The worker's encoder of the file at path."""
-    return lone(f"encoder {path} {glued}", lambda: _library_encoder(path, glued))
+def library_encoder(path: str, glued: bool, kept: int = KEPT) -> ChunkEncoder:
+    """The worker's encoder of the file at path, which keeps that many chunks."""
+    return lone(f"encoder {path} {glued} {kept}", lambda: _library_encoder(path, glued, kept))
 
 
-def _library_encoder(path: str, glued: bool) -> ChunkEncoder:
+def _library_encoder(path: str, glued: bool, kept: int = KEPT) -> ChunkEncoder:
     """Chunks encoded by the tokenizers library from the file at path.
 
     Many chunks go to the library as one text. Words are told apart again by the tokens that
@@ -162,7 +203,7 @@ def _library_encoder(path: str, glued: bool) -> ChunkEncoder:
         starts = np.flatnonzero(edge[ids]) if glued else np.append(0, np.flatnonzero(edge[ids])[:-1] + 1)
         return _cut(ids, starts, len(found)) or encode([blank + w for w in found])
 
-    return ChunkEncoder(encode, glued, lambda text: [text], tuple(special), words=words, fold=str if glued else str.lower)
+    return ChunkEncoder(encode, glued, lambda text: [text], tuple(special), kept, words=words, fold=str if glued else str.lower)
 
 
 def as_array(ids: bytes) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import documents, map_values, written
-from panelforge.llm.encoding import as_array, library_encoder
+from panelforge.llm.encoding import KEPT, ROOMY, as_array, library_encoder
 
 VOCABULARY, END, CAPACITY, PER_BUCKET = "byte_bpe_50k.json", 0, 2048, 1 << 17
 
@@ -104,14 +104,14 @@ def _open(tree: CapacityTree, runs: dict[int, list[Run]], room: int, run: Run) -
         tree.add(room, run.bins)
 
 
-def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """key, piece, start, length, ids_crc32, and ids (little-endian unsigned 32-bit) if asked for."""
+def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = True, kept: int = KEPT) -> DataFrame:
+    """key, piece, start, length, ids_crc32, and ids (little-endian unsigned 32-bit) if asked for. kept: chunks that a worker remembers."""
     tail = end.to_bytes(4, "little")
 
     def run(texts: list) -> list[list]:
-        encoder, out = library_encoder(vocabulary, True), []
-        for t in texts:
-            ids = encoder.ids(t or "") + tail
+        encoder, out = library_encoder(vocabulary, True, kept), []
+        for ids in encoder.all_ids([t or "" for t in texts]):
+            ids += tail
             n = len(ids) // 4
             cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
             out.append([(k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), *([ids[4 * a : 4 * b]] if with_ids else [])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
@@ -150,4 +150,4 @@ def packed(parts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    return packed(written(pieces(documents(spark, sf_dir), path, END, CAPACITY, with_ids=False), "pieces"), CAPACITY)
+    return packed(written(pieces(documents(spark, sf_dir), path, END, CAPACITY, with_ids=False, kept=ROOMY), "pieces"), CAPACITY)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm.common import documents, fresh_path, in_slices, qualified, quoted, written
-from panelforge.llm.encoding import as_array, library_encoder
+from panelforge.llm.encoding import ROOMY, as_array, library_encoder
 
 VOCABULARY, VOCABULARY_SIZE, END = "word_bpe_49k.json", 49_408, 1
 MAGIC, BLOCK, FILE_IDS = b"PFTOKEN1", 1 << 15, 1 << 22
@@ -143,18 +143,18 @@ def write_files(df: DataFrame, vocabulary: str, vocabulary_size: int, end: int |
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = library_encoder(vocabulary, False)
+        encoder = library_encoder(vocabulary, False, ROOMY)
         tail = b"" if end is None else struct.pack("<I", end)
         partition, roll, writer = TaskContext.get().partitionId(), 0, None
         for b in in_slices(batches, 1):
             out: list[tuple] = []
-            for t in b.column(1).to_pylist():
+            for found in encoder.all_ids([t or "" for t in b.column(1).to_pylist()]):
                 if writer is None or writer.n >= FILE_IDS:
                     if writer:
                         writer.close()
                     roll += 1
                     writer = TokenWriter(f"{folder}/part-{partition:07d}-{roll:05d}-{uuid.uuid4().hex}.bin", bits)
-                ids = as_array(encoder.ids(t or "") + tail)
+                ids = as_array(found + tail)
                 out.append(((partition << 24) + roll, writer.path, writer.n, len(ids)))
                 writer.add(ids)
             part, file, first, n = zip(*out, strict=True) if out else ([], [], [], [])

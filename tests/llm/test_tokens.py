@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from panelforge.llm import bpe, packing, token_files
-from panelforge.llm.encoding import as_array, library_encoder
+from panelforge.llm.encoding import Memory, as_array, library_encoder
 
 from .conftest import AWKWARD
 
@@ -175,3 +175,25 @@ def test_a_worker_without_a_task_lets_go(monkeypatch):
     list(batches)
     time.sleep(0.6)
     assert common.lone("big", lambda: [4]) == [4]
+
+
+def test_memory_keeps_what_is_asked_for():
+    memory = Memory(8)
+    memory.young.update(a=b"1", b=b"2", c=b"3")
+    memory.make_room(1)
+    assert memory.lacking({"a", "b", "c"}) == set()
+    memory.make_room(2)
+    assert memory.lacking({"a", "x"}) == {"x"} and memory.young == {"a": b"1"}
+    memory.young.update(p=b"4", q=b"5", r=b"6")
+    memory.make_room(1)
+    assert memory.lacking({"a", "b", "c"}) == {"b", "c"}
+
+
+@pytest.mark.parametrize("path,glued", [(BYTES, True), (WORDS, False)])
+def test_many_texts_with_a_small_memory_encode_as_the_library(path, glued):
+    rng = random.Random(6)
+    words = [f"w{i}ord" for i in range(300)] + ["Ab", "ab.", "\u00e9\nAb!", "x\ny"]
+    texts = ["", " ", "a  b", "\nAb ab", "<|endoftext|> Ab", *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(200))]
+    encoder = library_encoder(path, glued, 100)
+    want = [LIBRARY[path](t) for t in texts]
+    assert [as_array(i).tolist() for i in encoder.all_ids(texts)] == want == [as_array(encoder.ids(t)).tolist() for t in texts]
