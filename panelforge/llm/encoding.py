@@ -8,6 +8,7 @@ memory of chunks has a limit; what has not been asked for lately goes first.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -79,21 +80,27 @@ class ChunkEncoder:
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """ids() of each text."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), TOGETHER):
-            first, after = [], []
-            for text in texts[at : at + TOGETHER]:
-                if _LOOSE.search(text) or any(s in text for s in self.special):
-                    first.append(self.loose(text))
-                    after.append([])
-                    continue
-                parts = text.split(" ")
-                cut = 1 if self.glued else len(parts)
-                first.append(parts[:cut] if parts[0] else parts[1:cut])
-                after.append(parts[cut:])
-            found = self._many(first, self.inner, "")
-            out += [a + b for a, b in zip(found, self._many(after, self.spaced, " "), strict=True)] if self.glued else found
-        return out
+        collects = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and the collector would walk through what is in hand time and again
+        try:
+            return [ids for at in range(0, len(texts), TOGETHER) for ids in self._together(texts[at : at + TOGETHER])]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        first, after = [], []
+        for text in texts:
+            if _LOOSE.search(text) or any(s in text for s in self.special):
+                first.append(self.loose(text))
+                after.append([])
+                continue
+            parts = text.split(" ")
+            cut = 1 if self.glued else len(parts)
+            first.append(parts[:cut] if parts[0] else parts[1:cut])
+            after.append(parts[cut:])
+        found = self._many(first, self.inner, "")
+        return [a + b for a, b in zip(found, self._many(after, self.spaced, " "), strict=True)] if self.glued else found
 
     def _many(self, lists: list[list[str]], known: Memory, blank: str) -> list[bytes]:
         found = [list(map(known.young.get, parts)) for parts in lists]
