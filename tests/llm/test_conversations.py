@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import chat, repair, spelling, turns
 from panelforge.llm.queries import QUERIES
@@ -116,6 +117,37 @@ def test_op11_examples_have_all_turns_before_and_one_reply(spark, folder):
     assert got == {k: v for k, v in want.items() if k[0] != 200 or k[1] % 50 == 0}
 
 
+@pytest.mark.parametrize("size", [1, 300, chat.SLICE])
+def test_op11_writes_every_example_out_and_reads_it(spark, folder, size):
+    rows = [r for r in ROWS if r[0] is None or r[0] < 60 or r[0] in (100, 103) or (r[0] == 200 and r[1] < 60)]
+    table = chat.formatted(spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA).repartition(5))
+    turns_, want = {}, {}
+    for r in table.orderBy("conv_id", "place").collect():
+        turns_[r.conv_id] = turns_.get(r.conv_id, "") + r.piece
+        if r.reply_to is not None:
+            want[r.conv_id, r.example] = turns_[r.conv_id]
+    output = chat.expansion(table, size)
+    slices = {}
+    for r in output.orderBy("conv_id", "example", "slice").collect():
+        slices.setdefault((r.conv_id, r.example), []).append(r.text)
+    whole = {k: "".join(v) for k, v in slices.items()}
+    assert {k: v for k, v in whole.items() if k[1] is not None} == want
+    for conv, text in turns_.items():
+        last = max((v for k, v in want.items() if k[0] == conv), key=len, default="")
+        assert whole.get((conv, None), "") == text[len(last) :]
+    got = {r.conv_id: r for r in chat.read_back(output).collect()}
+    for conv in turns_:
+        mine = {k: v for k, v in whole.items() if k[0] == conv}
+        said = grouped(rows)[conv]
+        assert got[conv].n_turns == len(said) and got[conv].turns_sha256 == sha("".join(f"{a or ''}\n{t or ''}\n" for _, _, a, t in said))
+        assert got[conv].loss_sha256 == sha("".join(t or "" for _, _, a, t in said if a == "assistant"))
+        assert got[conv].formatted_chars == sum(map(len, mine.values())) and got[conv].n_examples == sum(k[1] is not None for k in mine)
+        assert got[conv].example_chars == sum(len(v) for k, v in mine.items() if k[1] is not None)
+    other = output.withColumn("text", F.when((F.col("conv_id") == 200) & (F.col("example") == 9) & (F.col("slice") == 0), F.translate("text", "0", "1")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="not its conversation so far"):
+        chat.read_back(other).collect()
+
+
 def test_empty(spark, talk, empty):
     nothing = talk([])
     assert [r.conv_id for r in QUERIES["op11_chat"](spark, nothing).collect()] == [-1]
