@@ -14,16 +14,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelforge.llm.common import documents, lone, map_values
-from panelforge.llm.encoding import ChunkEncoder, as_array
+from panelforge.llm.encoding import KEPT, ROOMY, ChunkEncoder, as_array
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -54,6 +54,7 @@ class Backtracker:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(words.get(i, b"") for i in range(self.size)), np.uint8)
         self.length = self.lengths.tolist()
+        self.names = np.array([str(i) for i in range(self.size)], object)
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(merges):
@@ -136,12 +137,12 @@ class Backtracker:
 
 
 
-def coder(path: str) -> tuple[Backtracker, ChunkEncoder]:
-    """The worker's tables of the file at path, and their encoder."""
-    return lone(f"bpe {path}", lambda: _coder(Backtracker(path)))
+def coder(path: str, kept: int = KEPT) -> tuple[Backtracker, ChunkEncoder]:
+    """The worker's tables of the file at path, and their encoder, which keeps that many chunks."""
+    return lone(f"bpe {path} {kept}", lambda: _coder(Backtracker(path), kept))
 
 
-def _coder(bpe: Backtracker) -> tuple[Backtracker, ChunkEncoder]:
+def _coder(bpe: Backtracker, kept: int = KEPT) -> tuple[Backtracker, ChunkEncoder]:
     words = regex.compile(public_tokenizers.PATTERN)
     special = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
     pack = [i.to_bytes(4, "little") for i in range(bpe.size)].__getitem__
@@ -161,26 +162,34 @@ def _coder(bpe: Backtracker) -> tuple[Backtracker, ChunkEncoder]:
         parts = special.split(text) if special else [text]
         return [w for p in parts if p for w in ([p] if p in bpe.special else words.findall(p))]
 
-    return bpe, ChunkEncoder(encode, True, loose, tuple(bpe.special))
+    return bpe, ChunkEncoder(encode, True, loose, tuple(bpe.special), kept)
 
 
-def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids (little-endian unsigned 32-bit), decoded (the ids' text in UTF-8)."""
+def _whole(path: str, kept: int = KEPT) -> Callable[[list], list[list]]:
+    """n_tokens, ids and decoded of texts."""
 
     def run(texts: list) -> list[list]:
-        bpe, encoder = coder(path)
+        bpe, encoder = coder(path, kept)
         ids = encoder.all_ids([t or "" for t in texts])
         return [[len(i) // 4 for i in ids], ids, [bpe.decode(as_array(i)) for i in ids]]
 
-    return map_values(df, [key], text, "n_tokens bigint, ids binary, decoded binary", run)
+    return run
+
+
+def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, ids (little-endian unsigned 32-bit), decoded (the ids' text in UTF-8)."""
+    return map_values(df, [key], text, "n_tokens bigint, ids binary, decoded binary", _whole(path))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what encoded() gives, made by the worker that holds the tables, which a step of its own would drive out."""
     path = public_tokenizers.path(VOCABULARY)
+    whole = _whole(path, ROOMY)
 
-    def decimal_digests(ids: list) -> list[list]:
-        names = lone(f"decimals {path}", lambda: np.array([str(i) for i in range(Backtracker(path).size)], object))
-        return [[hashlib.sha256(",".join(names[as_array(i)]).encode()).hexdigest() for i in ids]]
+    def digests(texts: list) -> list[list]:
+        n, ids, decoded = whole(texts)
+        names = coder(path, ROOMY)[0].names
+        decimals = [hashlib.sha256(",".join(names[as_array(i)]).encode()).hexdigest() for i in ids]
+        return [n, decimals, [hashlib.sha256(d).hexdigest() for d in decoded]]
 
-    table = encoded(documents(spark, sf_dir), path).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return map_values(table, ["doc_id", "n_tokens", "decoded_sha256"], "ids", "ids_sha256 string", decimal_digests)
+    return map_values(documents(spark, sf_dir), ["doc_id"], "text", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digests)

@@ -82,6 +82,12 @@ def test_op3(spark, awkward, empty):
     assert bpe.op3_bpe(spark, empty).count() == 0
 
 
+def test_op3_has_one_python_step(spark, awkward):
+    """Of two in a row, workers swap, and each lets go the other's tables."""
+    plan = bpe.op3_bpe(spark, awkward)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_op5(spark, awkward, empty):
     encode, at, want = library(WORDS), 0, []
     for d, t, _, _ in sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0)):
