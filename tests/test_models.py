@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import boosting, passes, quantiles, regression
+from panelforge.operators import boosting, learners, passes, quantiles, regression
 
 RNG = np.random.default_rng(3)
 
@@ -169,3 +169,18 @@ def test_equal_rows_are_one_row_with_their_number(spark):
         assert (boosting.histograms(tree, [1, 2], bins, y, raw, scale, 4, times.astype(float)) == each).all()
     df = spark.range(10_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("y"))
     assert {(r.a, r.y, r[passes.TIMES]) for r in passes.alike(df, ["a", "y"]).collect()} >= {(0.0, 0.0, 477)} and passes.alike(df, ["a", "y"]).count() == 21
+
+
+def test_rows_of_a_fit_are_made_once_and_dealt_over_all_cores(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("y")).coalesce(1).mapInArrow(count, "a double, y double")
+    train = learners.dealt(rows)
+    assert train.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert train.count() == 400 and train.agg(F.sum("a")).first()[0] == sum(i % 7 for i in range(400))
+    assert made.value == 400
