@@ -9,6 +9,7 @@ memory of chunks has a limit; what has not been asked for lately goes first.
 from __future__ import annotations
 
 import gc
+import json
 import re
 from collections.abc import Callable
 
@@ -23,8 +24,9 @@ TOGETHER = 32
 #: A blank after which no chunk starts.
 _LOOSE = re.compile(r" (?=\s|\Z)")
 #: Letters that keep their meaning beside any punctuation, marks, and the same on a next line.
-_L = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"([{_L}]+)([.,!?]*)(?:\n([{_L}]+)([.,!?]*))?").fullmatch
+#: Marks are ASCII's without the apostrophe, which may begin a word of its own with letters after it.
+_L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"([{_L}]+)([{_M}]*)(?:\n([{_L}]+)([{_M}]*))?").fullmatch
 
 
 class Memory:
@@ -178,9 +180,11 @@ def _library_encoder(path: str, glued: bool, kept: int = KEPT) -> ChunkEncoder:
 
     Many chunks go to the library as one text. Words are told apart again by the tokens that
     begin with a blank or end a word; other chunks by a special token set between them, which
-    the library cuts out before anything else.
+    the library cuts out before anything else. Words of letters are normal already and parted
+    by blanks alone, so they need neither the normalizer nor the library's pattern, and as each
+    comes once, no memory of the library's own.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
@@ -189,9 +193,16 @@ def _library_encoder(path: str, glued: bool, kept: int = KEPT) -> ChunkEncoder:
     comma, mark = next(iter(special.items()))
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     edge = np.array([n.startswith("\u0120") if glued else n.endswith("</w>") for n in names])
+    with open(path, encoding="utf-8") as file:
+        model = {k: v for k, v in json.load(file)["model"].items() if k != "type" and v is not None}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
+    tokenizer.model = models.BPE(model.pop("vocab"), merges, cache_capacity=0, **model)
+    plain = Tokenizer(tokenizer.model)
+    parted = pre_tokenizers.Split(" ", "merged_with_next") if glued else pre_tokenizers.WhitespaceSplit()
+    plain.pre_tokenizer = pre_tokenizers.Sequence([parted, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def whole(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def whole(text: str, by: Tokenizer = tokenizer) -> np.ndarray:
+        return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(chunks: list[str]) -> list[bytes]:
         if not chunks:
@@ -206,7 +217,7 @@ def _library_encoder(path: str, glued: bool, kept: int = KEPT) -> ChunkEncoder:
     def words(found: list[str], blank: str) -> list[bytes]:
         if glued and not blank:
             return encode(found)
-        ids = whole(blank + " ".join(found))
+        ids = whole(blank + " ".join(found), plain)
         starts = np.flatnonzero(edge[ids]) if glued else np.append(0, np.flatnonzero(edge[ids])[:-1] + 1)
         return _cut(ids, starts, len(found)) or encode([blank + w for w in found])
 

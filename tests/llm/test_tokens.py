@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from panelforge.llm import bpe, packing, token_files
+from panelforge.llm import bpe, encoding, packing, token_files
 from panelforge.llm.encoding import Memory, as_array, library_encoder
 
 from .conftest import AWKWARD
@@ -203,3 +203,15 @@ def test_many_texts_with_a_small_memory_encode_as_the_library(path, glued):
     encoder = library_encoder(path, glued, 100)
     want = [LIBRARY[path](t) for t in texts]
     assert [as_array(i).tolist() for i in encoder.all_ids(texts)] == want == [as_array(encoder.ids(t)).tolist() for t in texts]
+
+
+@pytest.mark.parametrize("path,glued", [(BYTES, True), (WORDS, False)])
+def test_words_with_any_marks_are_not_learned_one_by_one(path, glued):
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+    words = [f"Wort{m}{n}" for m in marks for n in ["", *marks]]
+    text = "a " + " ".join([*words, *(f"{w}\n{w}" for w in words), "it's", "x'", "'ll.", "café's"])
+    encoder, sent = encoding._library_encoder(path, glued), []
+    encode = encoder.encode
+    encoder.encode = lambda chunks: sent.extend(chunks) or encode(chunks)
+    assert as_array(encoder.ids(text)).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert not [c for c in sent if "Wort" in c]
