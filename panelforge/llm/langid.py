@@ -47,7 +47,10 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Scores of words; made from rows (kind, item, lang, count), kind 0 for words, else n."""
+    """Scores of words; made from rows (kind, item, lang, count), kind 0 for words, else n.
+
+    Items counted alike share one list of scores, also in the workers' copies.
+    """
 
     def __init__(self, rows: list[tuple[int, str, str, int]]):
         self.langs = sorted({lang for _, _, lang, _ in rows})
@@ -57,9 +60,10 @@ class Model:
         for kind, item, lang, count in rows:
             counts[kind].setdefault(item, [0] * len(place))[place[lang]] += count
             totals[kind][place[lang]] += count
-        self.tables = {
-            kind: {item: [math.log((c + FLOOR) / (t + FLOOR * len(items))) for c, t in zip(cs, totals[kind], strict=True)] for item, cs in items.items()} for kind, items in counts.items()
-        }
+        self.tables: dict[int, dict[str, list[float]]] = {}
+        for kind, items in counts.items():
+            alike = {tuple(cs): [math.log((c + FLOOR) / (t + FLOOR * len(items))) for c, t in zip(cs, totals[kind], strict=True)] for cs in set(map(tuple, items.values()))}
+            self.tables[kind] = {item: alike[tuple(cs)] for item, cs in items.items()}
         self.memory: dict[str, list[float] | None] = {}
 
     def word(self, word: str) -> list[float] | None:

@@ -20,13 +20,16 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import documents, map_values, written
 from panelforge.llm.encoding import KEPT, ROOMY, as_array, library_encoder
 
-VOCABULARY, END, CAPACITY, PER_BUCKET = "byte_bpe_50k.json", 0, 2048, 1 << 17
+VOCABULARY, END, CAPACITY = "byte_bpe_50k.json", 0, 2048
+#: Pieces of one length that one task ranks; they may carry their ids, 8 KB for a full one.
+PER_BUCKET = 1 << 12
 
 
 class CapacityTree:
@@ -135,7 +138,9 @@ def packed(parts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     sums = written(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "packing-counts")
     counts = {r.length: r.n for r in sizes.collect()}  # at most capacity rows
     rows = plan(counts, capacity)
-    bins = spark.createDataFrame(rows, "length bigint, lo bigint, hi bigint, each bigint, bin bigint, room_from bigint")
+    columns = ["length", "lo", "hi", "each", "bin", "room_from"]
+    # an Arrow table needs no Python workers, which would stay beside those with tokenizers
+    bins = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(columns)}))
     rank = Window.partitionBy("length", "bucket").orderBy(key, "piece", "ids_crc32")
     placed = salted.withColumn("r", F.row_number().over(rank) - 1)
     placed = placed.join(sums, ["length", "bucket"]).withColumn("r", F.col("r") + F.col("before"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -504,3 +505,10 @@ def test_pipeline_stages(spark, save, empty):
     assert bins <= -(-sum(x.length for x in packed) // 2048) + 1
     assert {tuple(r) for r in cp.run(spark, path).select("doc_id", "piece", "ids_crc32").collect()} == {(x.doc_id, x.piece, x.ids_crc32) for x in packed}
     assert cp.run(spark, empty).count() == 0
+
+
+def test_items_counted_alike_share_their_scores_in_a_worker_too():
+    rows = [(kind, f"{a}{b}", lang, 1) for kind in (0, 2) for a in "abcdefgh" for b in "abcdefgh" for lang in ("de", "en") if (a < b) == (lang == "de")]
+    model = pickle.loads(pickle.dumps(langid.Model(rows)))
+    assert {kind: len({id(v) for v in items.values()}) for kind, items in model.tables.items()} == {0: 2, 2: 2}
+    assert model.predict("ab")[0] == "de" and model.predict("ba")[0] == "en"

@@ -215,3 +215,19 @@ def test_words_with_any_marks_are_not_learned_one_by_one(path, glued):
     encoder.encode = lambda chunks: sent.extend(chunks) or encode(chunks)
     assert as_array(encoder.ids(text)).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert not [c for c in sent if "Wort" in c]
+
+
+def test_pieces_of_one_length_are_ranked_in_many_tasks(spark, monkeypatch):
+    stored, written = {}, packing.written
+
+    def kept(df, name):
+        stored[name] = written(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(packing, "written", kept)
+    parts = written(spark.range(30_000).selectExpr("id doc_id", "0 piece", "0L start", "1000L + id % 3 length", "id * 7 ids_crc32"), "one-length")
+    rows = packing.packed(parts, 2048).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(30_000))
+    assert gapless([(r.sequence_id, r.offset, r.length) for r in rows], 2048) == 15_000
+    counts = stored["packing-counts"].groupBy("length").count().collect()
+    assert len(counts) == 3 and all(r["count"] > 1 for r in counts)
