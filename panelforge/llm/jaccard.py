@@ -21,9 +21,11 @@ are done, and HUBS rounds leave one class of most groups. A round has a pair a m
 The rest. In a tile that still has several classes, members of the largest one need not meet
 each other. Its members and the others are cut into chunks, and only pairs of chunks with a
 chunk of others meet, so a group with few outsiders makes rows in proportion to its members.
-Members that still have a partner of another class that the bitmaps allow meet once more with
-their texts, in one tile where several have the same such members, and such pairs are
-intersected inside the tile until one class or no link is left. No pair is dropped.
+Pairs of different classes that the bitmaps allow are then taken out of the tiles: the same
+pair mostly stands in many, and is held against its texts once. Where both of a pair have more
+than FEW such partners in the tile, such pairs could be many more than the members; these
+members meet once more with their texts, in one tile where several have the same such members,
+and are intersected inside the tile until one class or no link is left. No pair is dropped.
 
 Null text, or text without words, has an empty set and is linked with nothing, as are rows
 with a null id; the latter have no class. Rows that repeat an id are taken one by one.
@@ -43,9 +45,9 @@ from panelforge.llm.common import documents, give_back, map_values, quoted, step
 from panelforge.llm.graph import components
 from panelforge.llm.words import distinct, word_hashes
 
-WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS = 4, 85, 2048, 1.25, 512, 16, 3
+WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS, FEW = 4, 85, 2048, 1.25, 512, 16, 3, 32
 TURNS = 3  # slices of the keys that are looked at one after another, so that their shuffles never lie on disk together
-SETTLING = 6  # and slices of the last tiles, whose members bring their texts; later ones skip what earlier ones have joined
+SETTLING = 6  # and slices at most of what is open after the hubs, which brings its texts; later ones skip what earlier ones have joined
 HELD = 8_000_000  # hashes of sets that a task keeps at once
 _FACTOR, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TILE = ["key", "lo", "hi"]
@@ -210,18 +212,28 @@ def _by_tiles(batches: Iterator) -> Iterator:
 
 
 def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
-    """The members that the bitmaps allow to be like a member of another class in their tile."""
+    """What the bitmaps allow to be alike in other classes: pairs (node, other), and members, without other, of tiles where both of a pair have many partners.
+
+    A pair goes by itself if one of the two has FEW partners in the tile or less, so a member brings FEW pairs at most.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for b in _by_tiles(batches):
             m = Members(b, percent)
-            open_ = np.zeros(b.num_rows, bool)
-            for i, j, _ in m.pairs():
-                open_[i] = open_[j] = True
-            if open_.any():
-                yield b.take(np.flatnonzero(open_))
+            i, j = np.concatenate([np.stack([i, j]).astype(np.int32) for i, j, _ in m.pairs()], axis=1)
+            partners = np.bincount(i, minlength=b.num_rows) + np.bincount(j, minlength=b.num_rows)
+            single = np.minimum(partners[i], partners[j]) <= FEW
+            many = np.unique(np.concatenate([i[~single], j[~single]]))
+            i, j = i[single], j[single]
+            if len(i) + len(many):
+                left = b.select([*_TILE, "side", "node"]).take(np.concatenate([i, many]))
+                other = pa.array(np.append(m.node[j], np.zeros(len(many), np.int64)), pa.int64(), mask=np.arange(len(i) + len(many)) >= len(i))
+                yield pa.RecordBatch.from_arrays([*left.columns, other], names=[*left.schema.names, "other"])
 
-    return rows.mapInArrow(run, rows.schema)
+    schema = rows.select(*_TILE, "side", "node", F.col("node").alias("other")).schema
+    return rows.mapInArrow(run, schema)
 
 
 class Sets:
@@ -319,17 +331,21 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, k: int, pe
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", F.struct("na", "nb", "sa", "sb").alias("both"))
     left = written(map_values(known, ["a", "b", "ca", "cb"], "both", "maybe boolean", maybe).where("maybe").drop("maybe"), "pairs")
+    out = _exact(left, bodies, k, percent)
+    step_done(left)
+    return out
 
+
+def _exact(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """ca and cb of the pairs (a, b, ca, cb) whose exact sets are similar enough."""
     sets = Sets(k)
 
     def similar(both: list) -> list[list]:
         return [[_alike(shingle_set(zstandard.decompress(x["x"]).decode(), k), sets.of(x["b"], x["y"]), percent) for x in both]]
 
     text = lambda c, name: bodies.select(F.col("node").alias(c), F.col("body").alias(name))
-    both = left.join(text("a", "x"), "a").join(text("b", "y"), "b").select("ca", "cb", F.struct("b", "x", "y").alias("xy"))
-    out = written(map_values(both, ["ca", "cb"], "xy", "similar boolean", similar).where("similar").select("ca", "cb"), "similar")
-    step_done(left)
-    return out
+    both = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").select("ca", "cb", F.struct("b", "x", "y").alias("xy"))
+    return written(map_values(both, ["ca", "cb"], "xy", "similar boolean", similar).where("similar").select("ca", "cb"), "similar")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -401,15 +417,32 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
         rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node").join(labels, "node")
         return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node")
 
-    open_ = written(_unsettled(dealt(rest), percent).select(*_TILE, "side", "node"), "open")
+    open_ = written(_unsettled(dealt(rest), percent), "open")
     step_done(rest)
-    last = written(_once(open_), "rest")
-    for turn in range(SETTLING):
-        some = last.where(F.pmod(F.xxhash64(*_TILE), F.lit(SETTLING)) == turn)
+    single = written(open_.where("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "single")
+    last = written(_once(open_.where("other IS NULL").drop("other")), "rest")
+    step_done(open_)
+    total = nodes.count()
+
+    def slices(table: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
+        if (n := table.count()):
+            turns = min(SETTLING, 1 + SETTLING * n // total)
+            for turn in range(turns):
+                yield table.where(F.pmod(F.xxhash64(*columns), F.lit(turns)) == turn)
+
+    asked = single.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(bodies.join(asked, "node", "left_semi"), "bodies")
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
+    for some in slices(single, ["a", "b"]):
+        links = _exact(some.join(side("a"), "a").join(side("b"), "b").where("ca <> cb"), texts, k, percent)
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+    step_done(single, texts)
+    for some in slices(last, _TILE):
         links = written(_settled(dealt(some.join(bodies, "node")), k, percent), "similar")
         if not links.isEmpty():
             labels = _merged(labels, links)
-    step_done(open_, last, bodies)
+    step_done(last, bodies)
 
     owners = nodes.select("node", "rep").join(labels, "node")
     least = owners.groupBy("c").agg(F.min("rep").alias("component_id"))

@@ -398,6 +398,27 @@ def test_op10_on_sizes_near_the_bound(spark, save):
     same(got, classes_of(rows, 4, 85))
 
 
+@pytest.mark.parametrize("few", [0, 32])
+def test_op10_holds_an_open_pair_against_its_texts_once(spark, monkeypatch, few):
+    """Long texts of common sections stand together in many tiles with ever other members, and bitmaps allow all their pairs."""
+    rng, made, whole = random.Random(7), {}, jaccard.written
+    sections = [" ".join(f"s{i}x{j}" for j in range(700)) for i in range(14)]
+    rows = [(i, " ".join(sections[j] for j in sorted(rng.sample(range(14), 10)))) for i in range(12)]
+    rows += [(20, rows[0][1] + " more words than that"), (21, rows[5][1].replace("s", "z", 40))]
+
+    def counting(df, name):
+        out = whole(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counting)
+    monkeypatch.setattr(jaccard, "FEW", few, raising=False)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, classes_of(rows, 4, 85))
+    if few:
+        assert made["rest"] + made.get("single", 0) <= len(rows) * (len(rows) - 1) / 2, made
+
+
 def test_op10_makes_rows_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
     """Twice the members of one group make twice the tile rows and pairs, and one class."""
     made = {}
