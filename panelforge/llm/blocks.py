@@ -7,6 +7,7 @@ shuffles of few, dense rows in place of one row for each item. Every step is a w
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable, Iterator
 
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import in_slices, quoted, written
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, MOST_BYTES = 1 << 20, 16 << 20
+#: Messages a BLOCK_BYTES of text, where blocks and buckets grow.
+DENSITY = 64
 LAST = np.iinfo(np.int64).max
 MESSAGE = "block bigint, bucket bigint, kind int, body binary"
 
@@ -91,6 +94,15 @@ class Block:
         self.data = zstandard.decompress(body)
 
 
+def grown_bytes(total: int) -> int:
+    """Bytes of a block or bucket of total bytes of text.
+
+    Every block writes to every bucket, so with a fixed size messages grow with the square of the
+    text. Sizes that grow with its root keep them in proportion to it, up to MOST_BYTES.
+    """
+    return min(MOST_BYTES, max(BLOCK_BYTES, math.isqrt(total * BLOCK_BYTES // DENSITY)))
+
+
 def blocks(df: DataFrame, key: str = "doc_id", text: str = "text", prepare: Callable[[bytes], bytes] | None = None, size_limit: int = 0) -> DataFrame:
     """A written table of blocks: block, ids, sizes, body. Null texts are empty."""
     limit = size_limit or BLOCK_BYTES

@@ -10,6 +10,9 @@ is their order in the corpus as far as it matters; equal neighbours give the lea
 of every stretch. The parse, which phrase stands where, stays in the blocks and takes the
 answers back to places.
 
+Blocks and buckets grow with the root of the text, as every block writes to every bucket. A
+bucket is worked off in parts of PHRASE_BUCKET_BYTES of text, so memory doesn't grow with it.
+
 A trigger that more than HOT documents have would gather too many phrases in one bucket; its
 stretches go to buckets by their own hash instead.
 
@@ -26,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.blocks import LAST, MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, load, load_sorted, with_answers
-from panelforge.llm.common import documents, step_done, written
+from panelforge.llm.blocks import LAST, MESSAGE, Block, answer, ask, blocks, bucket_of, by_bucket, dump, dump_sorted, grown_bytes, load, load_sorted, with_answers
+from panelforge.llm.common import documents, quoted, step_done, written
 from panelforge.llm.words import distinct
 
 LENGTH, TRIGGER, PHRASE, HOT = 50, 16, 64, 50_000
+PIECE = 1 << 20  # bytes that are hashed at once
 TRIGGER_BUCKET_BYTES, PHRASE_BUCKET_BYTES = 16 << 20, 1 << 20
 ONE, REPEATED, CROWDED = 0, 1, 2
 
@@ -69,24 +73,30 @@ class Phrases:
 
     def __init__(self, block: Block, length: int):
         empty = np.zeros(0, np.int64)
-        self.at = self.n = self.doc = empty
-        self.trigger = np.zeros(0, np.uint64)
-        if len(block.data) < length:
-            return
-        low = triggers(block.data, length)
-        doc = np.repeat(np.arange(len(block.sizes)), block.sizes)[: len(low)]
-        inside = np.arange(len(low)) + length <= block.ends[doc]
+        found = [(empty, empty, empty, np.zeros(0, np.uint64))]
+        places = len(block.data) - length + 1
+        for start in range(0, places, PIECE):
+            found.append(self._of(block, length, start, min(start + PIECE, places)))
+        self.at, self.n, self.doc, self.trigger = map(np.concatenate, zip(*found, strict=True))
+
+    @staticmethod
+    def _of(block: Block, length: int, start: int, stop: int) -> tuple[np.ndarray, ...]:
+        """Those of the stretches that begin at start or later and before stop."""
+        low = triggers(block.data[start : stop + length - 1], length)
+        a, b = np.searchsorted(block.ends, start, "right"), np.searchsorted(block.starts, stop)
+        doc = np.repeat(np.arange(a, b), np.minimum(block.ends[a:b], stop) - np.maximum(block.starts[a:b], start))
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        ends = np.append(first[1:], len(low))
-        first, ends = first[inside[first]], ends[inside[first]]
-        ends = np.minimum(ends, block.ends[doc[first]] - length + 1)
+        ends = np.append(first[1:], len(low)) + start
+        doc, low, first = doc[first], low[first], first + start
+        inside = first + length <= block.ends[doc]
+        doc, low, first, ends = doc[inside], low[inside], first[inside], ends[inside]
+        ends = np.minimum(ends, block.ends[doc] - length + 1)
         cuts = (ends - first + PHRASE - 1) // PHRASE
         step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        self.at = np.repeat(first, cuts) + step * PHRASE
-        self.n = np.minimum(np.repeat(ends, cuts) - self.at, PHRASE)
-        self.doc, self.trigger = doc[self.at], _spread(low[self.at])
+        at = np.repeat(first, cuts) + step * PHRASE
+        return at, np.minimum(np.repeat(ends, cuts) - at, PHRASE), np.repeat(doc, cuts), np.repeat(_spread(low), cuts)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct triggers in order, the documents that have each (two count as many), and each phrase's trigger."""
@@ -106,9 +116,9 @@ def _classify(bodies: list[bytes]) -> list[bytes]:
 
 
 class Dictionary:
-    """The distinct phrases that a block asks about, in the order of their first places, by bucket."""
+    """The distinct phrases that a block asks about, by bucket and its parts and there in the order of their first places."""
 
-    def __init__(self, block: Block, length: int, kinds: dict[int, bytes], trigger_buckets: int, phrase_buckets: int):
+    def __init__(self, block: Block, length: int, kinds: dict[int, bytes], trigger_buckets: int, parts: int, of_bucket: int):
         p = Phrases(block, length)
         values, _, back = p.distinct()
         kind = np.zeros(len(values), np.uint8)
@@ -116,19 +126,21 @@ class Dictionary:
             kind[part] = load(kinds[bucket])[0]
         kind = kind[back]
         common = np.flatnonzero(kind == REPEATED)
-        at, n, doc, where = p.at[common], p.n[common], p.doc[common], bucket_of(p.trigger[common], phrase_buckets)
+        at, n, doc, where = p.at[common], p.n[common], p.doc[common], bucket_of(p.trigger[common], parts)
         crowded = np.flatnonzero(kind == CROWDED)
         if len(crowded):
             step = p.n[crowded]
             single = np.repeat(p.at[crowded] - (np.cumsum(step) - step), step) + np.arange(step.sum())
             hashes = np.array([xxhash.xxh3_64_intdigest(block.data[i : i + length]) for i in single.tolist()], np.uint64)
             at, n, doc = np.concatenate([at, single]), np.concatenate([n, np.ones(len(single), np.int64)]), np.concatenate([doc, np.repeat(p.doc[crowded], step)])
-            where = np.concatenate([where, bucket_of(hashes, phrase_buckets)])
+            where = np.concatenate([where, bucket_of(hashes, parts)])
         order = np.argsort(where, kind="stable")
-        self.at, self.n, self.doc, self.bucket = at[order], n[order], doc[order], where[order]
+        where = where[order]
+        self.at, self.n, self.doc, self.bucket = at[order], n[order], doc[order], where // of_bucket
         #: Of each place, its phrase's number in the bucket.
         self.number = np.zeros(len(self.at), np.int64)
-        self.parts: list[tuple[int, slice, list[bytes], np.ndarray]] = []
+        #: For each bucket its phrases end to end, their sizes and least documents, and how many each part has.
+        self.messages: list[tuple[int, bytes]] = []
         ids = block.order[self.doc]
         for bucket, part in by_bucket(self.bucket):
             seen: dict[bytes, int] = {}
@@ -137,7 +149,9 @@ class Dictionary:
             least = np.full(len(seen), LAST, np.int64)
             np.minimum.at(least, number, ids[part])
             self.number[part] = number
-            self.parts.append((bucket, part, list(seen), least))
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+            each = np.bincount(where[part][first] - bucket * of_bucket, minlength=of_bucket)
+            self.messages.append((bucket, dump(np.frombuffer(b"".join(seen), np.uint8), np.array(list(map(len, seen)), np.uint16), least, each.astype(np.uint32))))
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -171,42 +185,61 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank[: max(0, len(data) - length + 1)]
 
 
-def _least(bodies: list[bytes], length: int) -> list[bytes]:
-    """For every block's phrases: the least document of each stretch, as runs (length, document)."""
-    parts = [load(b) for b in bodies]
-    known: dict[bytes, int] = {}
-    numbers, documents_ = [], []
-    for text, sizes, least in parts:
-        raw, ends = text.tobytes(), np.cumsum(sizes.astype(np.int64))
-        numbers.append(np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64))
-        documents_.append(least)
-    first = np.full(len(known), LAST, np.int64)
-    np.minimum.at(first, np.concatenate(numbers), np.concatenate(documents_))
-    sizes = np.array([len(k) for k in known], np.int64)
+def _owners(known: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least document of each stretch of distinct phrases, whose own least documents are first: runs' lengths and documents, and runs a phrase."""
+    sizes = np.array(list(map(len, known)), np.int64)
     data = np.frombuffer(b"".join(known), np.uint8)
-    del known
     starts = np.cumsum(sizes) - sizes
     count = sizes - length + 1
     offsets = np.cumsum(count) - count
     places = np.repeat(starts - offsets, count) + np.arange(count.sum())
     rank = suffix_ranks(data, length)[places]
-    owner = np.full(int(rank.max()) + 1 if len(rank) else 0, LAST, np.int64)
+    owner = np.full(int(rank.max()) + 1, LAST, np.int64)
     np.minimum.at(owner, rank, np.repeat(first, count))
     least = owner[rank]
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    new[offsets] = True
+    at = np.flatnonzero(new)
+    return np.diff(at, append=len(least)), least[at], np.add.reduceat(new, offsets, dtype=np.int64)
+
+
+def _least(bodies: list[bytes], length: int) -> list[bytes]:
+    """For every block's phrases: the least document of each stretch, as runs (length, document)."""
+    parts = [load(b) for b in bodies]
+    raw = b"".join(p[0].tobytes() for p in parts)
+    sizes, ids = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
+    part = np.concatenate([np.repeat(np.arange(len(p[3])), p[3]) for p in parts])
+    edges = np.cumsum([len(p[1]) for p in parts])[:-1]
+    del parts
+    ends = np.cumsum(sizes)
+    order, number, owners = np.argsort(part, kind="stable"), np.zeros(len(sizes), np.int64), []
+    phrases = 0
+    for _, some in by_bucket(part[order]):
+        these = order[some]
+        known: dict[bytes, int] = {}
+        spans = zip((ends[these] - sizes[these]).tolist(), ends[these].tolist(), strict=True)
+        own = np.array([known.setdefault(raw[a:b], len(known)) for a, b in spans], np.int64)
+        first = np.full(len(known), LAST, np.int64)
+        np.minimum.at(first, own, ids[these])
+        number[these] = own + phrases
+        phrases += len(known)
+        owners.append(_owners(list(known), first, length))
+    runs, least, each = map(np.concatenate, zip(*owners, strict=True))
+    offsets = np.cumsum(each) - each
     out = []
-    for number in numbers:
-        c = count[number]
-        flat = least[np.repeat(offsets[number] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-        new = np.ones(len(flat), bool)
-        new[1:] = flat[1:] != flat[:-1]
-        at = np.flatnonzero(new)
-        out.append(dump(np.diff(at, append=len(flat)).astype(np.uint32), flat[at]))
+    for n in np.split(number, edges):
+        c = each[n]
+        at = np.repeat(offsets[n] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        values = least[at]
+        new = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        out.append(dump(np.add.reduceat(runs[at], new).astype(np.uint32), values[new]))
     return out
 
 
 def _kept(block: Block, answers: dict[tuple[int, int], bytes], length: int) -> list[list]:
     place, n, doc, numbers, buckets = load(answers[9, -1])
-    starts = [np.zeros(0, np.int64)]
+    removed = np.zeros(len(block.data) + 1, bool)  # stretches, each by its first place + 1
     ids = block.order[doc]
     for bucket, part in by_bucket(buckets):
         runs, values = load(answers[2, bucket])
@@ -216,10 +249,10 @@ def _kept(block: Block, answers: dict[tuple[int, int], bytes], length: int) -> l
         offsets = np.cumsum(count) - count
         step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         earlier = flat[np.repeat(offsets[number], c) + step] < np.repeat(ids[part], c)
-        starts.append((np.repeat(place[part], c) + step)[earlier])
-    at = np.concatenate(starts)
-    cover = np.bincount(at, minlength=len(block.data) + 1) - np.bincount(at + length, minlength=len(block.data) + 1)
-    gone = np.cumsum(cover)[:-1] > 0
+        removed[(np.repeat(place[part], c) + step)[earlier] + 1] = True
+    before = np.cumsum(removed, dtype=np.int64 if len(removed) >> 31 else np.int32)
+    gone = before[1:] > 0
+    gone[length:] = before[length + 1 :] > before[1 : max(1, len(before) - length)]
     data = np.frombuffer(block.data, np.uint8)
     out: list[list] = [block.ids, block.sizes.tolist(), [], [], [], []]
     for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
@@ -233,9 +266,10 @@ def _kept(block: Block, answers: dict[tuple[int, int], bytes], length: int) -> l
 
 def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept (the bytes that stay) and text_hash (Spark's xxhash64 of the text) of every row."""
-    table = blocks(df, key, text)
-    total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    tb, pb = max(1, total // TRIGGER_BUCKET_BYTES), max(1, total // PHRASE_BUCKET_BYTES)
+    total = df.select(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+    table = blocks(df, key, text, size_limit=grown_bytes(total))
+    tb, parts = max(1, total // TRIGGER_BUCKET_BYTES), max(1, total // PHRASE_BUCKET_BYTES)
+    of_bucket = max(1, grown_bytes(total) // PHRASE_BUCKET_BYTES)
 
     def ask_triggers(block: Block) -> Iterator[tuple[int, int, bytes]]:
         values, docs, _ = Phrases(block, length).distinct()
@@ -244,10 +278,9 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
 
     kinds = answer(ask(table, ask_triggers, "triggers"), _classify, 1)
 
-
     def ask_phrases(block: Block, answers: dict[tuple[int, int], bytes]) -> list[list]:
-        d = Dictionary(block, length, {bucket: body for (_, bucket), body in answers.items()}, tb, pb)
-        rows = [(bucket, 2, dump(np.frombuffer(b"".join(phrases), np.uint8), np.array(list(map(len, phrases)), np.uint16), least)) for bucket, _, phrases, least in d.parts]
+        d = Dictionary(block, length, {bucket: body for (_, bucket), body in answers.items()}, tb, parts, of_bucket)
+        rows = [(bucket, 2, body) for bucket, body in d.messages]
         rows.append((-1, 9, dump(d.at, d.n, d.doc, d.number, d.bucket)))
         return [[block.number] * len(rows), *map(list, zip(*rows, strict=True))]
 

@@ -311,6 +311,35 @@ def test_op8(spark, folder, empty, monkeypatch, hot):
     assert suffix_dedup.op8_suffix_dedup(spark, empty).count() == 0
 
 
+def test_op8_in_parts_of_buckets_and_pieces_of_blocks(spark, folder, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "PHRASE_BUCKET_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    same(suffix_dedup.op8_suffix_dedup(spark, folder).collect(), removed(ROWS, 50))
+
+
+def test_op8_makes_messages_in_proportion_to_the_text(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "TRIGGER_BUCKET_BYTES", 32000)
+    monkeypatch.setattr(suffix_dedup, "PHRASE_BUCKET_BYTES", 2000)
+    made = []
+    answer = suffix_dedup.answer
+
+    def counted(messages, fn, kind):
+        table = answer(messages, fn, kind)
+        made.append(table.count())
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "answer", counted)
+    words = ["".join(RNG.choices("abcdefgh", k=6)) for _ in range(400)]
+    lines = [" ".join(RNG.choices(words, k=12)) for _ in range(3000)]
+    for n in (250, 1000):
+        rows = [(i, "\n".join(RNG.choices(lines, k=8))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert suffix_dedup.deduplicated(docs).where("n_removed > 0").count()
+    assert made[3] < 1.5 * 4 * made[1], made  # of four times the text
+
+
 def test_suffix_ranks_are_the_suffix_order():
     data = bytes(RNG.choice(b"ab") for _ in range(300))
     rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), 50)
