@@ -22,7 +22,9 @@ The rest. In a tile that still has several classes, members of the largest one n
 each other. Its members and the others are cut into chunks, and only pairs of chunks with a
 chunk of others meet, so a group with few outsiders makes rows in proportion to its members.
 Pairs of different classes that the bitmaps allow are then taken out of the tiles: the same
-pair mostly stands in many, and is held against its texts once. Where both of a pair have more
+pair mostly stands in many, and is held against its texts once. Tiles whose least member by
+hash is the same mostly have the same pairs, so they go to one task, which names a pair once;
+up to about CROWD rows stay together. Where both of a pair have more
 than FEW such partners in the tile, such pairs could be many more than the members; these
 members meet once more with their texts, in one tile where several have the same such members,
 and are intersected inside the tile until one class or no link is left. No pair is dropped.
@@ -38,14 +40,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import documents, give_back, map_values, quoted, step_done, written
 from panelforge.llm.graph import components
 from panelforge.llm.words import distinct, word_hashes
 
-WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS, FEW = 4, 85, 2048, 1.25, 512, 16, 3, 32
+WORDS, PERCENT, SIGNATURE, BAND, CHUNK, SMALL, HUBS, FEW, CROWD = 4, 85, 2048, 1.25, 512, 16, 3, 32, 4096
 TURNS = 3  # slices of the keys that are looked at one after another, so that their shuffles never lie on disk together
 SETTLING = 6  # and slices at most of what is open after the hubs, which brings its texts; later ones skip what earlier ones have joined
 HELD = 8_000_000  # hashes of sets that a task keeps at once
@@ -215,18 +217,26 @@ def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
     """What the bitmaps allow to be alike in other classes: pairs (node, other), and members, without other, of tiles where both of a pair have many partners.
 
     A pair goes by itself if one of the two has FEW partners in the tile or less, so a member brings FEW pairs at most.
+    A task that has named a pair leaves it out in its next tiles.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        named: set[tuple[int, int]] = set()
         for b in _by_tiles(batches):
             m = Members(b, percent)
             i, j = np.concatenate([np.stack([i, j]).astype(np.int32) for i, j, _ in m.pairs()], axis=1)
             partners = np.bincount(i, minlength=b.num_rows) + np.bincount(j, minlength=b.num_rows)
             single = np.minimum(partners[i], partners[j]) <= FEW
             many = np.unique(np.concatenate([i[~single], j[~single]]))
-            i, j = i[single], j[single]
+            i, j = _first_of_pairs(m.node, i[single], j[single])
+            both = list(zip(m.node[i].tolist(), m.node[j].tolist(), strict=True))
+            fresh = np.fromiter((x not in named for x in both), bool, len(both))
+            i, j = i[fresh], j[fresh]
+            if len(named) > 200_000:
+                named.clear()
+            named.update(both)
             if len(i) + len(many):
                 left = b.select([*_TILE, "side", "node"]).take(np.concatenate([i, many]))
                 other = pa.array(np.append(m.node[j], np.zeros(len(many), np.int64)), pa.int64(), mask=np.arange(len(i) + len(many)) >= len(i))
@@ -236,6 +246,15 @@ def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _first_of_pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One (i, j) for each pair of nodes."""
+    a, b = node[i], node[j]
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    return i[order[new]], j[order[new]]
+
+
 class Sets:
     """Exact sets by node, made of texts when asked for; of at most HELD hashes at once, and the last one."""
 
@@ -355,19 +374,26 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _chunked(tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, lo, hi, side and node: pairs of chunks of the tiles that have several classes, without pairs inside the largest class."""
+    """key, lo, hi, side, node and deal: pairs of chunks of the tiles that have several classes, without pairs inside the largest class.
+
+    deal is the same for tiles that mostly have the same members. A node is the least one of no
+    more tiles than it has keys.
+    """
     rows = tiles.join(labels, "node")
-    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("big")).where("n > big.m")
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("node", F.lit(3))).alias("least"))
+    sizes = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("big"), F.min("least").alias("least")).where("n > big.m")
+    crowds = F.ceil(F.sum("n").over(Window.partitionBy("least")) / CROWD)
+    deal = F.xxhash64("least", F.pmod(F.xxhash64("key"), crowds)).alias("deal")
     count = lambda n: F.ceil(n / CHUNK).cast("int")
-    cut = sizes.select("key", F.col("big.c").alias("big"), count(F.col("big.m")).alias("own"), count(F.col("n") - F.col("big.m")).alias("others"))
+    cut = sizes.select("key", F.col("big.c").alias("big"), count(F.col("big.m")).alias("own"), count(F.col("n") - F.col("big.m")).alias("others"), deal)
     met = rows.join(cut, "key")
     inside = F.col("c") == F.col("big")
     number = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), n).cast("int")
     at = F.when(inside, number(F.col("own"))).otherwise(F.col("own") + number(F.col("others")))
     # chunks of the largest class come first and meet those of the others only, which meet all
     first = F.when(inside, F.col("own")).otherwise(F.lit(0))
-    placed = met.select("key", "node", at.alias("at"), F.explode(F.sequence(first, F.col("own") + F.col("others") - 1)).alias("with"))
-    return placed.select("key", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), (F.col("at") > F.col("with")).cast("int").alias("side"), "node")
+    placed = met.select("key", "node", "deal", at.alias("at"), F.explode(F.sequence(first, F.col("own") + F.col("others") - 1)).alias("with"))
+    return placed.select("key", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), (F.col("at") > F.col("with")).cast("int").alias("side"), "node", "deal")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -413,11 +439,11 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
     rest = written(_chunked(tiles, labels), "chunks")
     step_done(tiles)
 
-    def dealt(rows: DataFrame) -> DataFrame:  # by the classes known by then
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:  # by the classes known by then
         rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node").join(labels, "node")
-        return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node")
+        return rows.repartition(*by).sortWithinPartitions(by[0], *_TILE, "node")
 
-    open_ = written(_unsettled(dealt(rest), percent), "open")
+    open_ = written(_unsettled(dealt(rest, "deal", "lo", "hi"), percent), "open")
     step_done(rest)
     single = written(open_.where("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "single")
     last = written(_once(open_.where("other IS NULL").drop("other")), "rest")
@@ -439,7 +465,7 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "d
             labels = _merged(labels, links)
     step_done(single, texts)
     for some in slices(last, _TILE):
-        links = written(_settled(dealt(some.join(bodies, "node")), k, percent), "similar")
+        links = written(_settled(dealt(some.join(bodies, "node"), *_TILE), k, percent), "similar")
         if not links.isEmpty():
             labels = _merged(labels, links)
     step_done(last, bodies)

@@ -319,9 +319,9 @@ def test_op8_in_parts_of_buckets_and_pieces_of_blocks(spark, folder, monkeypatch
 
 
 def test_op8_makes_messages_in_proportion_to_the_text(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(suffix_dedup, "TRIGGER_BUCKET_BYTES", 32000)
-    monkeypatch.setattr(suffix_dedup, "PHRASE_BUCKET_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "TRIGGER_BUCKET_BYTES", 96000)
+    monkeypatch.setattr(suffix_dedup, "PHRASE_BUCKET_BYTES", 6000)
     made = []
     answer = suffix_dedup.answer
 
@@ -332,8 +332,8 @@ def test_op8_makes_messages_in_proportion_to_the_text(spark, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "answer", counted)
     words = ["".join(RNG.choices("abcdefgh", k=6)) for _ in range(400)]
-    lines = [" ".join(RNG.choices(words, k=12)) for _ in range(3000)]
-    for n in (250, 1000):
+    lines = [" ".join(RNG.choices(words, k=12)) for _ in range(600)]
+    for n in (600, 2400):
         rows = [(i, "\n".join(RNG.choices(lines, k=8))) for i in range(n)]
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
         assert suffix_dedup.deduplicated(docs).where("n_removed > 0").count()
@@ -448,6 +448,22 @@ def test_op10_holds_an_open_pair_against_its_texts_once(spark, monkeypatch, few)
         assert made["rest"] + made.get("single", 0) <= len(rows) * (len(rows) - 1) / 2, made
 
 
+def test_op10_names_an_open_pair_once_for_tiles_with_the_same_members(spark, monkeypatch):
+    rng, made, whole = random.Random(8), {}, jaccard.written
+    sections = [" ".join(f"s{i}x{j}" for j in range(700)) for i in range(14)]
+    rows = [(i, " ".join(sections[j] for j in sorted(rng.sample(range(14), 10)))) for i in range(12)]
+
+    def counting(df, name):
+        out = whole(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counting)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, classes_of(rows, 4, 85))
+    assert made["single"] <= made["open"] <= 8 * made["single"], made
+
+
 def test_op10_makes_rows_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
     """Twice the members of one group make twice the tile rows and pairs, and one class."""
     made = {}
@@ -497,6 +513,20 @@ def test_components_of_a_long_path(spark):
     assert {r.component for r in graph.components(edges).collect()} == {0}
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    rng = random.Random(9)
+    edges = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(50)] + [(5, 5), (70, 71), (71, 70)]
+    up = {n: n for e in edges for n in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    same(got, [(n, m) for n, m in up.items() if n != m])
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_signatures_bound_the_overlap():
     a, b = jaccard.shingle_set(BASE[0], 4), jaccard.shingle_set(near(BASE[0], 5), 4)
     bits = lambda s: np.frombuffer(jaccard.signature_of(s), np.uint8)
