@@ -186,7 +186,31 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def _owners(known: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least document of each stretch of distinct phrases, whose own least documents are first: runs' lengths and documents, and runs a phrase."""
+    """The least document of each stretch of distinct phrases, whose own least documents are first: runs' lengths and documents, and runs a phrase.
+
+    A phrase that has its trigger alone shares no stretch with others; only the rest is sorted.
+    """
+    sizes = np.array(list(map(len, known)), np.int64)
+    trigger = triggers(b"".join(known), length)[np.cumsum(sizes) - sizes]
+    _, back, often = np.unique(trigger, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(often[back] > 1)
+    each, alone = np.ones(len(known), np.int64), np.ones(len(known), bool)
+    alone[some] = False
+    found = _sorted_owners([known[i] for i in some.tolist()], first[some], length) if len(some) else None
+    if found:
+        each[some] = found[2]
+    at = np.cumsum(each) - each
+    runs, least = np.zeros(each.sum(), np.int64), np.zeros(each.sum(), np.int64)
+    runs[at[alone]], least[at[alone]] = sizes[alone] - length + 1, first[alone]
+    if found:
+        c = each[some]
+        places = np.repeat(at[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        runs[places], least[places] = found[:2]
+    return runs, least, each
+
+
+def _sorted_owners(known: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for phrases that may share stretches."""
     sizes = np.array(list(map(len, known)), np.int64)
     data = np.frombuffer(b"".join(known), np.uint8)
     starts = np.cumsum(sizes) - sizes
